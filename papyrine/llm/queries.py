@@ -12,6 +12,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    from papyrine.llm.odd_sketch import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    from papyrine.llm.multi_index import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of rules and host reputation for every page."""
     from papyrine.llm.host_reputation import judge, page_outcomes
@@ -41,9 +55,23 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found inside documents."""
+    from papyrine.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and verdict of every document."""
+    from papyrine.llm.toxicity import judge_toxicity
+
+    return judge_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    found = [op3_host_reputation, op4_warc_transactions, op5_water_filling, op7_feistel_shards]
+    found = [op1_odd_sketch, op2_multi_index, op3_host_reputation, op4_warc_transactions, op5_water_filling, op7_feistel_shards, op9_containment_search, op10_classifier_chain]
     return {f.__name__: f for f in found}
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.scratch import Scratch
+from papyrine.llm.scratch import Scratch, prepare_python
 
 VERSION = "WARC/1.1"
 MIN_REVISIT_BYTES = 100
@@ -172,7 +172,7 @@ def _row(record: dict, with_content: bool) -> dict:
 
 def read_records(spark: SparkSession, path: str, *, with_content: bool = True) -> DataFrame:
     """One row per record of the archives below ``path``; digests of responses are checked."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    prepare_python(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
