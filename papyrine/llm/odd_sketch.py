@@ -18,6 +18,8 @@ keeps pairs down to an estimate of 0.5, five standard deviations below.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 
 from papyrine.llm import shingles
 from papyrine.llm.components import components
+from papyrine.llm.linking import link
 from papyrine.llm.scratch import Scratch, prepare_python
 
 BANDS, ROWS, BITS = 32, 4, 512
@@ -68,7 +71,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = BANDS * ROWS
-    mul, add = shingles.permutations(k, SEED)
+    mul, offset = shingles.permutations(k, SEED)
     weights = shingles.multipliers(k, SEED + 2).reshape(BANDS, ROWS)
     salt = shingles.multipliers(BANDS, SEED + 4)
     for batch in batches:
@@ -79,7 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[i] = len(s)
             if len(s):
                 f1[i], f2[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(shingles.mix(s + np.uint64(77)))
-                low = shingles.minima(s, mul, add)
+                low = shingles.minima(s, mul, offset)
                 bands[i] = shingles.mix((shingles.mix(low).reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt)
                 sketch[i] = odd_sketch(low)
         offsets = pa.array(np.arange(0, m * BANDS + 1, BANDS, dtype=np.int32))
@@ -101,13 +104,9 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
 
 
 def _close(a: str, b: str) -> Column:
-    """Sketches ``a``0.. and ``b``0.. do not exclude the wanted similarity."""
-    differing = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(1, LANES)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
-    return differing <= SKETCH_LIMIT
-
-
-def _side(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(LANES)])
+    """The sketches of sides a and b do not exclude the wanted similarity."""
+    words = [F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(LANES)]
+    return reduce(add, words) <= SKETCH_LIMIT
 
 
 class _Verifier:
@@ -153,31 +152,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = groups.select(F.col("rep").alias("id"), *key)
     nodes = scratch.table(usable.join(reps, ["id", *key], "left_semi").dropDuplicates(["id", *key]), "nodes")
 
-    # buckets of two or more nodes, with their smallest node
     posts = nodes.select("id", F.explode("bands").alias("key"))
-    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
-    shared = scratch.table(posts.join(hubs, "key"), "buckets")
-    stars = shared.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    stars = scratch.table(stars.where(_similar_size("na", "nb", percent) & _close("a", "b")).select("a", "b").distinct(), "stars")
-
+    nodes = nodes.select("id", "n", *[f"s{i}" for i in range(LANES)])
     verify = _Verifier(texts, percent, scratch)
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links = verify(first)
-    label = components(links, scratch)
-    for step in ("stars", "rest"):
-        mine = label.toDF("a", "ca")
-        yours = label.toDF("b", "cb")
-        if step == "stars":
-            open_pairs = stars.join(mine, "a", "left").join(yours, "b", "left")
-            open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            open_pairs = _rest(shared, nodes, label, percent, scratch)
-        open_pairs = scratch.table(open_pairs.distinct(), f"open-{step}")
-        if open_pairs.isEmpty():
-            continue
-        links = links.unionByName(verify(open_pairs))
-        label = components(links, scratch)
+    links, label = link(nodes, posts, lambda a, b: _similar_size(f"n{a}", f"n{b}", percent) & _close(a, b), verify, scratch)
 
     # documents of equal sets follow their node; documents of one id follow each other
     member = usable.join(groups.select(*key, "rep"), key).select("id", "rep").where("id <> rep").distinct()
@@ -195,27 +173,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )
 
-
-def _rest(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs between components that meet in a bucket: nodes outside its largest component against the others.
-
-    The sketches are compared inside the join's condition, so pairs that they exclude are never rows.
-    """
-    placed = shared.select("key", "id").join(label.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = mixed.where("parts > 1").drop("parts")
-    placed = scratch.table(placed.join(mixed, "key"), "mixed")
-    sides = placed.join(nodes.select("id", "n", *[f"s{i}" for i in range(LANES)]), "id")
-    sides = scratch.table(sides, "sides")
-
-    def side(name: str) -> DataFrame:
-        return sides.select(
-            "key", "main", F.col("component").alias(f"c{name}"), F.col("id").alias(name), F.col("n").alias(f"n{name}"),
-            *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(LANES)],
-        )
-
-    outside = side("a").where("ca <> main").drop("main")
-    met = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    cond = (outside["key"] == F.col("k2")) & met & _similar_size("na", "nb", percent) & _close("a", "b")
-    return outside.join(side("b").withColumnRenamed("key", "k2"), cond).select("a", "b")

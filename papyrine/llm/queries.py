@@ -48,6 +48,13 @@ def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every line, and which line of it stays."""
+    from papyrine.llm.fuzzy_lines import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     from papyrine.llm.feistel import shard_digest
@@ -55,6 +62,13 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after a load, a recount and a withdrawal."""
+    from papyrine.llm.token_rollup import maintain
+
+    return maintain(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found inside documents."""
     from papyrine.llm.decontaminate import find_leaks
@@ -71,7 +85,7 @@ def op10_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    found = [op1_odd_sketch, op2_multi_index, op3_host_reputation, op4_warc_transactions, op5_water_filling, op7_feistel_shards, op9_containment_search, op10_classifier_chain]
+    found = [op1_odd_sketch, op2_multi_index, op3_host_reputation, op4_warc_transactions, op5_water_filling, op6_fuzzy_lines, op7_feistel_shards, op8_token_rollup, op9_containment_search, op10_classifier_chain]
     return {f.__name__: f for f in found}
 
 
