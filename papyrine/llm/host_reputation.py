@@ -84,10 +84,11 @@ def prior_strength(level: DataFrame, mean: str, most: float = 200.0, least: floa
 def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     """From host counts (host, domain, suffix, n, bad): posterior rate and its lower and upper bound.
 
-    The bounds are the posterior mean -/+ z standard deviations of its Beta distribution.  Hosts without
+    The bounds are the posterior mean -/+ z standard deviations of its Beta distribution; a prior is
+    taken to be worth no more labels than there are in all, so few labels give wide bounds.  Hosts without
     labels get their domain's posterior; without any labels the overall rate is 1/2.
     """
-    overall = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"))
+    overall = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # overall rates and prior strengths are single rows
@@ -99,9 +100,9 @@ def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     d = d.join(one(prior_strength(d, "suffix_rate")))
     d = d.select("domain", "suffix", ((F.col("bad") + F.col("strength") * F.col("suffix_rate")) / (F.col("n") + F.col("strength"))).alias("domain_rate"))
     h = hosts.join(d, ["domain", "suffix"])
-    h = h.join(one(prior_strength(h, "domain_rate")))
+    h = h.join(one(prior_strength(h, "domain_rate"))).join(one(overall.select("labels")))
     rate = (F.col("bad") + F.col("strength") * F.col("domain_rate")) / (F.col("n") + F.col("strength"))
-    sd = F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("strength") + 1))
+    sd = F.sqrt(rate * (1 - rate) / (F.col("n") + F.least("strength", F.col("labels").cast("double")) + 1))
     return h.select("host", "domain", "suffix", "n", "bad", rate.alias("rate"), (rate - z * sd).alias("lower"), (rate + z * sd).alias("upper"))
 
 

@@ -31,7 +31,8 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm.host_reputation import judge, page_outcomes
 
     pages = _read(spark, sf_dir, "pages")
-    return judge(pages, page_outcomes(pages, _read(spark, sf_dir, "labels"))).withColumn("page_id", F.col("page_id").cast("bigint"))
+    judged = judge(pages, page_outcomes(pages, _read(spark, sf_dir, "labels")))
+    return judged.withColumns({"page_id": F.col("page_id").cast("bigint")} | {c: F.round(c, 9) for c in ("host_rate", "host_lower")})
 
 
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

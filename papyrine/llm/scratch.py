@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrine.sources.session import ship_package
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Rows and bytes in one Arrow batch handed to Python, so that very long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
@@ -32,16 +32,7 @@ def prepare_python(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, and send this package to its executors once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if getattr(context, "_papyrine_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="papyrine-")) / "papyrine.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, Path(package.name) / file.relative_to(package))
-    context.addPyFile(str(target))
-    context._papyrine_sent = True
+    ship_package(spark)
 
 
 class Scratch:
