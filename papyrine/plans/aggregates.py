@@ -11,27 +11,30 @@ from papyrine.plans.registry import register
 from papyrine.sources.tables import PAPERS_SQL, papers, read
 
 P = f"with {PAPERS_SQL} "
-N = F.count(F.lit(1))
+
+def rows_n():
+    """Number of rows; made when a query is built, since columns need a session."""
+    return F.count(F.lit(1))
 
 
 @register("ag1_library_stats", P + "select 'tag' as kind, cast(lang as varchar) as key, count(*) as n from papers group by lang union all select 'year', cast(year as varchar), count(*) from papers where year is not null group by year union all select 'papers', 'all', count(*) from papers")
 def ag1(spark, sf):
     p = papers(spark, sf)
-    tags = p.groupBy(F.col("lang").alias("key")).agg(N.alias("n")).select(F.lit("tag").alias("kind"), "key", "n")
-    years = p.where("year is not null").groupBy(F.col("year").cast("string").alias("key")).agg(N.alias("n")).select(F.lit("year").alias("kind"), "key", "n")
-    return tags.unionByName(years).unionByName(p.agg(N.alias("n")).select(F.lit("papers").alias("kind"), F.lit("all").alias("key"), "n"))
+    tags = p.groupBy(F.col("lang").alias("key")).agg(rows_n().alias("n")).select(F.lit("tag").alias("kind"), "key", "n")
+    years = p.where("year is not null").groupBy(F.col("year").cast("string").alias("key")).agg(rows_n().alias("n")).select(F.lit("year").alias("kind"), "key", "n")
+    return tags.unionByName(years).unionByName(p.agg(rows_n().alias("n")).select(F.lit("papers").alias("kind"), F.lit("all").alias("key"), "n"))
 
 
 @register("ag2_year_distribution", P + "select year, count(*) as n, count(*) - lag(count(*)) over (order by year) as change from papers where year between 1800 and 2020 group by year")
 def ag2(spark, sf):
-    by = papers(spark, sf).where("year between 1800 and 2020").groupBy("year").agg(N.alias("n"))
+    by = papers(spark, sf).where("year between 1800 and 2020").groupBy("year").agg(rows_n().alias("n"))
     return by.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("year")))  # one row per year
 
 
 @register("ag3_graph_stats", "select 'segment' as kind, c_mktsegment as key, count(*) as n, count(distinct c_nationkey) as owners from customer group by 2 union all select 'status', o_orderstatus, count(*), count(distinct o_custkey) from orders group by 2")
 def ag3(spark, sf):
-    c = read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(N.alias("n"), F.count_distinct("c_nationkey").alias("owners"))
-    o = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("key")).agg(N.alias("n"), F.count_distinct("o_custkey").alias("owners"))
+    c = read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(rows_n().alias("n"), F.count_distinct("c_nationkey").alias("owners"))
+    o = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("key")).agg(rows_n().alias("n"), F.count_distinct("o_custkey").alias("owners"))
     return c.select(F.lit("segment").alias("kind"), "*").unionByName(o.select(F.lit("status").alias("kind"), "*"))
 
 
@@ -41,19 +44,19 @@ def ag4(spark, sf):
     kinds = F.count_distinct("p_type")
     support = F.when(kinds >= 3, "strong").when(kinds == 2, "multi").otherwise("single")
     return read(spark, sf, "part").groupBy("p_brand").agg(
-        N.alias("members"), F.round(A.mean_of_truthy(F.col("p_size")), 6).alias("mean_size"), F.min("p_size").alias("low"), F.max("p_size").alias("high"), support.alias("support"), A.joined_set(F.col("p_type")).alias("types")
+        rows_n().alias("members"), F.round(A.mean_of_truthy(F.col("p_size")), 6).alias("mean_size"), F.min("p_size").alias("low"), F.max("p_size").alias("high"), support.alias("support"), A.joined_set(F.col("p_type")).alias("types")
     )
 
 
 @register("ag5_fusion_summary", "with c as (select c_nationkey, count(*) as n from customer group by 1) select count(*) as clusters, round(avg(n), 6) as mean_size, max(n) as largest, cast(count(case when n >= 60 then 1 end) as bigint) as strong from c")
 def ag5(spark, sf):
-    c = read(spark, sf, "customer").groupBy("c_nationkey").agg(N.alias("n"))
-    return c.agg(N.alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") >= 60).alias("strong"))
+    c = read(spark, sf, "customer").groupBy("c_nationkey").agg(rows_n().alias("n"))
+    return c.agg(rows_n().alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") >= 60).alias("strong"))
 
 
 @register("ag6_risk_map", "select o_custkey, sum(cast(o_orderstatus = 'F' as bigint))::bigint as f, sum(cast(o_orderstatus = 'O' as bigint))::bigint as o, sum(cast(o_orderstatus = 'P' as bigint))::bigint as p, round(avg(o_totalprice), 4) as mean_total from orders group by o_custkey")
 def ag6(spark, sf):
-    by = read(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(N.alias("n"), F.sum("o_totalprice").alias("t"))
+    by = read(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(rows_n().alias("n"), F.sum("o_totalprice").alias("t"))
     m = by.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"), F.round(F.sum("t") / F.sum("n"), 4).alias("mean_total"))
     return m.select("o_custkey", *[F.coalesce(F.element_at("m", s.upper()), F.lit(0)).alias(s) for s in "fop"], "mean_total")
 
@@ -82,7 +85,7 @@ def ag9(spark, sf):
 @register("ag10_category_summary", "select p_type, count(*) as n, round(avg(p_retailprice), 4) as mean, min(p_retailprice) as low, max(p_retailprice) as high from part group by p_type")
 def ag10(spark, sf):
     c = F.col("p_retailprice")
-    return read(spark, sf, "part").groupBy("p_type").agg(N.alias("n"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
+    return read(spark, sf, "part").groupBy("p_type").agg(rows_n().alias("n"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
 @register("ag11_usage_grouping_sets", "select event_type, cast(ts as date) as day, count(*) as n, round(sum(value), 4) as total from events where ts >= timestamp '2024-01-10' group by grouping sets ((event_type), (cast(ts as date)), (event_type, cast(ts as date)), ())")
@@ -102,7 +105,7 @@ def ag12(spark, sf):
 def ag13(spark, sf):
     m = F.create_map(F.lit("p_name"), "p_name", F.lit("p_size"), F.col("p_size").cast("string"), F.lit("p_brand"), "p_brand")
     e = read(spark, sf, "part").select(F.explode(m).alias("column_name", "v"))
-    return e.groupBy("column_name").agg(N.alias("n"), F.count(decimal_comma(F.col("v"))).alias("numeric_n"))
+    return e.groupBy("column_name").agg(rows_n().alias("n"), F.count(decimal_comma(F.col("v"))).alias("numeric_n"))
 
 
 @register("ag14_distinct_counts", "select count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from lineitem")
@@ -118,19 +121,19 @@ def ag15(spark, sf):
 @register("ag16_index_stats", "with l as (select l_partkey, count(distinct l_suppkey) as n from lineitem group by 1) select count(*) as entities, max(n) as most, count(case when n > 1 then 1 end) as multi from l")
 def ag16(spark, sf):
     l = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
-    return l.agg(N.alias("entities"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("multi"))
+    return l.agg(rows_n().alias("entities"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("multi"))
 
 
 @register("ag17_inverted_index", "select w as word, count(*) as postings, string_agg(cast(doc_id as varchar), ',' order by doc_id) as docs from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) as w from documents where lang = 'en' and n_chars < 2000) group by w having count(*) between 2 and 20")
 def ag17(spark, sf):
     d = read(spark, sf, "documents").where("lang = 'en' and n_chars < 2000").select("doc_id", F.explode(F.array_distinct(words(F.col("text"), 8))).alias("word"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return d.groupBy("word").agg(N.alias("postings"), ids.alias("docs")).where("postings between 2 and 20")
+    return d.groupBy("word").agg(rows_n().alias("postings"), ids.alias("docs")).where("postings between 2 and 20")
 
 
 @register("ag18_type_counts", "select event_type, count(*) as n from events group by event_type")
 def ag18(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(N.alias("n"))
+    return read(spark, sf, "events").groupBy("event_type").agg(rows_n().alias("n"))
 
 
 @register("ag19_numeric_profile", " union all ".join(f"select '{c}' as \"column\", count({c}) as n, round(min({c}), 6) as low, round(max({c}), 6) as high, round(avg({c}), 4) as mean from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
@@ -146,8 +149,8 @@ def ag20(spark, sf):
 @register("ag21_facet_distribution", "select facet, count(*) as n, round(count(*) / cast((select count(*) from documents) as double), 6) as ratio from (select unnest([lang, source]) as facet from documents) group by facet")
 def ag21(spark, sf):
     d = read(spark, sf, "documents")
-    total = d.agg(N.alias("t"))
-    by = d.select(F.explode(F.array("lang", "source")).alias("facet")).groupBy("facet").agg(N.alias("n"))
+    total = d.agg(rows_n().alias("t"))
+    by = d.select(F.explode(F.array("lang", "source")).alias("facet")).groupBy("facet").agg(rows_n().alias("n"))
     return by.join(F.broadcast(total)).select("facet", "n", F.round(F.col("n") / F.col("t"), 6).alias("ratio"))  # one row
 
 
@@ -161,7 +164,7 @@ select lang, journal, round(recent / cast(n as double), 6) as recent_ratio, case
 def ag23(spark, sf):
     p = papers(spark, sf).select("lang", "journal", "year")
     latest = p.groupBy("lang").agg(F.max("year").alias("y"))
-    ratio = F.count_if(F.col("year") >= F.col("y") - 5) / N
+    ratio = F.count_if(F.col("year") >= F.col("y") - 5) / rows_n()
     by = p.join(latest, "lang").groupBy("lang", "journal").agg(ratio.alias("x"))
     label = F.when(F.col("x") >= 0.4, "emerging").when(F.col("x") >= 0.2, "active").otherwise("stable")
     return by.select("lang", "journal", F.round("x", 6).alias("recent_ratio"), label.alias("label"))
@@ -170,7 +173,7 @@ def ag23(spark, sf):
 @register("ag24_growth_score", P + """, a as (select journal, count(*) as n, count(case when year >= 2015 then 1 end) as r, max(year) as y, count(case when n_chars > 2000 then 1 end) as e from papers group by journal)
 select journal, round(g, 6) as growth, case when g >= 0.65 then 'hot' when g >= 0.45 then 'active' when g >= 0.25 then 'stable' else 'cold' end as label from (select journal, 0.45 * r / n + 0.25 * least(r / cast(n as double), 1) + 0.20 * least(e / cast(n as double), 1) + 0.10 * least(y / 2030.0, 1) as g from a)""")
 def ag24(spark, sf):
-    a = papers(spark, sf).groupBy("journal").agg(N.alias("n"), F.count_if(F.col("year") >= 2015).alias("r"), F.max("year").alias("y"), F.count_if(F.col("n_chars") > 2000).alias("e"))
+    a = papers(spark, sf).groupBy("journal").agg(rows_n().alias("n"), F.count_if(F.col("year") >= 2015).alias("r"), F.max("year").alias("y"), F.count_if(F.col("n_chars") > 2000).alias("e"))
     share = lambda x: F.least(x / F.col("n"), F.lit(1.0))
     g = 0.45 * F.col("r") / F.col("n") + 0.25 * share(F.col("r")) + 0.20 * share(F.col("e")) + 0.10 * F.least(F.col("y") / 2030, F.lit(1.0))
     label = F.when(F.col("g") >= 0.65, "hot").when(F.col("g") >= 0.45, "active").when(F.col("g") >= 0.25, "stable").otherwise("cold")
@@ -179,25 +182,25 @@ def ag24(spark, sf):
 
 @register("ag25_report_rollup", "select lang, source, count(*) as n, round(avg(n_chars), 4) as mean_chars from documents group by rollup (lang, source)")
 def ag25(spark, sf):
-    return read(spark, sf, "documents").rollup("lang", "source").agg(N.alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+    return read(spark, sf, "documents").rollup("lang", "source").agg(rows_n().alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
 
 
 @register("ag25b_cube", "select c_mktsegment, n_regionkey, count(*) as n, round(sum(c_acctbal), 2) as balance from customer join nation on n_nationkey = c_nationkey group by cube (c_mktsegment, n_regionkey)")
 def ag25b(spark, sf):
     j = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return j.cube("c_mktsegment", "n_regionkey").agg(N.alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return j.cube("c_mktsegment", "n_regionkey").agg(rows_n().alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 @register("ag26_mean_of_ratios", "select round(avg(r), 6) as mean_ratio, round(max(r), 6) as top_ratio from (select source, count(case when n_chars > 1500 then 1 end) / cast(count(*) as double) as r from documents group by source)")
 def ag26(spark, sf):
-    r = read(spark, sf, "documents").groupBy("source").agg((F.count_if(F.col("n_chars") > 1500) / N).alias("r"))
+    r = read(spark, sf, "documents").groupBy("source").agg((F.count_if(F.col("n_chars") > 1500) / rows_n()).alias("r"))
     return r.agg(F.round(F.avg("r"), 6).alias("mean_ratio"), F.round(F.max("r"), 6).alias("top_ratio"))
 
 
 @register("ag27_quality_per_group", "select source, round(avg(n_chars), 4) as mean, min(n_chars) as low, max(n_chars) as high, round(count(case when n_chars >= 500 then 1 end) / cast(count(*) as double), 6) as ready from documents group by source")
 def ag27(spark, sf):
     c = F.col("n_chars")
-    return read(spark, sf, "documents").groupBy("source").agg(F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.count_if(c >= 500) / N, 6).alias("ready"))
+    return read(spark, sf, "documents").groupBy("source").agg(F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.count_if(c >= 500) / rows_n(), 6).alias("ready"))
 
 
 @register("ag28_claim_quality", "select conv_id, round(avg(length(text)), 6) as mean_length, count(case when length(text) < 50 then 1 end) as short from conversations group by conv_id")
@@ -213,7 +216,7 @@ def ag29(spark, sf):
     flags = {"text": F.length("text") > 0, "long": F.col("n_chars") > 500, "english": F.col("lang") == "en", "labelled": F.col("l").isNotNull()}
     long = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), v.alias("ok")) for k, v in flags.items()])).alias("x")).select("x.*")
     done = F.count_if("ok")
-    return long.groupBy("stage").agg(done.alias("done"), N.alias("total"), (done / N > 0.3).alias("fine"))
+    return long.groupBy("stage").agg(done.alias("done"), rows_n().alias("total"), (done / rows_n() > 0.3).alias("fine"))
 
 
 @register("ag30_completion", "select doc_id, (cast(length(text) > 100 as int) + cast(lang = 'en' as int) + cast(n_chars > 1000 as int) + cast(doc_id in (select doc_id from labels) as int)) / 4.0::double as completion from documents")
@@ -246,24 +249,24 @@ def ag33(spark, sf):
 @register("ag34_pivot_registry", "select c_nationkey, count(case when c_mktsegment = 'AUTOMOBILE' then 1 end) as automobile, count(case when c_mktsegment = 'BUILDING' then 1 end) as building, count(case when c_mktsegment = 'MACHINERY' then 1 end) as machinery from customer group by c_nationkey")
 def ag34(spark, sf):
     names = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
-    p = read(spark, sf, "customer").groupBy("c_nationkey").pivot("c_mktsegment", names).agg(N)
+    p = read(spark, sf, "customer").groupBy("c_nationkey").pivot("c_mktsegment", names).agg(rows_n())
     return p.select("c_nationkey", *[F.coalesce(n, F.lit(0)).alias(n.lower()) for n in names])
 
 
 @register("ag35_link_counts", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2")
 def ag35(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(N.alias("n"))
+    return read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(rows_n().alias("n"))
 
 
 @register("ag36_summary_counters", "select lang, count(*) as docs, count(case when contains(text, 'Table') or contains(text, 'Fig') then 1 end) as with_refs, sum(n_chars)::bigint as chars from documents group by lang")
 def ag36(spark, sf):
     refs = F.contains("text", F.lit("Table")) | F.contains("text", F.lit("Fig"))
-    return read(spark, sf, "documents").groupBy("lang").agg(N.alias("docs"), F.count_if(refs).alias("with_refs"), F.sum("n_chars").alias("chars"))
+    return read(spark, sf, "documents").groupBy("lang").agg(rows_n().alias("docs"), F.count_if(refs).alias("with_refs"), F.sum("n_chars").alias("chars"))
 
 
 @register("ag37_eval_metrics", "select source, count(*) as hits, count(distinct lang) as langs, round(count(case when lang = 'en' then 1 end) / cast(count(*) as double), 6) as balance from documents where n_chars > 800 group by source")
 def ag37(spark, sf):
-    return read(spark, sf, "documents").where("n_chars > 800").groupBy("source").agg(N.alias("hits"), F.count_distinct("lang").alias("langs"), F.round(F.count_if(F.col("lang") == "en") / N, 6).alias("balance"))
+    return read(spark, sf, "documents").where("n_chars > 800").groupBy("source").agg(rows_n().alias("hits"), F.count_distinct("lang").alias("langs"), F.round(F.count_if(F.col("lang") == "en") / rows_n(), 6).alias("balance"))
 
 
 @register("ag38_distinct_exact", "select count(distinct user_id) as users, count(distinct event_type) as types from events")
@@ -308,10 +311,10 @@ t as (select *, 0.30 * evidence + 0.25 * feasibility + 0.20 * novelty + 0.15 * i
 
 def _opportunities(spark, sf):
     c = read(spark, sf, "customer")
-    base = c.groupBy("c_nationkey").agg(N.alias("papers"), (F.avg(F.greatest("c_acctbal", F.lit(0))) / 10000).alias("confidence"), F.count_distinct("c_mktsegment").alias("kinds"))
+    base = c.groupBy("c_nationkey").agg(rows_n().alias("papers"), (F.avg(F.greatest("c_acctbal", F.lit(0))) / 10000).alias("confidence"), F.count_distinct("c_mktsegment").alias("kinds"))
     st = F.col("o_orderstatus")
     o = c.join(read(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey")
-    o = o.agg(N.alias("n_hyp"), *A.count_if_map({"low": st == "F", "med": st == "P", "high": st == "O"}), F.avg(F.when(F.col("o_totalprice") > 200000, 0.8).otherwise(0.4)).alias("hyp_quality"))
+    o = o.agg(rows_n().alias("n_hyp"), *A.count_if_map({"low": st == "F", "med": st == "P", "high": st == "O"}), F.avg(F.when(F.col("o_totalprice") > 200000, 0.8).otherwise(0.4)).alias("hyp_quality"))
     j = base.join(o, "c_nationkey", "left").fillna(0, ["n_hyp", "low", "med", "high"])
     support = F.when(F.col("kinds") >= 3, "strong").when(F.col("kinds") == 2, "multi").otherwise("single")
     j = j.withColumns({"gaps": F.col("papers"), "support": support, "has_pred": F.lit(1), "has_exp": F.lit(0), "novelty_type": F.lit(0.9), "impact_type": F.lit(0.85), "why_length": F.col("papers") * 3, "overclaims": F.lit(2)})

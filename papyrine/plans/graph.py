@@ -11,7 +11,10 @@ from papyrine.plans.registry import register
 from papyrine.sources.tables import PAPERS_SQL, papers, read
 
 P = f"with {PAPERS_SQL} "
-N = F.count(F.lit(1))
+
+def rows_n():
+    """Number of rows; made when a query is built, since columns need a session."""
+    return F.count(F.lit(1))
 NODES = """nodes as (select 'r' || r_regionkey as node_id, 'region' as node_type, r_name as title, 0.9::double as confidence from region union all select 'n' || n_nationkey, 'nation', n_name, 0.8 from nation union all select 's' || s_suppkey, 'supplier', s_name, s_acctbal / 10000 from supplier)"""
 EDGES = """edges as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'in_region' as edge_type from nation union all select 's' || s_suppkey, 'n' || s_nationkey, 'in_nation' from supplier)"""
 BOTH = f"with recursive {NODES}, {EDGES}, und as (select src, dst from edges union all select dst, src from edges)"
@@ -73,7 +76,7 @@ def gr13(spark, sf):
 @register("gr14_network_topk", "with top as (select l_partkey, count(*) as n from lineitem group by 1 order by n desc, l_partkey limit 25) select l_partkey, l_orderkey from (select l.l_partkey, l_orderkey, row_number() over (partition by l.l_partkey order by l_orderkey) as r from (select distinct l_partkey, l_orderkey from lineitem) l join top using (l_partkey)) where r <= 8")
 def gr14(spark, sf):
     l = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey")
-    top = l.groupBy("l_partkey").agg(N.alias("n")).orderBy(F.desc("n"), "l_partkey").limit(25)
+    top = l.groupBy("l_partkey").agg(rows_n().alias("n")).orderBy(F.desc("n"), "l_partkey").limit(25)
     edges = l.join(F.broadcast(top.select("l_partkey")), "l_partkey").distinct()  # 25 rows
     r = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey"))
     return edges.withColumn("r", r).where("r <= 8").drop("r")
@@ -95,7 +98,7 @@ def gr16(spark, sf):
 
 @register("gr5_facet_hierarchy", "select lang, source, count(*) as n, case when count(*) < 8 then 'other' else source end as subtopic from documents group by lang, source")
 def gr5(spark, sf):
-    by = read(spark, sf, "documents").groupBy("lang", "source").agg(N.alias("n"))
+    by = read(spark, sf, "documents").groupBy("lang", "source").agg(rows_n().alias("n"))
     return by.withColumn("subtopic", F.when(F.col("n") < 8, "other").otherwise(F.col("source")))
 
 
@@ -115,7 +118,7 @@ def tm1b(spark, sf):
 
 @register("tm2_three_way", f"with {YEARS}, b as (select min(year) as lo, max(year) as hi from y) select case when year <= lo + (hi - lo) / 3.0 then 'early' when year <= lo + 2 * (hi - lo) / 3.0 then 'middle' else 'recent' end as period, count(*) as n from y, b group by 1")
 def tm2(spark, sf):
-    return T.three_way(read(spark, sf, "orders").select(F.year("o_orderdate").alias("year")), "year").groupBy("period").agg(N.alias("n"))
+    return T.three_way(read(spark, sf, "orders").select(F.year("o_orderdate").alias("year")), "year").groupBy("period").agg(rows_n().alias("n"))
 
 
 TREND = f"with {YEARS}, c as (select o_custkey % 40 as cluster, (year - 1995) // 3 as phase, count(*) as n from y group by 1, 2), f as (select cluster, min(phase) as p0, max(phase) as p1, count(*) as active, arg_min(n, phase) as first_n, arg_max(n, phase) as last_n from c group by cluster)"
@@ -144,7 +147,7 @@ def tm6(spark, sf):
     from papyrine.functions.text import words
 
     p = papers(spark, sf).where("year is not null").select(F.floor((F.col("year") - 1990) / 12).alias("phase"), F.explode(words(F.col("title"), 4)).alias("word"))
-    n = p.groupBy("phase", "word").agg(N.alias("n"))
+    n = p.groupBy("phase", "word").agg(rows_n().alias("n"))
     r = F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("n"), "word"))
     return n.withColumn("r", r).where("r <= 5").drop("r")
 
@@ -160,7 +163,7 @@ def tm7(spark, sf):
 def tm8(spark, sf):
     y = read(spark, sf, "orders").select("o_orderstatus", F.year("o_orderdate").alias("year"))
     j = y.join(F.broadcast(y.agg(F.max("year").alias("hi"))))  # one row
-    return j.groupBy("o_orderstatus").agg(F.round(F.count_if(F.col("year") >= F.col("hi") - 2) / N, 6).alias("recent_ratio"))
+    return j.groupBy("o_orderstatus").agg(F.round(F.count_if(F.col("year") >= F.col("hi") - 2) / rows_n(), 6).alias("recent_ratio"))
 
 
 @register("cp1_context", "select p.p_partkey, p.p_name, count(distinct l.l_orderkey) as mentions, count(distinct s.s_nationkey) as nations, count(l.l_orderkey) > 0 as complete from part p left join lineitem l on l.l_partkey = p.p_partkey left join supplier s on s.s_suppkey = l.l_suppkey where p.p_size < 10 group by 1, 2")
@@ -174,7 +177,7 @@ def cp1(spark, sf):
 
 @register("cp2_table_context", "select o_custkey, count(*) as orders, count(distinct o_orderpriority) as priorities, max(o_totalprice) as best from orders group by o_custkey having count(*) > 5")
 def cp2(spark, sf):
-    o = read(spark, sf, "orders").groupBy("o_custkey").agg(N.alias("orders"), F.count_distinct("o_orderpriority").alias("priorities"), F.max("o_totalprice").alias("best"))
+    o = read(spark, sf, "orders").groupBy("o_custkey").agg(rows_n().alias("orders"), F.count_distinct("o_orderpriority").alias("priorities"), F.max("o_totalprice").alias("best"))
     return o.where("orders > 5")
 
 
@@ -194,7 +197,7 @@ def cp4(spark, sf):
 @register("cp5_answer_summary", "select 'Found ' || count(*) || ' documents in ' || count(distinct source) || ' sources; longest ' || arg_max(doc_id, n_chars * 1000000 - doc_id) as answer, round(least(0.3 + 0.1 * 2 + 0.05 * least(count(*), 7), 0.85), 6)::double as confidence from documents where contains(lower(text), 'that')")
 def cp5(spark, sf):
     d = read(spark, sf, "documents").where(F.lower("text").contains("that"))
-    a = d.agg(N.alias("n"), F.count_distinct("source").alias("s"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("best"))
+    a = d.agg(rows_n().alias("n"), F.count_distinct("source").alias("s"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("best"))
     text = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" documents in "), F.col("s").cast("string"), F.lit(" sources; longest "), F.col("best").cast("string"))
     return a.select(text.alias("answer"), F.round(F.least(0.5 + 0.05 * F.least("n", F.lit(7)), F.lit(0.85)), 6).alias("confidence"))
 
@@ -217,7 +220,7 @@ def cp8(spark, sf):
     c = read(spark, sf, "customer").where("c_acctbal > 5000").select("c_custkey")
     o = read(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left_semi").groupBy("o_orderstatus")
     t = F.col("o_totalprice")
-    return o.agg(N.alias("n"), F.round(F.avg(t), 4).alias("mean"), F.min(t).alias("low"), F.max(t).alias("high"))
+    return o.agg(rows_n().alias("n"), F.round(F.avg(t), 4).alias("mean"), F.min(t).alias("low"), F.max(t).alias("high"))
 
 
 @register("cp9_version_compare", "select l.doc_id, d.n_chars - l.n as delta from documents d join (select doc_id, length(replace(text, ' ', '')) as n from documents) l using (doc_id)")
@@ -251,7 +254,7 @@ def cp12(spark, sf):
 
 @register("cp13_plan_counts", "select label as level, count(*) as planned from embeddings group by label")
 def cp13(spark, sf):
-    return read(spark, sf, "embeddings").groupBy(F.col("label").alias("level")).agg(N.alias("planned"))
+    return read(spark, sf, "embeddings").groupBy(F.col("label").alias("level")).agg(rows_n().alias("planned"))
 
 
 @register("cp14_update_by_key", "select doc_id, case when doc_id % 5 = 0 then 'updated' else lang end as tag from documents")
@@ -263,24 +266,24 @@ def cp14(spark, sf):
 
 @register("cp15_register_assets", "select min(page_id) as page_id, sha256(html) as sha256, count(*) - 1 as skipped from pages group by sha256(html)")
 def cp15(spark, sf):
-    return read(spark, sf, "pages").groupBy(F.sha2("html", 256).alias("sha256")).agg(F.min("page_id").alias("page_id"), (N - 1).alias("skipped"))
+    return read(spark, sf, "pages").groupBy(F.sha2("html", 256).alias("sha256")).agg(F.min("page_id").alias("page_id"), (rows_n() - 1).alias("skipped"))
 
 
 @register("cp16_mention_sources", "select origin, count(*) as n from (select 'documents' as origin from documents where contains(lower(text), 'thatin') union all select 'conversations' from conversations where contains(lower(text), 'thatin') union all select 'pages' from pages where contains(lower(html), 'thatin')) group by origin")
 def cp16(spark, sf):
     parts = [read(spark, sf, t).where(F.lower(c).contains("thatin")).select(F.lit(t).alias("origin")) for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(N.alias("n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(rows_n().alias("n"))
 
 
 @register("cp17_file_inventory", "select split_part(split_part(url, '://', 2), '/', 1) as host, count(*) as n from pages where not regexp_matches(url, '\\.html$') group by 1")
 def cp17(spark, sf):
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    return read(spark, sf, "pages").where(~F.rlike("url", F.lit(r"\.html$"))).groupBy(host.alias("host")).agg(N.alias("n"))
+    return read(spark, sf, "pages").where(~F.rlike("url", F.lit(r"\.html$"))).groupBy(host.alias("host")).agg(rows_n().alias("n"))
 
 
 @register("cp19_notes_map", "select p_brand, string_agg(p_name || '=' || n, ';' order by p_name) as notes from (select p_brand, p_name, count(*) as n from part group by 1, 2) group by p_brand")
 def cp19(spark, sf):
-    n = read(spark, sf, "part").groupBy("p_brand", "p_name").agg(N.alias("n"))
+    n = read(spark, sf, "part").groupBy("p_brand", "p_name").agg(rows_n().alias("n"))
     items = F.array_sort(F.collect_list(F.struct("p_name", "n")))
     return n.groupBy("p_brand").agg(F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["p_name"], x["n"].cast("string"))), ";").alias("notes"))
 
@@ -288,12 +291,12 @@ def cp19(spark, sf):
 @register("cp20_build_rollup", "select stage, count(*) as n from (select case when n_chars < 300 then 'skipped' when lang <> 'en' then 'partial' else 'built' end as stage from documents) group by stage")
 def cp20(spark, sf):
     stage = F.when(F.col("n_chars") < 300, "skipped").when(F.col("lang") != "en", "partial").otherwise("built")
-    return read(spark, sf, "documents").groupBy(stage.alias("stage")).agg(N.alias("n"))
+    return read(spark, sf, "documents").groupBy(stage.alias("stage")).agg(rows_n().alias("n"))
 
 
 @register("cp21_inventory", "select 'documents' as name, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'events', count(*) from events")
 def cp21(spark, sf):
-    parts = [read(spark, sf, t).agg(N.alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "pages", "events")]
+    parts = [read(spark, sf, t).agg(rows_n().alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "pages", "events")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -307,7 +310,7 @@ def cp23(spark, sf):
 def cp24(spark, sf):
     j = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id").groupBy("lang")
     ok = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0)
-    return j.agg(N.alias("cases"), F.round(F.avg(ok), 6).alias("pass_rate"))
+    return j.agg(rows_n().alias("cases"), F.round(F.avg(ok), 6).alias("pass_rate"))
 
 
 @register("cp25_llm_contract", "select event_id, cast(json_extract(props, '$.k') as int) as k, 'ok' as status from events")
