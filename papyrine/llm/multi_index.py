@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from papyrine.llm.components import components
 from papyrine.llm.scratch import Scratch, prepare_python
 
-#: Vectors that may be used to fit codebooks, and codewords of each half.
-SAMPLE, CODEWORDS = 4096, 24
+#: Vectors that may be used to fit codebooks; vectors of a label that a cell should hold; most codewords of a half.
+SAMPLE, PER_CELL, MOST_CODEWORDS = 4096, 256, 64
 #: Vectors of one cell in a block.
 BLOCK = 1024
 #: Slack on the squared distance, for rounding.
@@ -123,13 +123,14 @@ def near_duplicate_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     cosine: float = 0.98,
-    codewords: int = CODEWORDS,
+    codewords: int | None = None,
     sample: int = SAMPLE,
     block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
-    Only vectors of one label that is not null are compared.  Vectors that are null, empty, zero or hold
+    ``codewords`` of each half make codewords^2 cells; by default as many as give cells of about
+    ``PER_CELL`` vectors of a label.  Only vectors of one label that is not null are compared.  Vectors that are null, empty, zero or hold
     a null or non-finite component link with nothing, as do rows of null id.  Vectors of different
     length are compared within their length.  Equal vectors are links of each other.  Rows of one id
     are counted as rows, and share a component.  An empty table gives an empty result.
@@ -156,7 +157,12 @@ def near_duplicate_vectors(
         picked = own.orderBy(F.xxhash64("id")).limit(sample).select("id", "v").collect()  # bounded by ``sample``
         points = unit(np.array([r["v"] for r in sorted(picked, key=lambda r: r["id"])]))
         half = max(1, width // 2)
-        books = [kmeans(points[:, :half], codewords, 1), kmeans(points[:, half:] if width > 1 else points[:, :0], codewords, 2)]
+        if codewords is None:
+            n, labels = own.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
+            k = min(MOST_CODEWORDS, max(4, round((n / PER_CELL / max(labels, 1)) ** 0.5)))
+        else:
+            k = codewords
+        books = [kmeans(points[:, :half], k, 1), kmeans(points[:, half:] if width > 1 else points[:, :0], k, 2)]
         parts.append(_links(own, width, half, books, cosine, block, scratch))
     if not parts:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
