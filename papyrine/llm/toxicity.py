@@ -25,7 +25,7 @@ from papyrine.llm.scratch import Scratch, prepare_python
 FEATURE_BITS = 22
 PREFIXES = (4, 5, 6)
 FOLDS, FEATURES = 5, 2048
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -95,22 +95,23 @@ class Rows:
     feature: np.ndarray
     row: np.ndarray
     n: int
+    width: int
 
     def take(self, keep: np.ndarray) -> Rows:
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(np.int32)
         inside = keep[self.row]
-        return Rows(self.feature[inside], place[self.row[inside]], int(keep.sum()))
+        return Rows(self.feature[inside], place[self.row[inside]], int(keep.sum()), self.width)
 
 
-def fit_linear(x: Rows, y: np.ndarray, chain: np.ndarray, *, most: int = FEATURES, ridge: float = 0.02, rounds: int = 150) -> Linear:
+def fit_linear(x: Rows, y: np.ndarray, chain: np.ndarray, *, most: int = FEATURES, ridge: float = 0.005, rounds: int = 200) -> Linear:
     """Logistic regression by accelerated gradient steps on the features that part the classes best."""
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     prior = float(np.clip((pos + 0.5) / (len(y) + 1), 1e-4, 1 - 1e-4))
     n_chain = chain.shape[1]
     if not pos or not neg:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(n_chain), float(np.log(prior / (1 - prior))))
-    size = 1 << FEATURE_BITS
-    a = np.bincount(x.feature, weights=y[x.row], minlength=size)
+    size = x.width
+    a = np.bincount(x.feature[y[x.row] > 0], minlength=size)
     b = np.bincount(x.feature, minlength=size) - a
     score = np.zeros(size)
     seen = np.flatnonzero(a + b >= 3)
@@ -118,7 +119,7 @@ def fit_linear(x: Rows, y: np.ndarray, chain: np.ndarray, *, most: int = FEATURE
     score[seen] = np.abs(gap) / np.sqrt(1 / (a[seen] + 0.5) + 1 / (b[seen] + 0.5))
     index = np.sort(np.argsort(-score, kind="stable")[:most])
     index = index[score[index] > 2.0]
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[index] = np.arange(len(index))
     at = place[x.feature]
     row, col = x.row[at >= 0], at[at >= 0]
@@ -145,29 +146,53 @@ def fit_linear(x: Rows, y: np.ndarray, chain: np.ndarray, *, most: int = FEATURE
 
 def predict(model: Linear, x: Rows, chain: np.ndarray) -> np.ndarray:
     """Probabilities of rows."""
-    weight = np.zeros(1 << FEATURE_BITS)
+    weight = np.zeros(x.width)
     weight[model.index] = model.weights
     return _sigmoid(np.bincount(x.row, weights=weight[x.feature], minlength=x.n) + chain @ model.chain + model.bias)
 
 
-def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
+@dataclass
+class Chain:
+    """Models in order, and the cut that parts the last category best in out-of-fold predictions."""
+
+    models: list[Linear]
+    cut: float
+
+
+def best_cut(p: np.ndarray, y: np.ndarray, *, cost: float = 3.0, least: float = 0.05, most: float = 0.5) -> float:
+    """Probability that maximises hits - cost * false alarms, midway (in logits) to the next lower score."""
+    order = np.argsort(-p, kind="stable")
+    gain = np.cumsum(np.where(y[order] > 0, 1.0, -cost))
+    if not len(p) or gain.max() <= 0:
+        return most
+    # of equal scores only the last is a place to cut
+    last = np.append(p[order][1:] != p[order][:-1], True)
+    at = int(np.flatnonzero(last)[np.argmax(gain[last])])
+    low = p[order][at + 1] if at + 1 < len(p) else least
+    middle = _sigmoid((_logit(p[order][at : at + 1]) + _logit(np.array([low]))) / 2)[0]
+    return float(np.clip(middle, least, most))
+
+
+def fit_chain(x: Rows, labels: np.ndarray, folds: np.ndarray) -> Chain:
     """One model per column of ``labels`` (NaN: unknown); earlier categories enter as out-of-fold logits."""
     chain = np.zeros((x.n, 0))
-    models = []
+    models, cut = [], 0.5
     for j in range(labels.shape[1]):
         y = labels[:, j]
         known = ~np.isnan(y)
-        if j + 1 < labels.shape[1]:
-            out = np.zeros(x.n)
-            for f in range(FOLDS):
-                train = known & (folds != f)
-                if train.any():
-                    m = fit_linear(x.take(train), y[train], chain[train])
-                    out[folds == f] = predict(m, x.take(folds == f), chain[folds == f])
-        models.append(fit_linear(x.take(known), y[known], chain[known]) if known.any() else Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(j), -10.0))
-        if j + 1 < labels.shape[1]:
-            chain = np.column_stack([chain, _logit(out)])
-    return models
+        out = np.zeros(x.n)
+        for f in range(FOLDS):
+            train = known & (folds != f)
+            if train.any() and (folds == f).any():
+                m = fit_linear(x.take(train), y[train], chain[train])
+                out[folds == f] = predict(m, x.take(folds == f), chain[folds == f])
+        if known.any():
+            models.append(fit_linear(x.take(known), y[known], chain[known]))
+            cut = best_cut(out[known], y[known])
+        else:
+            models.append(Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(j), -10.0))
+        chain = np.column_stack([chain, _logit(out)])
+    return Chain(models, cut)
 
 
 def score_texts(texts: Sequence[str | None], models: list[Linear], tables: list[np.ndarray], used: np.ndarray) -> np.ndarray:
@@ -194,7 +219,7 @@ def weight_tables(models: list[Linear]) -> tuple[list[np.ndarray], np.ndarray]:
     return tables, used
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample_rows: int = SAMPLE_ROWS) -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fit the chain on at most ``sample_rows`` labelled rows, chosen by a hash of their id.
 
     ``labels`` has doc_id and a 0/1 column per category; nulls are unknown.  Repeated labels of an id and
@@ -222,10 +247,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, samp
     table = joined.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
     lists = table.column("features").combine_chunks()
     counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    x = Rows(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(counts)), counts), len(counts))
+    feature = lists.flatten().to_numpy()
+    # features of fewer than three rows are never chosen; the others are numbered closely
+    seen = np.bincount(feature, minlength=1 << FEATURE_BITS) >= 3
+    number = (np.cumsum(seen) - 1).astype(np.int32)
+    common = seen[feature]
+    x = Rows(number[feature[common]], np.repeat(np.arange(len(counts), dtype=np.int32), counts)[common], len(counts), int(seen.sum()))
+    places = np.flatnonzero(seen)
+    del feature, common, lists, seen, number
     y = np.column_stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in categories])
     ids = table.column("doc_id").to_numpy().astype(np.uint64)
-    return fit_chain(x, y, (shingles.mix(ids + np.uint64(9)) % np.uint64(FOLDS)).astype(np.int64))
+    del table
+    chain = fit_chain(x, y, (shingles.mix(ids + np.uint64(9)) % np.uint64(FOLDS)).astype(np.int64))
+    for m in chain.models:
+        m.index = places[m.index]
+    return chain
 
 
 def score(docs: DataFrame, models: list[Linear], categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +283,6 @@ def score(docs: DataFrame, models: list[Linear], categories: Sequence[str], *, i
 
 
 CHAIN = ("low_quality", "toxic")
-THRESHOLD = 0.5
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
@@ -256,18 +291,23 @@ def chain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", low.alias("low_quality"), "toxic")
 
 
-def judge_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic (p_toxic at or over ``threshold``) for every document."""
-    models = train(docs, chain_labels(labels), CHAIN, sample_rows=sample_rows)
-    return score(docs, models, CHAIN).withColumn("toxic", F.col("p_toxic") >= F.lit(threshold))
+def judge_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic for every document.
+
+    Toxic is p_toxic at or over ``threshold``; without one, the cut found in the out-of-fold predictions.
+    """
+    chain = train(docs, chain_labels(labels), CHAIN, sample_rows=sample_rows)
+    cut = chain.cut if threshold is None else threshold
+    return score(docs, chain.models, CHAIN).withColumn("toxic", F.col("p_toxic") >= F.lit(cut))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of ``docs`` whose toxic probability stays below ``threshold``; columns unchanged, texts not shuffled."""
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows of ``docs`` whose toxic probability stays below the threshold or cut; columns unchanged, texts not shuffled."""
     spark = docs.sparkSession
-    models = train(docs, chain_labels(labels), CHAIN, sample_rows=sample_rows)
+    chain = train(docs, chain_labels(labels), CHAIN, sample_rows=sample_rows)
+    cut = chain.cut if threshold is None else threshold
     prepare_python(spark)
-    sent = spark.sparkContext.broadcast(models)
+    sent = spark.sparkContext.broadcast(chain.models)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +315,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
         tables, used = weight_tables(own)
         for batch in batches:
             p = score_texts(batch.column(at).to_pylist(), own, tables, used)
-            yield batch.filter(pa.array(p[:, -1] < threshold))
+            yield batch.filter(pa.array(p[:, -1] < cut))
 
     return docs.mapInArrow(run, docs.schema)
