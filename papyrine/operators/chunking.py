@@ -104,3 +104,17 @@ def delimited_cells(rows: DataFrame, key: str, line: str, sep: str = "\t") -> Da
     """(key, n_fields, cell, value) of delimited lines."""
     parts = rows.select(key, F.split(line, sep).alias("__p"))
     return parts.select(key, F.size("__p").alias("n_fields"), F.posexplode("__p").alias("cell", "value"))
+
+
+def table_bodies(lines: DataFrame, key: str, place: str, line: str, least: int = 2) -> DataFrame:
+    """(key, first_line, last_line, rows): runs of neighbouring lines with ``least`` or more fields of equal number.
+
+    A run goes on while lines follow each other and keep their field count, so it is an island of
+    place minus row number within (key, fields).
+    """
+    from pyspark.sql import Window
+
+    fields = lines.select(key, place, F.size(F.split(line, r"\t|  +|\|")).alias("__n")).where(F.col("__n") >= least)
+    island = F.col(place) - F.row_number().over(Window.partitionBy(key, "__n").orderBy(place))
+    runs = fields.withColumn("__i", island).groupBy(key, "__n", "__i")
+    return runs.agg(F.min(place).alias("first_line"), F.max(place).alias("last_line"), F.count(F.lit(1)).alias("rows")).drop("__n", "__i")

@@ -87,13 +87,23 @@ def jn9(spark, sf):
 
 @register("jn10_containment", "select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def jn10(spark, sf):
-    """Documents that hold an item's text.  Both sides meet on the item's first 24 characters."""
-    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("key"))
+    """Documents that hold an item's text.
+
+    An item's second to fourth words stand as whole words in a text that holds it, so both sides meet on
+    them and the text is searched only for items it may hold; items of under five words are searched everywhere.
+    """
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     d = read(spark, sf, "documents").select("doc_id", "text")
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1)))).alias("at")
-    found = d.select("doc_id", "text", at).select("doc_id", F.col("at"), F.substr("text", F.col("at"), F.lit(24)).alias("key"))
-    hits = found.join(b, "key").select("doc_id", "item_id", "item").distinct()
-    return hits.join(d, "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    token = F.lit(r"[^ \t\n]+")
+    b = b.withColumn("w", F.regexp_extract_all("item", token, 0))
+    long = b.where(F.size("w") > 4).select("item_id", "item", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    w = d.select("doc_id", "text", F.regexp_extract_all("text", token, 0).alias("w"))
+    triples = F.zip_with(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y)), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    keys = w.select("doc_id", F.explode(F.array_distinct(triples)).alias("key"))
+    hits = keys.join(long, "key").select("doc_id", "item_id", "item")
+    found = hits.join(d, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    short = b.where(F.size("w") <= 4).select("item_id", "item")
+    return found.unionByName(d.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
 
 
 @register("jn11_cross_within_key", "select s.s_nationkey, s.s_suppkey, c.c_custkey from supplier s join customer c on s.s_nationkey = c.c_nationkey where c.c_acctbal > 9500")

@@ -221,3 +221,45 @@ def st6(spark, sf):
 def st7(spark, sf):
     s = T.sliding(T.events_stream(spark, sf), "2 days", "1 day", "event_type").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start_ts"), "n")
     return T.drained(s, "complete", "sliding")
+
+
+@register("cp18_table_bodies", """with l as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as place, case when l_returnflag = 'N' then 1 else 3 end as n from lineitem where l_orderkey % 7 = 0),
+i as (select doc, place, place - row_number() over (partition by doc order by place) as g from l where n = 3) select doc, min(place) as first_line, max(place) as last_line, count(*) as rows from i group by doc, g""")
+def cp18(spark, sf):
+    from pyspark.sql import Window
+
+    from papyrine.operators.chunking import table_bodies
+
+    l = read(spark, sf, "lineitem").where("l_orderkey % 7 = 0")
+    place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).cast("bigint")
+    line = F.when(F.col("l_returnflag") == "N", "prose").otherwise(F.concat_ws("\t", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag"))
+    return table_bodies(l.select(F.col("l_orderkey").alias("doc"), place.alias("place"), line.alias("line")), "doc", "place", "line")
+
+
+@register("cp22_archive_plan", "select page_id, case when page_id % 9 = 0 then 'skip' when contains(url, '.html') then 'copy' else 'move' end as action, 'archive/' || page_id % 100 || '/' || page_id as target from pages")
+def cp22(spark, sf):
+    """What an archive run would do, as rows; nothing is copied or moved."""
+    k = F.col("page_id")
+    action = F.when(k % 9 == 0, "skip").when(F.contains("url", F.lit(".html")), "copy").otherwise("move")
+    return read(spark, sf, "pages").select("page_id", action.alias("action"), F.concat(F.lit("archive/"), (k % 100).cast("string"), F.lit("/"), k.cast("string")).alias("target"))
+
+
+@register("src7_workbook_cells", "select r_regionkey::bigint as row, r_name as value from region")
+def src7(spark, sf):
+    """A workbook written by hand into the shared folder, read back as cells."""
+    import io
+    import zipfile
+
+    from papyrine.sources.xlsx import MAIN, read_xlsx
+
+    names = [r.r_name for r in read(spark, sf, "region").orderBy("r_regionkey").collect()]  # a table of fixed size
+    rows = "".join(f'<row r="{i + 1}"><c r="A{i + 1}" t="inlineStr"><is><t>{n}</t></is></c></row>' for i, n in enumerate(names))
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{rows}</sheetData></worksheet>')
+    path = work_folder(spark, "workbook") + "/book.xlsx"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(book.getvalue()))
+    out.close()
+    return read_xlsx(spark, path).select("row", "value")
