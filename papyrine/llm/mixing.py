@@ -15,7 +15,7 @@ The plan is one row per source: whole repetitions, and the seeded number up to w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.numbering import DRAW_BITS, draw, number_rows, word_count

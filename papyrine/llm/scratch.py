@@ -52,12 +52,3 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables:
-            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                if folder.startswith(self.root) or self.root.split(":", 1)[-1].lstrip("/") in folder:
-                    path.getFileSystem(conf).delete(path, True)
