@@ -1,10 +1,11 @@
 """Components of similar nodes from bucketed candidates, without all pairs of a bucket.
 
-Every bucket's nodes first meet only the bucket's smallest node.  Links found make components, and only
-buckets that still hold several components are looked at again: their nodes outside the largest component
-meet the others, with the sketches compared inside the join's condition.  Pairs inside a component are
-skipped because they change no component; no pair between components is left out and no bucket is capped.
-A bucket's rows are spread by the join's skew handling, never gathered in one task.
+Work goes in rounds.  In each, every bucket that still holds several components picks a hub in its largest
+one, and each node outside that component meets the hub, at most once for each component it could join
+(in the first round, once).  Verified links merge components.  In the last round, in the buckets that
+still hold several, the nodes outside the largest component meet all others.  Pairs inside a component are skipped because they change no component; no pair
+between components is left out and no bucket is capped.  A group of n near copies costs about n comparisons,
+and a bucket's rows are never gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from papyrine.llm.components import components
 from papyrine.llm.scratch import Scratch
 
 Close = Callable[[str, str], Column]
+ROUNDS = 3
 
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
@@ -31,41 +33,60 @@ def link(
     close: Close,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b) that connect all similar nodes, and (node, component).
 
     ``nodes`` has id and whatever ``close(a, b)`` reads, which sees each column with the side's name appended;
-    ``posts`` has (id, key); ``verify`` maps pairs (a, b) to those that are similar.
+    ``posts`` has (id, key); ``verify`` maps pairs (a, b) to those that are similar.  ``rest`` finds the links of
+    the last round from (mixed, labels); by default a join whose condition compares the sketches.
     """
-    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    hubs = posts.groupBy("key").agg(F.min("id").alias("main"), F.max("id").alias("last")).where("main < last").drop("last")
     shared = scratch.table(posts.join(hubs, "key"), "buckets")
-    stars = shared.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    stars = scratch.table(stars.where(close("a", "b")).select("a", "b").distinct(), "stars")
-    links = verify(stars.groupBy("a").agg(F.min("b").alias("b")))
+    first = shared.where("id > main").groupBy(F.col("id").alias("a")).agg(F.min("main").alias("b"))
+    shared = shared.drop("main")
+
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        met = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
+        return scratch.table(met.where(close("a", "b")).select("a", "b"), name)
+
+    links = verify(possible(first, "first"))
     label = components(links, scratch)
-    for step in ("stars", "rest"):
-        if step == "stars":
-            mine, yours = label.toDF("a", "ca"), label.toDF("b", "cb")
-            pairs = stars.join(mine, "a", "left").join(yours, "b", "left")
-            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    mixed = _mixed(shared, label, scratch)
+    for step in range(1, ROUNDS + 1):
+        if mixed.isEmpty():
+            return links, label
+        if step < ROUNDS:
+            # a hub differs from round to round, and is the same for a component wherever it is the largest
+            order = F.xxhash64(F.lit(step), "id")
+            hub = mixed.where("component = main").groupBy("key").agg(F.min_by("id", order).alias("hub"))
+            met = mixed.where("component <> main").join(hub, "key")
+            pairs = met.groupBy(F.col("id").alias("a"), "main").agg(F.min("hub").alias("b")).select("a", "b").distinct()
+            more = verify(possible(pairs, f"round-{step}"))
+        elif rest is not None:
+            more = rest(mixed, label)
         else:
-            pairs = _between(shared, nodes, label, close, scratch)
-        pairs = scratch.table(pairs.distinct(), f"open-{step}")
-        if not pairs.isEmpty():
-            links = links.unionByName(verify(pairs))
+            more = verify(scratch.table(_between(mixed, nodes, close, scratch).distinct(), "between"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
             label = components(links, scratch)
+            if step < ROUNDS:
+                mixed = _mixed(mixed.select("key", "id"), label, scratch)
     return links, label
 
 
-def _between(shared: DataFrame, nodes: DataFrame, label: DataFrame, close: Close, scratch: Scratch) -> DataFrame:
-    """Pairs of different components that meet in a bucket and are not excluded by ``close``."""
+def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, component, main) of the buckets that hold several components; main is the largest."""
     placed = shared.select("key", "id").join(label.toDF("id", "component"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = mixed.where("parts > 1").drop("parts")
-    sides = scratch.table(placed.join(mixed, "key").join(nodes, "id"), "sides")
+    return scratch.table(placed.join(mixed.where("parts > 1").drop("parts"), "key").select("key", "id", "component", "main"), "mixed")
+
+
+def _between(mixed: DataFrame, nodes: DataFrame, close: Close, scratch: Scratch) -> DataFrame:
+    """Pairs of different components that meet in a bucket and are not excluded by ``close``."""
+    sides = scratch.table(mixed.join(nodes, "id"), "sides")
     outside = _side(sides.where("component <> main"), "a")
     others = _side(sides, "b")
     met = (F.col("componentb") == F.col("mainb")) | (F.col("a") < F.col("b"))

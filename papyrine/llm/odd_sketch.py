@@ -5,14 +5,11 @@
     sketch of the samples that differ, and its population count estimates their number and so the similarity.
 2.  Texts with equal sets become one node.  A pair of nodes is a candidate if they share a band's key and
     their sketches and sizes do not exclude the wanted similarity; it is confirmed on full sets.
-3.  A bucket's nodes first meet only the bucket's smallest node, once; links found make components.
-    Where a bucket still holds several components, the nodes outside its largest one meet the others
-    inside the join's condition.  Pairs within a component need no look: they change no component.
-    So a group of n copies costs about n comparisons, no pair between components is left out, and no
-    bucket is capped.
-
-A pair at the threshold 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the sketch filter
-keeps pairs down to an estimate of 0.5, five standard deviations below.
+3.  ``linking`` makes components of the confirmed pairs: about n comparisons for a group of n copies, no
+    pair between components left out, no bucket capped.
+
+A pair at the threshold 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6, and passes the sketches
+with all but 1e-5.
 """
 
 from __future__ import annotations
@@ -30,13 +27,19 @@ from pyspark.sql import types as T
 from papyrine.llm import shingles
 from papyrine.llm.components import components
 from papyrine.llm.linking import link
+from papyrine.llm.runs import GROUP, blocks, runs
 from papyrine.llm.scratch import Scratch, prepare_python
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS = 32, 4
+#: MinHash samples folded into a sketch (the bands use the first of them), and its bits.
+SAMPLES, BITS = 256, 1024
 SEED = 11
 LANES = BITS // 64
-#: Most differing bits of two sketches: at an estimated similarity of 0.5, BITS/2 * (1 - exp(-2*D/BITS)) for D = BANDS*ROWS.
-SKETCH_LIMIT = round(BITS / 2 * (1 - np.exp(-2 * BANDS * ROWS / BITS)))
+#: Nodes of a bucket that meet each other in one group.
+BLOCK = 1024
+#: Most differing bits of two sketches.  At a similarity of 0.75 they differ in 113 bits on average with a standard
+#: deviation of 15, so 178 are 4.3 deviations more; that many stand for an estimate of 0.575.
+SKETCH_LIMIT = 178
 
 SIGNATURE = T.StructType(
     [
@@ -58,7 +61,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
-def estimate(differing: int, samples: int = BANDS * ROWS, bits: int = BITS) -> float:
+def estimate(differing: int, samples: int = SAMPLES, bits: int = BITS) -> float:
     """Similarity that a count of differing sketch bits stands for."""
     if 2 * differing >= bits:
         return 0.0
@@ -70,9 +73,9 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k = BANDS * ROWS
-    mul, offset = shingles.permutations(k, SEED)
-    weights = shingles.multipliers(k, SEED + 2).reshape(BANDS, ROWS)
+    mul, offset = shingles.permutations(SAMPLES, SEED)
+    used = BANDS * ROWS
+    weights = shingles.multipliers(used, SEED + 2).reshape(BANDS, ROWS)
     salt = shingles.multipliers(BANDS, SEED + 4)
     for batch in batches:
         m = batch.num_rows
@@ -83,7 +86,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 f1[i], f2[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(shingles.mix(s + np.uint64(77)))
                 low = shingles.minima(s, mul, offset)
-                bands[i] = shingles.mix((shingles.mix(low).reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt)
+                bands[i] = shingles.mix((shingles.mix(low[:used]).reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt)
                 sketch[i] = odd_sketch(low)
         offsets = pa.array(np.arange(0, m * BANDS + 1, BANDS, dtype=np.int32))
         columns = [batch.column("id"), pa.array(n), _long(f1), _long(f2), pa.ListArray.from_arrays(offsets, _long(bands.ravel()))]
@@ -110,28 +113,106 @@ def _close(a: str, b: str) -> Column:
 
 
 class _Verifier:
-    """Confirms candidate pairs on full sets; a text's set is made once."""
+    """Confirms candidates on full sets; a text's set is made once."""
 
-    def __init__(self, texts: DataFrame, percent: int, scratch: Scratch):
-        self.texts, self.percent, self.scratch = texts, percent, scratch
+    def __init__(self, texts: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch):
+        self.texts, self.nodes, self.percent, self.scratch = texts, nodes, percent, scratch
         self.known: DataFrame | None = None
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that are similar enough, as a written table."""
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def _need(self, wanted: DataFrame) -> DataFrame:
+        """Sets of at least the wanted ids."""
         if self.known is not None:
-            wanted = wanted.join(self.known.select("id"), "id", "left_anti")
-            wanted = self.scratch.table(wanted, "wanted")
+            wanted = self.scratch.table(wanted.join(self.known.select("id"), "id", "left_anti"), "wanted")
         if self.known is None or not wanted.isEmpty():
-            found = self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets, SET)
+            # the same plan at every size: texts move to the wanted ids, which at scale are no small table
+            found = self.texts.hint("merge").join(wanted, "id", "left_semi").mapInArrow(_sets, SET)
             found = self.scratch.table(found, "sets")
             self.known = found if self.known is None else self.known.unionByName(found)
-        left, right = self.known.toDF("a", "sa"), self.known.toDF("b", "sb")
-        both = pairs.select("a", "b").join(left, "a").join(right, "b")
+        return self.known
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are similar enough, as a written table."""
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        known = self._need(wanted)
+        both = pairs.select("a", "b").join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - shared
         return self.scratch.table(both.where(shared * 100 >= union * self.percent).select("a", "b").distinct(), "links")
 
+    def rest(self, mixed: DataFrame, label: DataFrame) -> DataFrame:
+        """Links between components that meet in a bucket: one for each node and component that are linked.
+
+        First the sketches of a bucket's nodes, in blocks, name (node, component) pairs with a close member;
+        then the node meets the component's members in blocks until one is confirmed on full sets.
+        Only such pairs and links leave a task, never the candidates.
+        """
+        percent, lanes = self.percent, [f"s{i}" for i in range(LANES)]
+        sides = self.scratch.table(mixed.join(self.nodes, "id"), "sides")
+        met = blocks(sides.where("component <> main"), sides, "key", BLOCK)
+        group = ["key", *GROUP]
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in runs(batches, group):
+                asks = t.column("asks").to_numpy()
+                k = int(asks.sum())
+                if not 0 < k < len(asks):
+                    continue
+                col = {c: t.column(c).to_numpy() for c in ("id", "component", "main", "n", *lanes)}
+                a, b = {c: v[:k] for c, v in col.items()}, {c: v[k:] for c, v in col.items()}
+                other = (b["component"] == b["main"])[None, :] | (a["id"][:, None] < b["id"][None, :])
+                close = other & (a["component"][:, None] != b["component"][None, :]) & _close_matrix(a, b, percent, lanes)
+                x, y = np.nonzero(close)
+                if len(x):
+                    found = np.unique(np.stack([a["id"][x], b["component"][y]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["id", "component"])
+
+        near_pairs = met.mapInArrow(near, "id bigint, component bigint").distinct()
+        near_pairs = self.scratch.table(near_pairs, "near")
+        members = label.toDF("id", "component")
+        alone = near_pairs.select("component").distinct()
+        alone = alone.join(members.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), "component")
+        members = members.unionByName(alone).join(near_pairs.select("component").distinct(), "component", "left_semi")
+        known = self._need(near_pairs.select("id").unionByName(members.select("id")).distinct())
+        full = self.scratch.table(self.nodes.join(known, "id"), "full")
+        columns = ["component", "id", "n", *lanes, "set"]
+        asking, asked = near_pairs.join(full, "id").select(columns), members.join(full, "id").select(columns)
+        met = blocks(asking, asked, "component", BLOCK // 4, (near_pairs, members))
+        group2 = ["component", *GROUP]
+
+        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in runs(batches, group2):
+                asks = t.column("asks").to_numpy()
+                k = int(asks.sum())
+                if not 0 < k < len(asks):
+                    continue
+                col = {c: t.column(c).to_numpy() for c in ("id", "n", *lanes)}
+                a, b = {c: v[:k] for c, v in col.items()}, {c: v[k:] for c, v in col.items()}
+                lists = t.column("set").combine_chunks()
+                ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+                ends = ends - ends[0]
+                links = []
+                for x, row in enumerate(_close_matrix(a, b, percent, lanes)):
+                    mine = flat[ends[x] : ends[x + 1]]
+                    for y in np.flatnonzero(row):
+                        theirs = flat[ends[k + y] : ends[k + y + 1]]
+                        both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                        if both * 100 >= (len(mine) + len(theirs) - both) * percent:
+                            links.append((int(a["id"][x]), int(b["id"][y])))
+                            break
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+        return self.scratch.table(met.mapInArrow(confirm, "a bigint, b bigint").where("a <> b").distinct(), "links")
+
+
+def _close_matrix(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int, lanes: list[str]) -> np.ndarray:
+    """Pairs whose sizes and sketches do not exclude the wanted similarity."""
+    differing = np.zeros((len(a["id"]), len(b["id"])), np.uint16)
+    for s in lanes:
+        differing += np.bitwise_count(a[s].view(np.uint64)[:, None] ^ b[s].view(np.uint64)[None, :])
+    low, high = np.minimum.outer(a["n"], b["n"]), np.maximum.outer(a["n"], b["n"])
+    return (differing <= SKETCH_LIMIT) & (low * 100 >= high * percent)
+
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
@@ -154,8 +235,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     posts = nodes.select("id", F.explode("bands").alias("key"))
     nodes = nodes.select("id", "n", *[f"s{i}" for i in range(LANES)])
-    verify = _Verifier(texts, percent, scratch)
-    links, label = link(nodes, posts, lambda a, b: _similar_size(f"n{a}", f"n{b}", percent) & _close(a, b), verify, scratch)
+    verify = _Verifier(texts, nodes, percent, scratch)
+    links, label = link(nodes, posts, lambda a, b: _similar_size(f"n{a}", f"n{b}", percent) & _close(a, b), verify.pairs, scratch, verify.rest)
 
     # documents of equal sets follow their node; documents of one id follow each other
     member = usable.join(groups.select(*key, "rep"), key).select("id", "rep").where("id <> rep").distinct()
