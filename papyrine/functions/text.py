@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 def occurrences(text: Column, term: str) -> Column:
     """How often a literal occurs, overlaps not counted."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    # lengths in bytes are read off, lengths in characters are counted
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))
+    return (gone / len(term.encode())).cast("int")
 
 
 def words(text: Column, least: int = 1) -> Column:

@@ -82,9 +82,11 @@ def field_score(values: Column, query: str) -> Column:
 
 def keyword_search(papers: DataFrame, terms: Sequence[str], *, filters: Filters = Filters(), weights: Mapping[str, float], top_k: int) -> DataFrame:
     """Papers that pass the filters and hold a term, best first: score, then year (null as 0), title, id."""
-    scored = passes(papers, filters).withColumn("kw", keyword_score(terms, weights)).where("kw > 0")
+    scored = passes(papers, filters).withColumn("kw", keyword_score(terms, weights))
     scored = scored.withColumn("score", F.round(F.col("kw") + filter_score(filters), 4))
-    best = scored.orderBy(F.desc("score"), F.desc(F.coalesce("year", F.lit(0))), "title", "paper_id").limit(top_k)
+    # rows without a term score lowest, so they may be dropped from the top k: a filter before it would
+    # be pushed to the scan and the scores computed twice
+    best = scored.orderBy(F.desc("score"), F.desc(F.coalesce("year", F.lit(0))), "title", "paper_id").limit(top_k).where("kw > 0")
     return best.select("paper_id", "title", "year", "score", excerpt(F.col("abstract"), [t.lower() for t in terms]).alias("excerpt"))
 
 

@@ -214,12 +214,12 @@ def rk5(spark, sf):
 select 'keyword' as mode, paper_id, s as score from kw where s > 0 union all select 'field', paper_id, cast(s as double) from f union all
 select 'hybrid', coalesce(kw.paper_id, f.paper_id), cast(coalesce(kw.s, 0) + coalesce(f.s, 0) as double) from (select * from kw where s > 0) kw full outer join f on kw.paper_id = f.paper_id""")
 def rk6(spark, sf):
+    """One pass over the papers gives all three modes."""
     p = papers(spark, sf).where("lang = 'en'")
-    kw = p.select("paper_id", S.keyword_score(["from"], {"abstract": 3.0}).alias("k")).where("k > 0")
-    fs = p.select("paper_id", S.field_score(F.col("tags"), "src7").alias("f")).where("f > 0")
-    both = kw.join(fs, "paper_id", "full").select(F.lit("hybrid").alias("mode"), "paper_id", (F.coalesce("k", F.lit(0.0)) + F.coalesce("f", F.lit(0.0))).alias("score"))
-    one = kw.select(F.lit("keyword").alias("mode"), "paper_id", F.col("k").alias("score"))
-    return one.unionByName(fs.select(F.lit("field").alias("mode"), "paper_id", F.col("f").alias("score"))).unionByName(both)
+    scored = p.select("paper_id", S.keyword_score(["from"], {"abstract": 3.0}).alias("k"), S.field_score(F.col("tags"), "src7").alias("f"))
+    modes = {"keyword": F.col("k"), "field": F.col("f"), "hybrid": F.col("k") + F.col("f")}
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), v.alias("score")) for m, v in modes.items()])
+    return scored.select("paper_id", F.inline(F.filter(rows, lambda r: r["score"] > 0))).select("mode", "paper_id", "score")
 
 
 def _asset_sql(w: dict[str, float], query: str) -> str:
