@@ -1,11 +1,11 @@
 """Line deduplication by MinHash [native]: DataFrame functions only.
 
-Lines are trimmed and A-Z lower-cased; empty ones are left alone.  A line's set holds its distinct shingles of
+Lines are trimmed and lower-cased; empty ones are left alone.  A line's set holds its distinct shingles of
 ``WIDTH`` characters (a shorter line is one shingle).  Each shingle is exploded to a row and hashed by ``BASES``
 functions; rotations and masks of a hash are further permutations, since other bits then lead.  The minima by
 line come from one aggregation whose map side already holds whole lines, and equal lines meet there.
-``BANDS`` overlapping triples of the ``SAMPLES`` minima are the keys of buckets: a pair at the threshold shares
-none with probability about 0.001.  Candidates are verified by exact Jaccard similarity of their
+``BANDS``, triples of the ``SAMPLES`` minima, are the keys of buckets: a pair at the threshold shares none with
+probability about 0.002, one at 0.8 with 0.0003.  Candidates are verified by exact Jaccard similarity of their
 shingles, links are joined by distributed union-find, and one line per component stays: the first by
 (doc_id, line number).
 """
@@ -24,8 +24,8 @@ from papyrine.llm.scratch import Scratch
 WIDTH = 8
 BASES, TURNS, MASKS = 3, 4, 2
 SAMPLES = BASES * TURNS * MASKS
-#: Triples of samples that make a band: cyclic, every sample in two of them.
-BANDS = tuple((i % SAMPLES, (i + 1 + i // 8) % SAMPLES, (i + 11) % SAMPLES) for i in range(0, 2 * SAMPLES, 3))
+#: Triples of samples that make a band: neighbours, and samples a third apart; two bands share one sample at most.
+BANDS = tuple((3 * i, 3 * i + 1, 3 * i + 2) for i in range(SAMPLES // 3)) + tuple((i, i + SAMPLES // 3, i + 2 * SAMPLES // 3) for i in range(SAMPLES // 3))
 #: Equal samples below which a candidate is not verified: 0.75 * 24 less four standard deviations.
 LEAST_EQUAL = 9
 MASK = 0x5555_AAAA_3333_CCCC - (1 << 63)
@@ -34,8 +34,8 @@ MASK = 0x5555_AAAA_3333_CCCC - (1 << 63)
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, text) for every line that is not blank; ``line`` is trimmed and lower-cased."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "raw"))
-    trimmed = F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    lower = F.translate(trimmed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # lower and btrim work on bytes; translate and regexp_replace would cost three times as much
+    lower = F.lower(F.btrim("raw", F.lit(" \t\n\r\x0b\x0c")))
     return lines.select("doc_id", "line_no", lower.alias("line")).where("line <> ''")
 
 
@@ -48,6 +48,11 @@ def _shingle(codes: Column, at: Column) -> Column:
     return F.substring(codes, at * 4 + 1, F.lit(4 * WIDTH))
 
 
+def _last(codes: Column) -> Column:
+    """Place of a text's last shingle."""
+    return F.greatest((F.octet_length(codes) / 4).cast("int") - WIDTH, F.lit(0))
+
+
 def _turned(h: Column, turn: int) -> Column:
     if not turn:
         return h
@@ -57,9 +62,9 @@ def _turned(h: Column, turn: int) -> Column:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, node, m0..): one row per distinct line, its smallest occurrence number and its samples."""
-    codes = F.encode("line", "UTF-32")
-    last = F.greatest(F.char_length("line") - WIDTH, F.lit(0))
-    rows = lines.select("h1", "h2", "row", codes.alias("codes"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    # encoded below the generator: once for each line, not once for each shingle
+    coded = lines.select("h1", "h2", "row", F.encode("line", "UTF-32").alias("codes"))
+    rows = coded.select("h1", "h2", "row", "codes", F.explode(F.sequence(F.lit(0), _last(F.col("codes")))).alias("at"))
     shingle = _shingle(F.col("codes"), F.col("at"))
     hashed = rows.select("h1", "h2", "row", *[F.xxhash64(F.lit(b), shingle).alias(f"b{b}") for b in range(BASES)])
     samples = []
@@ -72,21 +77,33 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 class _Exact:
-    """Exact Jaccard similarity of the lines' shingles."""
+    """Exact Jaccard similarity of the lines' shingles; a line's set is made once."""
 
     def __init__(self, lines: DataFrame, signed: DataFrame, percent: int, scratch: Scratch):
         self.lines, self.signed, self.percent, self.scratch = lines, signed, percent, scratch
+        self.known: DataFrame | None = None
+
+    def _need(self, wanted: DataFrame) -> DataFrame:
+        if self.known is not None:
+            wanted = self.scratch.table(wanted.join(self.known.select("id"), "id", "left_anti"), "wanted")
+            if wanted.isEmpty():
+                return self.known
+        keys = self.signed.select(F.col("node").alias("id"), "h1", "h2").join(wanted, "id", "left_semi").withColumnRenamed("id", "row")
+        # a node is the number of one row, so each wanted line is met once; the first texts move by the
+        # same plan at every size, later ones are few
+        lines = self.lines.select("row", "h1", "h2", "line")
+        texts = (lines.hint("merge") if self.known is None else lines).join(keys, ["row", "h1", "h2"], "left_semi")
+        # codes is read twice, so the optimizer keeps it out of the lambda and makes it once for each line
+        coded = texts.select(F.col("row").alias("id"), F.encode("line", "UTF-32").alias("codes"))
+        hashed = F.transform(F.sequence(F.lit(0), _last(F.col("codes"))), lambda at: F.xxhash64(_shingle(F.col("codes"), at)))
+        sets = self.scratch.table(coded.select("id", F.array_distinct(hashed).alias("set")), "line-sets")
+        self.known = sets if self.known is None else self.known.unionByName(sets)
+        return self.known
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = self.signed.select("h1", "h2", "node").join(wanted, "node", "left_semi").withColumnRenamed("node", "row")
-        # a node is the number of one row, so each wanted line is met once
-        texts = self.lines.select("row", "h1", "h2", "line").join(keys.select("row", "h1", "h2"), ["row", "h1", "h2"], "left_semi")
-        codes, last = F.encode("line", "UTF-32"), F.greatest(F.char_length("line") - WIDTH, F.lit(0))
-        hashed = F.transform(F.sequence(F.lit(0), last), lambda at: F.xxhash64(_shingle(F.col("codes"), at)))
-        sets = texts.select("row", "line", codes.alias("codes")).select(F.col("row").alias("id"), F.array_distinct(hashed).alias("set"))
-        sets = self.scratch.table(sets, "line-sets")
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = self._need(wanted)
+        both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - shared
         return self.scratch.table(both.where(shared * 100 >= union * self.percent).select("a", "b").distinct(), "links")
@@ -102,6 +119,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _keyed(split_lines(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
     signed = scratch.table(signatures(lines), "signatures")
+    places = scratch.table(lines.select("doc_id", "line_no", "h1", "h2"), "places")
     nodes = signed.select(F.col("node").alias("id"), *[f"m{i}" for i in range(SAMPLES)])
     keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in band]) for k, band in enumerate(BANDS)]
     posts = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
@@ -112,7 +130,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     _, label = link(nodes, posts, close, _Exact(lines, signed, percent, scratch), scratch)
     component = signed.select("h1", "h2", "node").join(label, "node", "left")
     component = component.select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    placed = scratch.table(lines.select("doc_id", "line_no", "h1", "h2").join(component, ["h1", "h2"]).drop("h1", "h2"), "placed")
+    placed = scratch.table(places.join(component, ["h1", "h2"]).drop("h1", "h2"), "placed")
     keeper = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
     return placed.join(keeper, "component").select(
         "doc_id",

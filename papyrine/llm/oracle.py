@@ -74,7 +74,7 @@ select doc_id, size, source_size, target, ((whole + case when middle < wanted th
 
 _TRIM = r"[\x20\x09-\x0D]+"
 _OP6 = f"""with recursive x as (select doc_id, string_split(text, chr(10)) as l from documents),
-o as (select doc_id, i - 1 as line_no, {_LOW.format(f"regexp_replace(l[i], '^{_TRIM}|{_TRIM}$', '', 'g')")} as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from x)),
+o as (select doc_id, i - 1 as line_no, lower(regexp_replace(l[i], '^{_TRIM}|{_TRIM}$', '', 'g')) as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from x)),
 k as (select line, row_number() over () as id from (select distinct line from o where line <> '')),
 s as (select id, list_distinct([substr(line, i, 8) for i in range(1, greatest(length(line) - 7, 1) + 1)]) as s from k),
 n as (select id, len(s) as n from s), e as (select id, unnest(s) as g from s),
