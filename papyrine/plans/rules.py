@@ -118,9 +118,9 @@ def tx13(spark, sf):
     return C.mention_spans(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text", [r"[A-Z][a-z]+ [a-z]+ing", r"[a-z]+ing"])
 
 
-@register("tx14_references", "select distinct doc_id, lower(m) as reference from (select doc_id, unnest(regexp_extract_all(text, '(?:[Tt]able|[Ff]ig|https?)[^ ]{0,12}')) as m from documents)")
+@register("tx14_references", "select distinct doc_id, lower(m) as reference from (select doc_id, unnest(regexp_extract_all(text, '[0-9]{3}[-. ][0-9]{4}')) as m from documents)")
 def tx14(spark, sf):
-    m = F.explode(F.regexp_extract_all("text", F.lit("(?:[Tt]able|[Ff]ig|https?)[^ ]{0,12}"), 0))
+    m = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}[-. ][0-9]{4}"), 0))
     return _docs(spark, sf).select("doc_id", m.alias("m")).select("doc_id", F.lower("m").alias("reference")).distinct()
 
 
@@ -395,10 +395,10 @@ def ql10(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.round(q, 6).alias("quality"))
 
 
-@register("ql11_guardrails", "select c.conv_id, c.turn from conversations c where role = 'assistant' and not exists (select 1 from conversations u where u.conv_id = c.conv_id and u.role = 'user')")
+@register("ql11_guardrails", "select c.conv_id, c.turn from conversations c where role = 'assistant' and not exists (select 1 from conversations u where u.conv_id = c.conv_id and u.role = 'system')")
 def ql11(spark, sf):
     c = read(spark, sf, "conversations")
-    u = c.where("role = 'user'").select("conv_id")
+    u = c.where("role = 'system'").select("conv_id")
     return c.where("role = 'assistant'").join(u, "conv_id", "left_anti").select("conv_id", "turn")
 
 

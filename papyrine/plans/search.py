@@ -276,10 +276,10 @@ def rk24(spark, sf):
     return papers(spark, sf).where("year is not null").select("paper_id", F.round(h, 6).alias("hotness")).orderBy(F.desc("hotness"), "paper_id").limit(10)
 
 
-@register("rk28_entity_search_order", "select p_partkey, p_name, case when lower(p_name) = 'part 112' then 0 else 1 end as kind from part where contains(lower(p_name), '12') order by kind, p_partkey limit 30")
+@register("rk28_entity_search_order", "select p_partkey, p_name, case when lower(p_name) = 'small ring' then 0 else 1 end as kind from part where contains(lower(p_name), 'ring') order by kind, p_partkey limit 30")
 def rk28(spark, sf):
-    kind = F.when(F.lower("p_name") == "part 112", 0).otherwise(1)
-    return read(spark, sf, "part").where(F.lower("p_name").contains("12")).select("p_partkey", "p_name", kind.alias("kind")).orderBy("kind", "p_partkey").limit(30)
+    kind = F.when(F.lower("p_name") == "small ring", 0).otherwise(1)
+    return read(spark, sf, "part").where(F.lower("p_name").contains("ring")).select("p_partkey", "p_name", kind.alias("kind")).orderBy("kind", "p_partkey").limit(30)
 
 
 @register("rk32_sorted_list", P + "select paper_id, title, year from papers where lang = 'es' order by year asc nulls last, title, paper_id limit 40")
