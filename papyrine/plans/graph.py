@@ -112,8 +112,8 @@ def tm1(spark, sf):
 
 @register("tm1b_merged_phases")
 def tm1b(spark, sf):
-    """Phases merged from the left until each holds enough papers; one row per phase is all that is scanned in order."""
-    return T.merged_phases(papers(spark, sf).where("year is not null and year % 7 = 0").select("year"), "year", 60)
+    """Phases of all dated papers merged from the left until each holds 60 (the reference's default is 3); one row per phase is scanned in order."""
+    return T.merged_phases(papers(spark, sf).where("year is not null").select("year"), "year", 60)
 
 
 @register("tm2_three_way", f"with {YEARS}, b as (select min(year) as lo, max(year) as hi from y) select case when year <= lo + (hi - lo) / 3.0 then 'early' when year <= lo + 2 * (hi - lo) / 3.0 then 'middle' else 'recent' end as period, count(*) as n from y, b group by 1")

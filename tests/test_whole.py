@@ -23,3 +23,24 @@ def test_degree_capped_pairs_of_all_vectors(spark, tmp_path):
     found = queries()["rk27_degree_capped_pairs"](spark, str(tmp_path)).collect()
     assert sorted((r.a, r.b, round(r.cosine, 9)) for r in found) == sorted(want)
     assert {r.a % 5 for r in found} == set(range(5))
+
+
+def test_merged_phases_of_all_years(spark, tmp_path):
+    ids = range(400)
+    spark.createDataFrame([(i, "a b", "en", "s", 3) for i in ids], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    years = [1990 + i % 35 for i in ids if i % 11]
+    lo = min(years)
+    width = 5 if max(years) - lo >= 15 else 3
+    parts = [p for k in range(9) if (p := sorted(y for y in years if (y - lo) // width == k))]
+    want: list[list[int]] = []
+    for p in parts:
+        if want and len(want[-1]) < 60:
+            want[-1] += p
+        else:
+            want.append(p)
+    if len(want) > 1 and len(want[-1]) < 60:
+        tail = want.pop()
+        want[-1] += tail
+    found = queries()["tm1b_merged_phases"](spark, str(tmp_path)).collect()
+    assert sorted((r.phase, r.first_year, r.last_year, r.n) for r in found) == [(i, p[0], p[-1], len(p)) for i, p in enumerate(want)]
+    assert len(want) > 1 and sum(r.n for r in found) == len(years)
