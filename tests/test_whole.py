@@ -1,6 +1,8 @@
 """Queries that must see the whole table, against brute force on small made-up tables."""
 
 import random
+import re
+from collections import Counter, defaultdict
 
 from papyrine.plans.registry import queries
 
@@ -44,3 +46,27 @@ def test_merged_phases_of_all_years(spark, tmp_path):
     found = queries()["tm1b_merged_phases"](spark, str(tmp_path)).collect()
     assert sorted((r.phase, r.first_year, r.last_year, r.n) for r in found) == [(i, p[0], p[-1], len(p)) for i, p in enumerate(want)]
     assert len(want) > 1 and sum(r.n for r in found) == len(years)
+
+
+LOREM = ["Alphabetic", "alphabetic", "Bravissimo", "contrasts", "dénouement", "elephants", "short", "with", "gratitude", "harmonica"]
+
+
+def _documents(spark, path, n=60):
+    """Texts of four languages and of none, some over 2,000 characters; returns the rows."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        text = ". ".join(" ".join(rng.choices(LOREM, k=12)) for _ in range(40 if i % 7 == 0 else 3)) + f" onlyword{chr(97 + i % 26)}{chr(97 + i // 26)}."
+        rows.append((i + (70_000 if i % 5 == 0 else 0), text, ("en", "de", "fr", "es", None)[i % 5], f"s{i % 3}", len(text)))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
+    return rows
+
+
+def test_inverted_index_of_all_words(spark, tmp_path):
+    want = defaultdict(set)
+    for i, text, *_ in _documents(spark, tmp_path):
+        for w in re.findall("[a-z]{8,}", text.lower()):
+            want[w, i // 65_536].add(i)
+    found = queries()["ag17_inverted_index"](spark, str(tmp_path)).collect()
+    assert {(r.word, r.block): (r.postings, r.docs) for r in found} == {k: (len(v), ",".join(map(str, sorted(v)))) for k, v in want.items()}
+    assert len(found) == len(want)
