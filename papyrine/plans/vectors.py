@@ -107,7 +107,7 @@ select a.source as a, b.source as b, round(len(list_intersect(a.w, b.w)) / cast(
 def gr4(spark, sf):
     from papyrine.functions.text import words
 
-    w = read(spark, sf, "documents").where("lang = 'en'").select("source", F.explode(words(F.substring("text", 1, 400), 5)).alias("w")).distinct()
+    w = read(spark, sf, "documents").select("source", F.explode(F.array_distinct(words(F.col("text"), 5))).alias("w")).distinct()
     sizes = w.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     shared = w.toDF("a", "w").join(w.toDF("b", "w"), "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     pairs = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b"))

@@ -70,3 +70,11 @@ def test_inverted_index_of_all_words(spark, tmp_path):
     found = queries()["ag17_inverted_index"](spark, str(tmp_path)).collect()
     assert {(r.word, r.block): (r.postings, r.docs) for r in found} == {k: (len(v), ",".join(map(str, sorted(v)))) for k, v in want.items()}
     assert len(found) == len(want)
+
+
+def test_topic_similarity_of_whole_texts(spark, tmp_path):
+    topics = defaultdict(set)
+    for _, text, _, source, _ in _documents(spark, tmp_path):
+        topics[source] |= set(re.findall("[a-z]{5,}", text.lower()))
+    want = {(a, b): round(len(topics[a] & topics[b]) / len(topics[a] | topics[b]), 6) for a in topics for b in topics if a < b}
+    assert {(r.a, r.b): r.jaccard for r in queries()["gr4_topic_similarity"](spark, str(tmp_path)).collect()} == want
