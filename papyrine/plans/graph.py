@@ -154,7 +154,7 @@ def tm6(spark, sf):
 
 @register("tm7_method_shift", f"with {YEARS}, s as (select o_orderpriority, list_distinct(list(o_custkey % 50) filter (year < 1998)) as old, list_distinct(list(o_custkey % 50) filter (year >= 1998)) as new from y where o_custkey < 300 group by 1) select o_orderpriority, len(list_filter(new, lambda x: not list_contains(old, x))) as added, len(list_intersect(old, new)) as stable from s")
 def tm7(spark, sf):
-    y = read(spark, sf, "orders").where("o_custkey < 300").select("o_orderpriority", (F.col("o_custkey") % 50).alias("m"), F.year("o_orderdate").alias("year"))
+    y = read(spark, sf, "orders").select("o_orderpriority", (F.col("o_custkey") % 50).alias("m"), F.year("o_orderdate").alias("year"))
     s = y.groupBy("o_orderpriority").agg(F.collect_set(F.when(F.col("year") < 1998, F.col("m"))).alias("old"), F.collect_set(F.when(F.col("year") >= 1998, F.col("m"))).alias("new"))
     return s.select("o_orderpriority", F.size(F.array_except("new", "old")).cast("bigint").alias("added"), F.size(F.array_intersect("old", "new")).cast("bigint").alias("stable"))
 

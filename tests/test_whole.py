@@ -1,5 +1,6 @@
 """Queries that must see the whole table, against brute force on small made-up tables."""
 
+import datetime
 import random
 import re
 from collections import Counter, defaultdict
@@ -78,3 +79,28 @@ def test_topic_similarity_of_whole_texts(spark, tmp_path):
         topics[source] |= set(re.findall("[a-z]{5,}", text.lower()))
     want = {(a, b): round(len(topics[a] & topics[b]) / len(topics[a] | topics[b]), 6) for a in topics for b in topics if a < b}
     assert {(r.a, r.b): r.jaccard for r in queries()["gr4_topic_similarity"](spark, str(tmp_path)).collect()} == want
+
+
+def test_table_bodies_of_all_orders(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(o, 10 * o + n, 1, n, rng.choice("NAR")) for o in range(1, 30) for n in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = []
+    for o in range(1, 30):
+        flags = "".join(r[4] for r in rows if r[0] == o)
+        want += [(o, m.start(), m.end() - 1, m.end() - m.start()) for m in re.finditer("[AR]+", flags)]
+    found = queries()["cp18_table_bodies"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc, r.first_line, r.last_line, r["rows"]) for r in found) == sorted(want)
+
+
+def test_method_shift_of_all_customers(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 57, 311, 420, 999, 1203]), rng.choice("ab"), datetime.datetime(rng.choice([1996, 1999]), 1, 1)) for _ in range(14)]
+    rows.append((1349, "a", datetime.datetime(2000, 1, 1)))
+    spark.createDataFrame(rows, "o_custkey bigint, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for p in "ab":
+        old, new = ({c % 50 for c, q, d in rows if q == p and (d.year < 1998) == early} for early in (True, False))
+        want[p] = (len(new - old), len(new & old))
+    found = queries()["tm7_method_shift"](spark, str(tmp_path)).collect()
+    assert {r.o_orderpriority: (r.added, r.stable) for r in found} == want
