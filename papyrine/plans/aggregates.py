@@ -240,13 +240,13 @@ def ag31(spark, sf):
 
 @register("ag32_keyword_top", "select word, n from (select w as word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from documents where lang = 'en') where w not in ('that', 'with', 'this', 'from') group by w) order by n desc, word limit 30")
 def ag32(spark, sf):
-    w = read(spark, sf, "documents").where("lang = 'en'").select(F.explode(words(F.col("text"), 4)).alias("word"))
+    w = read(spark, sf, "documents").select(F.explode(words(F.col("text"), 4)).alias("word"))
     return A.top_counts(w.where(~F.col("word").isin("that", "with", "this", "from")), F.col("word"), 30, "word")
 
 
 @register("ag33_bigrams", "select bigram, n from (select w[i] || ' ' || w[i + 1] as bigram, count(*) as n from (select w, unnest(range(1, len(w))) as i from (select regexp_extract_all(lower(text), '[a-z]{3,}') as w from documents where lang = 'en')) group by 1) order by n desc, bigram limit 20")
 def ag33(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'en'").select(words(F.col("text"), 3).alias("w"))
+    d = read(spark, sf, "documents").select(words(F.col("text"), 3).alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return A.top_counts(d.select(F.explode(pairs).alias("bigram")).where("bigram is not null"), F.col("bigram"), 20, "bigram")
 
@@ -349,7 +349,7 @@ def rk25(spark, sf):
     signals = {"that": 1.0, "with": 2.0, "from": 1.0}
     low = F.lower("text")
     scores = F.array(*[F.struct(F.lit(s).alias("signal"), F.least(F.lit(1.0), 0.08 * w * F.regexp_count(low, F.lit(s))).alias("score")) for s, w in signals.items()])
-    h = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.inline(scores)).where("score > 0.02")
+    h = read(spark, sf, "documents").select("doc_id", F.inline(scores)).where("score > 0.02")
     r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "signal")).cast("bigint")
     return h.withColumn("r", r).where("r <= 2").withColumn("score", F.round("score", 6))
 
@@ -395,7 +395,7 @@ u as (select category, prefix, min(doc_id) as doc_id from c group by 1, 2) selec
 def rk34(spark, sf):
     low = F.lower("text")
     category = F.when(low.contains("ononst"), "a").when(low.contains("thatin"), "b").when(low.contains("rewh"), "c").otherwise("other")
-    c = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", category.alias("category"), F.lower(F.substring("text", 1, 60)).alias("prefix"))
+    c = read(spark, sf, "documents").select("doc_id", category.alias("category"), F.lower(F.substring("text", 1, 60)).alias("prefix"))
     u = c.groupBy("category", "prefix").agg(F.min("doc_id").alias("doc_id"))
     r = F.row_number().over(Window.partitionBy("category").orderBy("doc_id"))
     return u.withColumn("r", r).where("r <= 4").select("category", "doc_id")

@@ -234,7 +234,7 @@ def set1(spark, sf):
 
 @register("set2_first_spelling", "select doc_id, word from (select doc_id, word, row_number() over (partition by doc_id, lower(word) order by pos) as r, pos from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents where lang = 'es'))) where r = 1")
 def set2(spark, sf):
-    w = read(spark, sf, "documents").where("lang = 'es'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
+    w = read(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
     return w.groupBy("doc_id", F.lower("word").alias("lw")).agg(F.min_by("word", "pos").alias("word")).select("doc_id", "word")
 
 

@@ -36,7 +36,7 @@ def tx2(spark, sf):
 
 @register("tx3_sliding_windows", "select doc_id, i as chunk, substr(text, i * 1050 + 1, 1200) as chunk_text from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 150) / 1050.0) as bigint)))) as i from documents where lang = 'de')")
 def tx3(spark, sf):
-    return C.windows(_docs(spark, sf).where("lang = 'de'"), "doc_id", "text", 1200, 150)
+    return C.windows(_docs(spark, sf), "doc_id", "text", 1200, 150)
 
 
 @register("tx4_sections", """with l as (select doc_id, i, x[i] as line from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(text, chr(10)) as x from documents))),
@@ -100,7 +100,7 @@ def tx10(spark, sf):
 
 @register("tx11_flat_chunks", f"with {SENTS} select doc_id, place, substr(sentence, 1, 1200) as chunk, 'doc:' || doc_id || ':' || lpad(cast(place as varchar), 4, '0') as chunk_id from s where length(sentence) >= 15 and lang = 'fr'")
 def tx11(spark, sf):
-    s = _sentences(spark, sf).where("lang = 'fr' and length(sentence) >= 15")
+    s = _sentences(spark, sf).where("length(sentence) >= 15")
     cid = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("place").cast("string"), 4, "0"))
     return s.select("doc_id", F.col("place").cast("bigint").alias("place"), F.substring("sentence", 1, 1200).alias("chunk"), cid.alias("chunk_id"))
 

@@ -205,7 +205,7 @@ def fn31(spark, sf):
 def fn32(spark, sf):
     from pyspark.sql import Window
 
-    w = read(spark, sf, "documents").where("lang = 'en'").select("source", F.explode(T.words(F.col("text"), 5)).alias("word")).groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+    w = read(spark, sf, "documents").select("source", F.explode(T.words(F.col("text"), 5)).alias("word")).groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
     r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "word"))
     top = w.withColumn("r", r).where("r <= 3").groupBy("source")
     return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " / ").alias("topic"))

@@ -104,3 +104,55 @@ def test_method_shift_of_all_customers(spark, tmp_path):
         want[p] = (len(new - old), len(new & old))
     found = queries()["tm7_method_shift"](spark, str(tmp_path)).collect()
     assert {r.o_orderpriority: (r.added, r.stable) for r in found} == want
+
+
+def _top(counts, n):
+    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def test_texts_of_all_languages(spark, tmp_path):
+    docs = _documents(spark, tmp_path)
+    low = {i: text.lower() for i, text, *_ in docs}
+
+    def rows(name, *cols):
+        return sorted(tuple(r[c] for c in cols) for r in queries()[name](spark, str(tmp_path)).collect())
+
+    def windows(text):
+        return [text[k : k + 1200] for k in range(0, max(1, len(text) - 150), 1050)]
+
+    assert rows("tx3_sliding_windows", "doc_id", "chunk", "chunk_text") == sorted((i, k, w) for i, text, *_ in docs for k, w in enumerate(windows(text)))
+
+    sentences = [(i, k, x.strip(" ")) for i, text, *_ in docs for k, x in enumerate(re.split(r"(?<=[.!?])[ \n\t]+", text))]
+    assert rows("tx11_flat_chunks", "doc_id", "place", "chunk", "chunk_id") == sorted((i, k, x[:1200], f"doc:{i}:{k:04d}") for i, k, x in sentences if len(x) >= 15)
+
+    spelt: dict = {}
+    for i, text, *_ in docs:
+        for w in re.findall("[A-Za-z]+", text):
+            spelt.setdefault((i, w.lower()), w)
+    assert rows("set2_first_spelling", "doc_id", "word") == sorted((i, w) for (i, _), w in spelt.items())
+
+    n = Counter(w for t in low.values() for w in re.findall("[a-z]{4,}", t) if w not in ("that", "with", "this", "from"))
+    assert rows("ag32_keyword_top", "word", "n") == sorted(_top(n, 30))
+
+    pairs = Counter(f"{a} {b}" for t in low.values() for w in [re.findall("[a-z]{3,}", t)] for a, b in zip(w, w[1:], strict=False))
+    assert rows("ag33_bigrams", "bigram", "n") == sorted(_top(pairs, 20))
+
+    by = defaultdict(Counter)
+    for i, _, _, source, _ in docs:
+        by[source].update(re.findall("[a-z]{5,}", low[i]))
+    assert rows("fn32_topic_name", "source", "topic") == sorted((s, " / ".join(w for w, _ in _top(c, 3))) for s, c in by.items())
+
+    facets = []
+    for i, t in low.items():
+        scores = {s: round(min(1.0, 0.08 * w * t.count(s)), 6) for s, w in (("that", 1.0), ("with", 2.0), ("from", 1.0))}
+        facets += [(i, s, x, r) for r, (s, x) in enumerate(_top({s: x for s, x in scores.items() if x > 0.02}, 2), 1)]
+    assert rows("rk25_facet_classification", "doc_id", "signal", "score", "r") == sorted(facets)
+
+    first: dict = {}
+    for i in sorted(low):
+        category = next((c for c, s in (("a", "ononst"), ("b", "thatin"), ("c", "rewh")) if s in low[i]), "other")
+        first.setdefault((category, low[i][:60]), i)
+    kept = defaultdict(list)
+    for (category, _), i in first.items():
+        kept[category].append(i)
+    assert rows("rk34_categorised_extract", "category", "doc_id") == sorted((c, i) for c, ids in kept.items() for i in sorted(ids)[:4])
