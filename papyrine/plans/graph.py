@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import graph as G
 from papyrine.operators import trends as T
+from papyrine.operators.chunking import windows
 from papyrine.plans.registry import register
 from papyrine.sources.tables import PAPERS_SQL, papers, read
 
@@ -244,12 +245,15 @@ def cp11(spark, sf):
 
 @register("cp12_embedding_records", "select 'metadata' as level, doc_id, lang || ' ' || source as record from documents union all select 'summary', doc_id, substr(text, 1, 50) from documents where n_chars > 100 union all select 'text', doc_id, substr(text, 1, 200) from documents where n_chars > 1000")
 def cp12(spark, sf):
+    """Records to embed: metadata, the whole text in place of a summary, and all windows of the text."""
+    d = read(spark, sf, "documents")
     levels = F.array_compact(F.array(
         F.struct(F.lit("metadata").alias("level"), F.concat_ws(" ", "lang", "source").alias("record")),
-        F.when(F.col("n_chars") > 100, F.struct(F.lit("summary").alias("level"), F.substring("text", 1, 50).alias("record"))),
-        F.when(F.col("n_chars") > 1000, F.struct(F.lit("text").alias("level"), F.substring("text", 1, 200).alias("record"))),
+        F.when(F.length("text") > 0, F.struct(F.lit("summary").alias("level"), F.col("text").alias("record"))),
     ))
-    return read(spark, sf, "documents").select("doc_id", F.inline(levels)).select("level", "doc_id", "record")
+    whole = d.select("doc_id", F.inline(levels)).select("level", "doc_id", F.lit(0).cast("bigint").alias("chunk"), "record")
+    chunks = windows(d.where("length(text) > 0"), "doc_id", "text", 1600, 180)
+    return whole.unionByName(chunks.select(F.lit("text").alias("level"), "doc_id", "chunk", F.col("chunk_text").alias("record")))
 
 
 @register("cp13_plan_counts", "select label as level, count(*) as planned from embeddings group by label")

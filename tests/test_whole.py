@@ -156,3 +156,13 @@ def test_texts_of_all_languages(spark, tmp_path):
     for (category, _), i in first.items():
         kept[category].append(i)
     assert rows("rk34_categorised_extract", "category", "doc_id") == sorted((c, i) for c, ids in kept.items() for i in sorted(ids)[:4])
+
+
+def test_embedding_records_of_whole_texts(spark, tmp_path):
+    docs = [(1, "x", "en", "a", 1), (2, "", "de", "a", 0), (3, "".join(random.Random(1).choices("abc ", k=5000)), "fr", "b", 5000), (4, "y" * 900, None, "b", 900)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [("metadata", i, 0, " ".join(x for x in (lang, source) if x)) for i, _, lang, source, _ in docs]
+    want += [("summary", i, 0, text) for i, text, *_ in docs if text]
+    want += [("text", i, k, text[s : s + 1600]) for i, text, *_ in docs if text for k, s in enumerate(range(0, max(1, len(text) - 180), 1420))]
+    found = queries()["cp12_embedding_records"](spark, str(tmp_path)).collect()
+    assert sorted((r.level, r.doc_id, r.chunk, r.record) for r in found) == sorted(want)
