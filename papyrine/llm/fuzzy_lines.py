@@ -1,13 +1,17 @@
 """Line deduplication by MinHash [native]: DataFrame functions only.
 
 Lines are trimmed and lower-cased; empty ones are left alone.  A line's set holds its distinct shingles of
-``WIDTH`` characters (a shorter line is one shingle).  Each shingle is exploded to a row and hashed by ``BASES``
-functions; rotations and masks of a hash are further permutations, since other bits then lead.  The minima by
-line come from one aggregation whose map side already holds whole lines, and equal lines meet there.
-``BANDS``, triples of the ``SAMPLES`` minima, are the keys of buckets: a pair at the threshold shares none with
-probability about 0.002, one at 0.8 with 0.0003.  Candidates are verified by exact Jaccard similarity of their
-shingles, links are joined by distributed union-find, and one line per component stays: the first by
-(doc_id, line number).
+``WIDTH`` characters (a shorter line is one shingle).  Samples are taken of the shingles of as many bytes, which
+agree with those of characters as well or better.  A line gives a row for every ``STEP`` shingles, whose
+64-bit hashes are made in generated code.  Three overlapping lanes of a hash, with ``MASKS`` masks that start in
+different eighths of a lane's range, are the permutations: the least masked value of a lane is one MinHash
+sample.  The minima by line come from one aggregation whose map side already holds whole lines, and equal
+lines meet there.
+
+``BANDS``, triples with a sample of each lane, are the keys of buckets: a pair at the threshold shares none with
+probability about 0.001.  Only the nodes of buckets that several share move on.  Candidates are verified by
+exact Jaccard similarity of their shingles, links are joined by distributed union-find, and one line per
+component stays: the first by (doc_id, line number).
 """
 
 from __future__ import annotations
@@ -18,95 +22,69 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.linking import link
-from papyrine.llm.scratch import Scratch
+from papyrine.llm.linking import deal, link, similar
+from papyrine.llm.scratch import Scratch, kept_by
 
 WIDTH = 8
-BASES, TURNS, MASKS = 3, 4, 2
-SAMPLES = BASES * TURNS * MASKS
-#: Triples of samples that make a band: neighbours, and samples a third apart; two bands share one sample at most.
-BANDS = tuple((3 * i, 3 * i + 1, 3 * i + 2) for i in range(SAMPLES // 3)) + tuple((i, i + SAMPLES // 3, i + 2 * SAMPLES // 3) for i in range(SAMPLES // 3))
-#: Equal samples below which a candidate is not verified: 0.75 * 24 less four standard deviations.
-LEAST_EQUAL = 9
-MASK = 0x5555_AAAA_3333_CCCC - (1 << 63)
+#: Shingles of a line in one row.
+STEP = 8
+LANES = (0, 16, 32)
+#: One mask in each eighth of the range of 32-bit numbers: sevenfold steps from an odd start.
+MASKS = tuple(((i << 29) | (0x0B3F_5A7D * (7 * i + 1)) % (1 << 29)) - (1 << 31) for i in range(8))
+SAMPLES = len(LANES) * len(MASKS)
+#: Samples of the three lanes that make a band; two bands share one sample at most.
+BANDS = tuple((i, 8 + (i + a) % 8, 16 + (i + b) % 8) for a, b in ((0, 0), (3, 5)) for i in range(8))
+#: Equal samples below which a candidate is not verified: at 0.75 there are 18 with a standard deviation of 2.1.
+LEAST_EQUAL = 11
+#: Characters of a line whose shingles are taken from one slice, so that long lines cost what their length says.
+SLICE = 64
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, text) for every line that is not blank; ``line`` is trimmed and lower-cased."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "raw"))
-    # lower and btrim work on bytes; translate and regexp_replace would cost three times as much
-    lower = F.lower(F.btrim("raw", F.lit(" \t\n\r\x0b\x0c")))
-    return lines.select("doc_id", "line_no", lower.alias("line")).where("line <> ''")
+    """(doc_id, line_no, line) for every line that is not blank; ``line`` is trimmed and lower-cased."""
+    # lower-cased as a whole: that costs half of what it does line by line
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("line_no", "raw"))
+    return lines.select("doc_id", "line_no", F.btrim("raw", F.lit(" \t\n\r\x0b\x0c")).alias("line")).where("line <> ''")
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    """Lines with a 128-bit hash, by which equal lines are known, and a hash of their place."""
+    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "place": F.xxhash64("doc_id", "line_no")})
 
 
-def _shingle(codes: Column, at: Column) -> Column:
-    """Shingle of a UTF-32 text at a character: a constant-time slice of 4-byte characters."""
-    return F.substring(codes, at * 4 + 1, F.lit(4 * WIDTH))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h1, h2, place, m0..): one row per distinct line, the hash of one of its places and its samples."""
+    held = ["h1", "h2", "place"]
+    last = F.greatest(F.octet_length("line") - WIDTH, F.lit(0)) + 1
+    rows = lines.select(*held, F.col("line").cast("binary").alias("codes"), last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(STEP))).alias("at"))
+    # past the end the last shingle is taken again, which changes no minimum
+    hashes = [F.xxhash64(F.substring("codes", F.least(F.col("at") + k, F.col("last")), F.lit(WIDTH))).alias(f"x{k}") for k in range(STEP)]
+    hashed = rows.select(*held, *hashes)
+    lanes = [F.shiftright(F.shiftleft(f"x{k}", lane), 32).cast("int").alias(f"l{lane}_{k}") for lane in LANES for k in range(STEP)]
+    laned = hashed.select(*held, *lanes)
+    samples = []
+    for lane in LANES:
+        for mask in MASKS:
+            low = F.least(*[F.col(f"l{lane}_{k}").bitwiseXOR(F.lit(mask)) for k in range(STEP)])
+            samples.append(F.min(low).alias(f"m{len(samples)}"))
+    return laned.groupBy("h1", "h2").agg(F.min("place").alias("place"), *samples)
 
 
-def _last(codes: Column) -> Column:
-    """Place of a text's last shingle."""
-    return F.greatest((F.octet_length(codes) / 4).cast("int") - WIDTH, F.lit(0))
+def _shingles(line: Column) -> Column:
+    """Array of the hashed shingles of a line, in order of place."""
 
+    def starts(codes: Column, step: int) -> Column:
+        return F.sequence(F.lit(1), F.greatest(F.octet_length(codes) - 4 * WIDTH, F.lit(0)) + 1, F.lit(4 * step))
 
-def _turned(h: Column, turn: int) -> Column:
-    if not turn:
-        return h
-    bits = 16 * turn
-    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
+    def hashed(part: Column) -> Column:
+        return F.transform(starts(part, 1), lambda at: F.xxhash64(F.substring(part, at, F.lit(4 * WIDTH))))
 
+    def sliced(codes: Column) -> Column:
+        slices = F.transform(starts(codes, SLICE), lambda at: F.substring(codes, at, F.lit(4 * (SLICE + WIDTH - 1))))
+        return F.flatten(F.transform(slices, hashed))
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h1, h2, node, m0..): one row per distinct line, its smallest occurrence number and its samples."""
-    # encoded below the generator: once for each line, not once for each shingle
-    coded = lines.select("h1", "h2", "row", F.encode("line", "UTF-32").alias("codes"))
-    rows = coded.select("h1", "h2", "row", "codes", F.explode(F.sequence(F.lit(0), _last(F.col("codes")))).alias("at"))
-    shingle = _shingle(F.col("codes"), F.col("at"))
-    hashed = rows.select("h1", "h2", "row", *[F.xxhash64(F.lit(b), shingle).alias(f"b{b}") for b in range(BASES)])
-    samples = []
-    for b in range(BASES):
-        for t in range(TURNS):
-            for m in range(MASKS):
-                turned = _turned(F.col(f"b{b}"), t)
-                samples.append(F.min(turned.bitwiseXOR(F.lit(MASK)) if m else turned).alias(f"m{len(samples)}"))
-    return hashed.groupBy("h1", "h2").agg(F.min("row").alias("node"), *samples)
-
-
-class _Exact:
-    """Exact Jaccard similarity of the lines' shingles; a line's set is made once."""
-
-    def __init__(self, lines: DataFrame, signed: DataFrame, percent: int, scratch: Scratch):
-        self.lines, self.signed, self.percent, self.scratch = lines, signed, percent, scratch
-        self.known: DataFrame | None = None
-
-    def _need(self, wanted: DataFrame) -> DataFrame:
-        if self.known is not None:
-            wanted = self.scratch.table(wanted.join(self.known.select("id"), "id", "left_anti"), "wanted")
-            if wanted.isEmpty():
-                return self.known
-        keys = self.signed.select(F.col("node").alias("id"), "h1", "h2").join(wanted, "id", "left_semi").withColumnRenamed("id", "row")
-        # a node is the number of one row, so each wanted line is met once; the first texts move by the
-        # same plan at every size, later ones are few
-        lines = self.lines.select("row", "h1", "h2", "line")
-        texts = (lines.hint("merge") if self.known is None else lines).join(keys, ["row", "h1", "h2"], "left_semi")
-        # codes is read twice, so the optimizer keeps it out of the lambda and makes it once for each line
-        coded = texts.select(F.col("row").alias("id"), F.encode("line", "UTF-32").alias("codes"))
-        hashed = F.transform(F.sequence(F.lit(0), _last(F.col("codes"))), lambda at: F.xxhash64(_shingle(F.col("codes"), at)))
-        sets = self.scratch.table(coded.select("id", F.array_distinct(hashed).alias("set")), "line-sets")
-        self.known = sets if self.known is None else self.known.unionByName(sets)
-        return self.known
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = self._need(wanted)
-        both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - shared
-        return self.scratch.table(both.where(shared * 100 >= union * self.percent).select("a", "b").distinct(), "links")
+    # bound in a lambda, else a line would be encoded anew for every slice
+    return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), sliced))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -115,24 +93,45 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Equal and near-equal lines form components; ``keeper`` is the component's first line by (doc_id,
     line_no), nulls first.  Null texts and blank lines give no rows.  Rows that repeat an id give their
     lines each; of lines that agree in doc_id, line_no and component, each is kept if the keeper is.
+    Lines are known by the hash of their text in every plan, so nothing hangs on the order of the input.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _keyed(split_lines(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
-    signed = scratch.table(signatures(lines), "signatures")
-    places = scratch.table(lines.select("doc_id", "line_no", "h1", "h2"), "places")
-    nodes = signed.select(F.col("node").alias("id"), *[f"m{i}" for i in range(SAMPLES)])
+    lines = _keyed(split_lines(docs, id_col, text_col))
+    # numbered as written: each node has one number from here on
+    signed = scratch.table(signatures(lines).withColumn("id", F.monotonically_increasing_id()), "signatures")
     keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in band]) for k, band in enumerate(BANDS)]
-    posts = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
+    dealt = deal(signed.select("id", F.explode(F.array(*keys)).alias("key")), scratch)
+    ids = scratch.table(dealt[0].select("id").distinct(), "ids")
+    near = scratch.table(kept_by(signed, ids, ["id"]), "near")
+    scratch.drop(signed, ids)
+    # repeated rows give a text several times
+    where = ["h1", "h2", "place"]
+    texts = kept_by(lines.select(*where, "line"), near.select("id", *where), where, "inner").select("id", "line")
+    texts = texts.dropDuplicates(["id"]).withColumn("n", F.size(F.array_distinct(_shingles(F.col("line")))))
+    texts = scratch.table(texts, "texts")
+    nodes = near.select("id", *[f"m{i}" for i in range(SAMPLES)]).join(texts.select("id", "n"), "id")
+    nodes = scratch.table(nodes, "nodes")
 
     def close(a: str, b: str) -> Column:
-        return reduce(add, [(F.col(f"m{i}{a}") == F.col(f"m{i}{b}")).cast("int") for i in range(SAMPLES)]) >= LEAST_EQUAL
-
-    _, label = link(nodes, posts, close, _Exact(lines, signed, percent, scratch), scratch)
-    component = signed.select("h1", "h2", "node").join(label, "node", "left")
-    component = component.select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    placed = scratch.table(places.join(component, ["h1", "h2"]).drop("h1", "h2"), "placed")
-    keeper = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
-    return placed.join(keeper, "component").select(
+        equal = reduce(add, [(F.col(f"m{i}{a}") == F.col(f"m{i}{b}")).cast("int") for i in range(SAMPLES)])
+        return (equal >= LEAST_EQUAL) & (F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.toDF("b", "tb", "nb"), "b").join(texts.toDF("a", "ta", "na"), "a")
+        near_enough = similar(_shingles(F.col("ta")), _shingles(F.col("tb")), F.col("na") + F.col("nb"), percent)
+        return scratch.table(both.where(near_enough).select("a", "b"), "links")
+
+    _, label = link(nodes, close, verify, scratch, dealt)
+    scratch.drop(nodes)
+    same = ["h1", "h2"]
+    places = scratch.table(lines.select("doc_id", "line_no", *same), "places")
+    first = scratch.table(places.groupBy(*same).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "firsts")
+    linked = near.select("id", *same).join(label.toDF("id", "component"), "id").select("component", *same).join(first, same)
+    linked = scratch.table(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    keeper = first.join(linked.join(least, "component").select(*same, "least"), same, "left")
+    keeper = scratch.table(keeper.select(*same, F.coalesce("least", "first").alias("keeper")), "keepers")
+    return places.join(keeper, same).select(
         "doc_id",
         "line_no",
         F.col("keeper.doc_id").alias("keeper_doc"),

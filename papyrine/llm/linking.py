@@ -1,25 +1,35 @@
 """Components of similar nodes from bucketed candidates, without all pairs of a bucket.
 
-Work goes in rounds.  In each, every bucket that still holds several components picks a hub in its largest
-one, and each node outside that component meets the hub, at most once for each component it could join
-(in the first round, once).  Verified links merge components.  In the last round, in the buckets that
-still hold several, the nodes outside the largest component meet all others.  Pairs inside a component are skipped because they change no component; no pair
-between components is left out and no bucket is capped.  A group of n near copies costs about n comparisons,
-and a bucket's rows are never gathered in one task.
+The posts of a bucket are dealt once, to one sorted run that names its first node as hub.  Buckets that may hold
+more than a thousandth of all posts are found by counts of ``CELLS`` cells of keys, and are split over so
+many runs that none holds more; the hubs of their runs meet the first of them.
+
+Work goes in rounds.  In the first, every node meets the smallest of its hubs.  In each later one, every bucket
+that still holds several components picks a hub in its largest one, and each node outside that component meets
+the hub, at most once for each component it could join.  Verified links merge components.  In the last round, in
+the buckets that still hold several, the nodes outside the largest component meet all others, in blocks.  Pairs
+inside a component are skipped because they change no component; no pair between components is left out
+and no bucket is capped.  A group of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.components import components
+from papyrine.llm.runs import GROUP, block_copies
 from papyrine.llm.scratch import Scratch
 
 Close = Callable[[str, str], Column]
-ROUNDS = 3
+ROUNDS = 2
+#: Cells in which the posts of every so many nodes are counted (only to deal evenly: all posts are dealt); a cell with
+#: more than this share of the counted posts, and more than so many, is split.
+CELLS, COUNTED, SHARE, LEAST_RUN = 4096, 16, 1000, 64
+#: Nodes of a bucket that meet each other in one group of the last round.
+BLOCK = 1024
 
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
@@ -27,68 +37,114 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(name if c == "id" else f"{c}{name}") for c in nodes.columns])
 
 
+def deal(posts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(shared, hubs): a written table (key, id, hub, split) of the buckets that may hold several nodes, and pairs (a, b) of hubs of one bucket.
+
+    ``posts`` holds a node once for each key.
+    """
+    cell = F.pmod("key", F.lit(CELLS)).cast("int")
+    part = posts.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)
+    counts = part.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()  # CELLS rows at most
+    most = max(LEAST_RUN, sum(r["n"] for r in counts) // SHARE)
+    hot = [(r["cell"], -(-r["n"] // most)) for r in counts if r["n"] > most]
+    placed = posts.withColumn("cell", cell)
+    if hot:
+        # fewer than SHARE rows
+        placed = placed.join(F.broadcast(posts.sparkSession.createDataFrame(hot, "cell int, runs bigint")), "cell", "left").fillna(1, ["runs"])
+    else:
+        placed = placed.withColumn("runs", F.lit(1).cast("bigint"))
+    placed = placed.select("key", "id", "runs", F.pmod(F.xxhash64("id"), "runs").alias("run"))
+    run = Window.partitionBy("key", "run").orderBy("id")
+    dealt = placed.withColumn("hub", F.first("id").over(run)).withColumn("next", F.lead("id").over(run))
+    several = (F.col("hub") < F.col("id")) | F.col("next").isNotNull() | (F.col("runs") > 1)
+    shared = scratch.table(dealt.where(several).select("key", "id", "hub", (F.col("runs") > 1).alias("split")), "buckets")
+    if not hot:
+        return shared, posts.sparkSession.createDataFrame([], "a bigint, b bigint")
+    heads = shared.where("split and id = hub")
+    first = heads.groupBy("key").agg(F.min("id").alias("b"))
+    return shared, heads.join(first, "key").where("id > b").select(F.col("id").alias("a"), "b").distinct()
+
+
+def similar(a: Column, b: Column, sizes: Column, percent: int) -> Column:
+    """Whether two arrays have ``percent`` or more of their union in common; ``sizes`` adds their numbers of distinct items.
+
+    The intersection is bound in a lambda, as a filter would make it anew for every use.
+    """
+    return F.exists(F.array(F.size(F.array_intersect(a, b))), lambda n: n * 100 >= (sizes - n) * percent)
+
+
 def link(
     nodes: DataFrame,
-    posts: DataFrame,
     close: Close,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    dealt: tuple[DataFrame, DataFrame],
     rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b) that connect all similar nodes, and (node, component).
 
-    ``nodes`` has id and whatever ``close(a, b)`` reads, which sees each column with the side's name appended;
-    ``posts`` has (id, key); ``verify`` maps pairs (a, b) to those that are similar.  ``rest`` finds the links of
-    the last round from (mixed, labels); by default a join whose condition compares the sketches.
+    ``nodes`` has id and whatever ``close(a, b)`` reads, which sees each column with the side's name appended, for
+    every node of ``dealt``, the posts as ``deal`` has dealt them; their table is dropped here.  ``verify`` maps
+    pairs (a, b) to those that are similar, as a written table.  ``rest`` finds the links of the last round from
+    (mixed, labels); by default a join of blocks whose condition compares the sketches.
     """
-    hubs = posts.groupBy("key").agg(F.min("id").alias("main"), F.max("id").alias("last")).where("main < last").drop("last")
-    shared = scratch.table(posts.join(hubs, "key"), "buckets")
-    first = shared.where("id > main").groupBy(F.col("id").alias("a")).agg(F.min("main").alias("b"))
-    shared = shared.drop("main")
+    shared, hubs = dealt
 
     def possible(pairs: DataFrame, name: str) -> DataFrame:
         met = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
         return scratch.table(met.where(close("a", "b")).select("a", "b"), name)
 
-    links = verify(possible(first, "first"))
+    first = shared.where("id > hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
+    pairs = possible(first.unionByName(hubs).distinct(), "first")
+    links = verify(pairs)
+    scratch.drop(pairs)
     label = components(links, scratch)
     mixed = _mixed(shared, label, scratch)
+    scratch.drop(shared)
     for step in range(1, ROUNDS + 1):
         if mixed.isEmpty():
-            return links, label
+            break
         if step < ROUNDS:
             # a hub differs from round to round, and is the same for a component wherever it is the largest
             order = F.xxhash64(F.lit(step), "id")
             hub = mixed.where("component = main").groupBy("key").agg(F.min_by("id", order).alias("hub"))
             met = mixed.where("component <> main").join(hub, "key")
             pairs = met.groupBy(F.col("id").alias("a"), "main").agg(F.min("hub").alias("b")).select("a", "b").distinct()
-            more = verify(possible(pairs, f"round-{step}"))
+            pairs = possible(pairs, f"round-{step}")
+            more = verify(pairs)
+            scratch.drop(pairs)
         elif rest is not None:
             more = rest(mixed, label)
         else:
-            more = verify(scratch.table(_between(mixed, nodes, close, scratch).distinct(), "between"))
+            pairs = _between(mixed, nodes, close, scratch)
+            more = verify(pairs)
+            scratch.drop(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
-            label = components(links, scratch)
+            old, label = label, components(links, scratch)
             if step < ROUNDS:
-                mixed = _mixed(mixed.select("key", "id"), label, scratch)
+                left, mixed = mixed, _mixed(mixed, label, scratch)
+                scratch.drop(left)
+            scratch.drop(old)
     return links, label
 
 
 def _mixed(shared: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, component, main) of the buckets that hold several components; main is the largest."""
+    """(key, id, component, main) of the buckets that hold several components; main is a largest one."""
     placed = shared.select("key", "id").join(label.toDF("id", "component"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = counted.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("parts"))
     return scratch.table(placed.join(mixed.where("parts > 1").drop("parts"), "key").select("key", "id", "component", "main"), "mixed")
 
 
 def _between(mixed: DataFrame, nodes: DataFrame, close: Close, scratch: Scratch) -> DataFrame:
-    """Pairs of different components that meet in a bucket and are not excluded by ``close``."""
+    """Pairs of different components that meet in a bucket and are not excluded by ``close``, as a written table."""
     sides = scratch.table(mixed.join(nodes, "id"), "sides")
-    outside = _side(sides.where("component <> main"), "a")
-    others = _side(sides, "b")
+    asking, asked = block_copies(sides.where("component <> main"), sides, "key", BLOCK)
     met = (F.col("componentb") == F.col("mainb")) | (F.col("a") < F.col("b"))
-    cond = (F.col("keya") == F.col("keyb")) & (F.col("componenta") != F.col("componentb")) & met & close("a", "b")
-    return outside.join(others, cond).select("a", "b")
+    same = [F.col(f"{c}a") == F.col(f"{c}b") for c in ("key", *GROUP)]
+    cond = same[0] & same[1] & same[2] & (F.col("componenta") != F.col("componentb")) & met & close("a", "b")
+    found = scratch.table(_side(asking, "a").join(_side(asked, "b"), cond).select("a", "b").distinct(), "between")
+    scratch.drop(sides)
+    return found

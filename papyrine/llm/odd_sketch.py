@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from papyrine.llm import shingles
 from papyrine.llm.components import components
-from papyrine.llm.linking import link
+from papyrine.llm.linking import deal, link, similar
 from papyrine.llm.runs import GROUP, blocks, runs
-from papyrine.llm.scratch import Scratch, prepare_python
+from papyrine.llm.scratch import Scratch, kept_by, prepare_python
 
 BANDS, ROWS = 32, 4
 #: MinHash samples folded into a sketch (the bands use the first of them), and its bits.
@@ -124,8 +124,9 @@ class _Verifier:
         if self.known is not None:
             wanted = self.scratch.table(wanted.join(self.known.select("id"), "id", "left_anti"), "wanted")
         if self.known is None or not wanted.isEmpty():
-            # the same plan at every size: texts move to the wanted ids, which at scale are no small table
-            found = self.texts.hint("merge").join(wanted, "id", "left_semi").mapInArrow(_sets, SET)
+            if self.known is None:
+                wanted = self.scratch.table(wanted, "wanted")
+            found = kept_by(self.texts, wanted, ["id"]).mapInArrow(_sets, SET)
             found = self.scratch.table(found, "sets")
             self.known = found if self.known is None else self.known.unionByName(found)
         return self.known
@@ -135,9 +136,7 @@ class _Verifier:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         known = self._need(wanted)
         both = pairs.select("a", "b").join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - shared
-        return self.scratch.table(both.where(shared * 100 >= union * self.percent).select("a", "b").distinct(), "links")
+        return self.scratch.table(both.where(similar(F.col("sa"), F.col("sb"), F.size("sa") + F.size("sb"), self.percent)).select("a", "b"), "links")
 
     def rest(self, mixed: DataFrame, label: DataFrame) -> DataFrame:
         """Links between components that meet in a bucket: one for each node and component that are linked.
@@ -236,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = nodes.select("id", F.explode("bands").alias("key"))
     nodes = nodes.select("id", "n", *[f"s{i}" for i in range(LANES)])
     verify = _Verifier(texts, nodes, percent, scratch)
-    links, label = link(nodes, posts, lambda a, b: _similar_size(f"n{a}", f"n{b}", percent) & _close(a, b), verify.pairs, scratch, verify.rest)
+    links, label = link(nodes, lambda a, b: _similar_size(f"n{a}", f"n{b}", percent) & _close(a, b), verify.pairs, scratch, deal(posts, scratch), verify.rest)
 
     # documents of equal sets follow their node; documents of one id follow each other
     member = usable.join(groups.select(*key, "rep"), key).select("id", "rep").where("id <> rep").distinct()

@@ -39,12 +39,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def blocks(asking: DataFrame, asked: DataFrame, key: str, block: int, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Rows of both sides, marked ``asks``, copied so that each asking block of a key meets each asked block once.
+def block_copies(asking: DataFrame, asked: DataFrame, key: str, block: int, counts: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns ``GROUP``, copied so that each asking block of a key meets each asked block in one group.
 
-    Both sides have the same columns, ``key`` and ``id`` among them.  Blocks hold about ``block`` rows, so a
-    hot key becomes many small groups (key, __i, __j); partitions come sorted by group, asking rows first.
-    ``counts`` may give cheaper tables with the same keys, to count them.
+    Both sides have ``key`` and ``id`` columns.  Blocks hold about ``block`` rows, so a hot key becomes many small
+    groups.  ``counts`` may give cheaper tables with the same keys, to count them.
     """
 
     def counted(side: DataFrame, name: str) -> DataFrame:
@@ -53,12 +52,21 @@ def blocks(asking: DataFrame, asked: DataFrame, key: str, block: int, counts: tu
     few, many = counts or (asking, asked)
     sizes = counted(few, "__p").join(counted(many, "__q"), key)
     both = []
-    for side, asks, own, other, n_own, n_other in ((asking, True, "__i", "__j", "__p", "__q"), (asked, False, "__j", "__i", "__q", "__p")):
+    for side, own, other, n_own, n_other in ((asking, "__i", "__j", "__p", "__q"), (asked, "__j", "__i", "__q", "__p")):
         placed = side.join(sizes, key).withColumn(own, F.pmod(F.xxhash64("id"), n_own))
         placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_other) - 1)))
-        both.append(placed.withColumn("asks", F.lit(asks)).drop("__p", "__q"))
-    rows = both[0].unionByName(both[1])
-    return rows.repartition(key, "__i", "__j").sortWithinPartitions(key, "__i", "__j", F.desc("asks"))
+        both.append(placed.select(*side.columns, *GROUP))
+    return both[0], both[1]
+
+
+def blocks(asking: DataFrame, asked: DataFrame, key: str, block: int, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows of both sides, marked ``asks``, in the groups of ``block_copies``.
+
+    Both sides have the same columns.  Partitions come sorted by group, asking rows first.
+    """
+    one, two = block_copies(asking, asked, key, block, counts)
+    rows = one.withColumn("asks", F.lit(True)).unionByName(two.withColumn("asks", F.lit(False)))
+    return rows.repartition(key, *GROUP).sortWithinPartitions(key, *GROUP, F.desc("asks"))
 
 
 GROUP = ("__i", "__j")
