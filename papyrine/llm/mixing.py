@@ -9,8 +9,11 @@ repetitions, and a seeded draw gives one more to documents holding the fractiona
 The draw orders a source's documents by a seeded uniform number and takes them while the words before
 a document's middle stay below the wanted words, so a source misses its target by half a document
 at most.  The running sum is kept in two levels (bins of the seeded number, then the rows of the one
-bin in which the sum passes the target), so no task gathers the rows of a source.
-The plan is one row per source: whole repetitions, and the seeded number up to which one more is given.
+bin in which the sum passes the target), so no task gathers the rows of a source.  Rows that share a number are
+added up before they move; where the target cuts through such a group, its rows are numbered by a distributed
+sort, and as many as fit are taken.
+The plan is one row per source: whole repetitions, the seeded number up to which one more is given, and how many
+of the rows of that number get it.
 """
 
 from __future__ import annotations
@@ -100,30 +103,49 @@ def plan_sources(
         .select(F.col("source").alias("__s"), F.col("bin").alias("__bin"), "before", "wanted")
     )
     cuts = scratch.table(cuts, "cuts")
-    order = Window.partitionBy("source").orderBy("draw")
-    split = (
+    # rows of one number are one group, taken as far as it fits: its i-th row (from 0) while the words before its middle are wanted
+    groups = (
         base.join(cuts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bin") == F.col("__bin")))
-        .withColumn("middle", F.col("before") + F.sum("size").over(order) - F.col("size") / 2)
-        .where(F.col("middle") < F.col("wanted"))
+        .groupBy("source", "draw", "before", "wanted")
+        .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("tied"))
+    )
+    left = F.col("wanted") - F.col("before") - F.sum("words").over(Window.partitionBy("source").orderBy("draw")) + F.col("words")
+    fits = F.when(F.col("words") > 0, F.ceil(left / (F.col("words") / F.col("tied")) - 0.5)).otherwise(F.when(left > 0, F.col("tied")).otherwise(0))
+    split = (
+        groups.withColumn("some", F.greatest(F.lit(0), F.least(F.col("tied"), fits)))
+        .where("some > 0")
         .groupBy("source")
-        .agg(F.max("draw").alias("last"))
+        .agg(F.max(F.struct("draw", "some", "tied")).alias("last"))
     )
     edge = F.shiftleft(F.col("__bin"), DRAW_BITS - BIN_BITS) - 1
+    whole_bins = F.struct(edge.alias("draw"), F.lit(1).cast("bigint").alias("some"), F.lit(1).cast("bigint").alias("tied"))
     upto = (
         cuts.join(split.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
-        .select("__s", F.coalesce("last", edge).alias("upto"))
-    )
-    return (
-        targets.join(upto, F.col("source").eqNullSafe(F.col("__s")), "left")
-        .select("source", "source_size", "target", "whole", F.coalesce("upto", F.lit(-1)).cast("bigint").alias("upto"))
+        .select("__s", F.coalesce("last", whole_bins).alias("upto"))
     )
+    held = targets.join(upto, F.col("source").eqNullSafe(F.col("__s")), "left")
+    upto = [F.coalesce(F.col("upto")[c], F.lit(least).cast("bigint")).alias(name) for c, least, name in (("draw", -1, "upto"), ("some", 0, "some"), ("tied", 0, "tied"))]
+    return held.select("source", "source_size", "target", "whole", *upto)
+
 
+def repetitions(rows: DataFrame, plan: DataFrame, scratch: Scratch, tie: str | None = None) -> DataFrame:
+    """``rows`` (source, draw, ...) with source_size, target and ``repetitions``; ``plan`` is a written table of a row per source.
 
-def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target and ``repetitions``; the plan is small and Catalyst checks its size."""
-    held = plan.withColumnRenamed("source", "__s")
+    Rows whose group is taken in part are numbered in the order of ``tie``; rows equal in it may swap.
+    """
+    held = plan.select(F.col("source").alias("__s"), "source_size", "target", "whole", "upto", "some", "tied")
     joined = rows.join(held, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    return joined.withColumn("repetitions", F.col("whole") + (F.col("draw") <= F.col("upto")).cast("bigint")).drop("whole", "upto")
+    more = F.col("whole") + (F.col("draw") <= F.col("upto")).cast("bigint")
+    torn = (F.col("draw") == F.col("upto")) & (F.col("some") < F.col("tied"))
+    helpers = ["whole", "upto", "some", "tied"]
+    if plan.where("some < tied").isEmpty():
+        return joined.withColumn("repetitions", more).drop(*helpers)
+    numbered, _ = number_rows(joined.where(torn), ["source", *([tie] if tie else [])], "__n", scratch)
+    start = numbered.groupBy(F.col("source").alias("__s")).agg(F.min("__n").alias("__first"))
+    numbered = numbered.join(start, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    numbered = numbered.withColumn("repetitions", F.col("whole") + (F.col("__n") - F.col("__first") < F.col("some")).cast("bigint"))
+    whole = joined.where(~torn).withColumn("repetitions", more)
+    return whole.drop(*helpers).unionByName(numbered.drop("__n", "__first", *helpers))
 
 
 def mix_digest(docs: DataFrame, *, max_epochs: int = 3, seed: int = 5) -> DataFrame:
@@ -136,7 +158,7 @@ def mix_digest(docs: DataFrame, *, max_epochs: int = 3, seed: int = 5) -> DataFr
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count("text").alias("size"))
     base = scratch.table(sized.withColumn("draw", draw(seed, "doc_id", "size")), "sizes")
     plan = scratch.table(plan_sources(base, max_epochs=max_epochs, scratch=scratch), "plan")
-    return repetitions(base, plan).select(
+    return repetitions(base, plan, scratch).select(
         "doc_id",
         "size",
         F.col("source_size").cast("bigint").alias("source_size"),
@@ -148,16 +170,15 @@ def mix_digest(docs: DataFrame, *, max_epochs: int = 3, seed: int = 5) -> DataFr
 def mix(docs: DataFrame, *, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 5) -> DataFrame:
     """The mixed rows themselves: each row as often as the plan repeats it, columns unchanged.
 
-    Needs columns doc_id, source and text; others are carried along.  Rows that agree in doc_id and
-    size share their draw.  The texts are not shuffled: only sizes and draws are.
+    Needs columns doc_id, source and text; others are carried along under any name.  Rows that agree in doc_id
+    and size share their draw; where only some of them fit, those of the smallest text hashes are taken.  The
+    texts are not shuffled, but for such rows: only sizes and draws are.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    names = docs.columns
-    size = "__size"
-    drawn = docs.withColumn(size, word_count("text")).withColumn("draw", draw(seed, "doc_id", size))
-    base = scratch.table(drawn.select("source", F.col(size).alias("size"), "draw"), "sizes")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text", word_count("text").alias("size"))
+    drawn = sized.withColumn("draw", draw(seed, "doc_id", "size"))
+    base = scratch.table(drawn.select("source", "size", "draw"), "sizes")
     plan = scratch.table(plan_sources(base, weights=weights, max_epochs=max_epochs, scratch=scratch), "plan")
-    plan = plan.select("source", "whole", "upto", F.col("source_size").alias("__ss"), F.col("target").alias("__t"))
-    repeated = repetitions(drawn.select(*[F.col(c) for c in names], F.col("draw")), plan)
+    repeated = repetitions(drawn.select("row", "source", "draw", F.xxhash64("text").alias("hash")), plan, scratch, "hash")
     times = F.when(F.col("repetitions") > 0, F.sequence(F.lit(1), F.col("repetitions").cast("int")))
-    return repeated.withColumn("__copy", F.explode(times)).select(*names)
+    return repeated.select("row", F.explode(times).alias("copy")).select("row.*")
