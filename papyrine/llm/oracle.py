@@ -58,7 +58,7 @@ y as (select host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + worth + 1)
 select page_id, host, path, {_rule("rule")} as rule, coalesce({_rule("verdict")}, case when lo > 0.25 then 'block' else 'allow' end) as verdict, round(rate, 9) as host_rate, round(lo, 9) as host_lower from p join y using (host)"""
 
 _OP4 = """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
-f as (select *, payload_bytes >= 100 and page_id <> min(page_id) over (partition by payload_digest) as again, min(page_id) over (partition by payload_digest) as first from p)
+f as (select *, payload_bytes >= 100 and page_id is distinct from min(page_id) over (partition by payload_digest) and min(page_id) over (partition by payload_digest) is not null as again, min(page_id) over (partition by payload_digest) as first from p)
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to from f"""
 
 _OP5 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) as size from documents),
@@ -69,7 +69,7 @@ q as (select *, coalesce(sum(cap) over (order by cap / weight, source rows betwe
 v as (select arg_min(lvl, ratio) as level from (select ((select sum(source_size) from r) - held) / open as lvl, cap / weight as ratio from q) where lvl < ratio),
 t as (select source, source_size, case when level is null then cap else least(cap, level * weight) end::double as target from r, v),
 x as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
-y as (select b.*, source_size, target, whole, target - whole * source_size as wanted, sum(size) over (partition by b.source order by draw) - size / 2 as middle from b join x on b.source is not distinct from x.source)
+y as (select b.*, source_size, target, whole, target - whole * source_size as wanted, sum(size) over (partition by b.source order by draw rows unbounded preceding) - size / 2 as middle from b join x on b.source is not distinct from x.source)
 select doc_id, size, source_size, target, ((whole + case when middle < wanted then 1 else 0 end) * size)::bigint as taken from y"""
 
 _TRIM = r"[\x20\x09-\x0D]+"

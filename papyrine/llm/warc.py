@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.scratch import Scratch, prepare_python
+from papyrine.llm.numbering import number_rows
+from papyrine.llm.scratch import Scratch, kept_by, prepare_python
 
 VERSION = "WARC/1.1"
 MIN_REVISIT_BYTES = 100
-#: Bytes of payload meant for one archive file; a file is read whole by one task.
-FILE_BYTES = 4 << 20
+#: Most bytes of payload in one archive file, unless one payload is larger; a file is read whole by one task.
+FILE_BYTES = 32 << 20
+#: Size classes of payloads, and bytes that the records of a capture take besides.
+CLASS_BYTES, RECORD_BYTES = (1 << 12, 1 << 16, 1 << 20), 2048
 CRLF = "\r\n"
 RECORD = pa.schema(
     [
@@ -61,32 +64,43 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", date
     """Write one transaction per row of (id, url, html) as uncompressed WARC files below ``path``.
 
     Of rows with equal payloads of ``MIN_REVISIT_BYTES`` or more, the one with the smallest id is the
-    response, the others revisit it.  A null html is an empty payload, a null url an empty target; rows
-    of null id are captures without captureId.  Rows that repeat an id are captures of their own, told apart
-    by the place of their row; those that repeat the smallest id of a payload are responses too.
+    response, the others revisit it; rows of null id revisit it too, and are all responses where no row has an id.
+    A null html is an empty payload, a null url an empty target; rows of null id are captures without captureId.
+    Rows that repeat an id are captures of their own; those that repeat the smallest id of a payload are
+    responses too.
+
+    A record id is made of id, url, payload digest, and, for rows equal in all three, a number given by a
+    distributed sort of such rows.  Revisits are decided on ids and digests; payloads are not shuffled while at
+    most ``SENT_ROWS`` payloads occur several times.  Files are written by size class of the payload, with so many
+    captures in one that it holds ``FILE_BYTES`` at most, or one capture.
     """
     scratch = Scratch(pages.sparkSession, "warc-ids")
     payload = F.coalesce(F.col("html"), F.lit(""))
-    row = F.monotonically_increasing_id()
-    ids = pages.select(
-        F.col(id_col).alias("id"),
-        row.alias("row"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).alias("bytes")
-    )
-    # equal payloads are counted on the map side; only digest and id are shuffled
-    firsts = scratch.table(
-        ids.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.id", "first.row").toDF("__d", "first", "first_row"),
-        "firsts",
-    )
-    rows = pages.select(
-        F.col(id_col).alias("id"),
-        row.alias("row"),
-        _clean(F.col("url")).alias("url"),
-        payload.alias("html"),
-        F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"),
-        F.octet_length(payload).alias("bytes"),
-    ).join(firsts, F.col("digest") == F.col("__d"), "left")
-    revisit = F.coalesce((F.col("bytes") >= MIN_REVISIT_BYTES) & (F.col("id") != F.col("first")), F.lit(False))
-    me, request, meta = (_urn(kind, F.col("id"), F.col("row")) for kind in ("response", "request", "metadata"))
+    named = pages.select(F.col(id_col).alias("id"), _clean(F.col("url")).alias("url"), payload.alias("html"))
+    named = named.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "bytes": F.octet_length("html"), "place": F.xxhash64("url")})
+    ids = scratch.table(named.select("id", "digest", "bytes", "place"), "ids")
+    same = ["id", "digest", "place"]
+    # equal payloads and equal rows are counted on the map side
+    held = F.when(F.col("id").isNotNull(), F.struct("id", "place"))
+    firsts = ids.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(held).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = scratch.table(firsts.where("n > 1 and first is not null").select("digest", F.col("first.id").alias("first"), F.col("first.place").alias("first_place")), "firsts")
+    repeated = scratch.table(ids.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    classes = [r["c"] for r in ids.select(_size_class(F.col("bytes")).alias("c")).distinct().collect()]  # a row per class
+    if repeated.isEmpty():
+        rows = named.withColumn("copy", F.lit(0).cast("bigint"))
+    else:
+        twin = repeated.select(*[F.col(c).alias(f"__{c}") for c in same])
+        equal = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+        alike = equal[0] & equal[1] & equal[2]
+        single = named.join(twin, alike, "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+        numbered, _ = number_rows(named.join(twin, alike, "left_semi"), same, "number", scratch)
+        start = numbered.groupBy(*[F.col(c).alias(f"__{c}") for c in same]).agg(F.min("number").alias("start"))
+        several = numbered.join(start, alike).withColumn("copy", F.col("number") - F.col("start"))
+        rows = single.unionByName(several.select(single.columns))
+    rows = kept_by(rows, firsts, ["digest"], "left")
+    revisit = F.coalesce(F.col("first").isNotNull() & (F.col("bytes") >= MIN_REVISIT_BYTES) & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
+    me, request, meta = (_urn(kind, *[F.col(c) for c in (*same, "copy")]) for kind in ("response", "request", "metadata"))
+    origin = _urn("response", F.col("first"), F.col("digest"), F.col("first_place"), F.lit(0))
     length = F.col("bytes").cast("string")
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
@@ -98,7 +112,7 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", date
             ("WARC-Record-ID", me),
             *common,
             ("WARC-Payload-Digest", digest),
-            ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("first"), F.col("first_row")))),
+            ("WARC-Refers-To", F.when(revisit, origin)),
             ("WARC-Profile", F.when(revisit, F.lit(profile))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
@@ -122,7 +136,18 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", date
     )
     # the three records of a capture stay in one file: the next to last byte of each but the last is added here
     lines = F.concat(requested, F.lit("\n"), response, F.lit("\n"), described)
-    rows.select(lines.alias("value")).write.option("lineSep", "\n").text(path)
+    for c in sorted(classes) or [0]:
+        most = max(1, FILE_BYTES // (CLASS_BYTES[c] + RECORD_BYTES)) if c < len(CLASS_BYTES) else 1
+        own = rows.where(_size_class(F.col("bytes")) == c).select(lines.alias("value"))
+        own.write.option("lineSep", "\n").option("maxRecordsPerFile", most).text(f"{path}/size-{c}")
+
+
+def _size_class(size: Column) -> Column:
+    """Number of the first of ``CLASS_BYTES`` that holds a payload, or one more."""
+    found = F.lit(len(CLASS_BYTES))
+    for c, most in reversed(list(enumerate(CLASS_BYTES))):
+        found = F.when(size <= most, c).otherwise(found)
+    return found
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
