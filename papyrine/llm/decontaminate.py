@@ -10,7 +10,8 @@ probability under (1 - 1/9)^96 = 1e-5; one that holds 3/4 with (1 - 1/6)^96 = 3e
 Candidates are verified by exact containment of the item's shingles in the whole document's.
 
 Block minima of one level come from the level below, so all partitions together cost about as much as one.
-Items are sent to the executors in blocks of bounded bytes; documents stay where they are read.
+Items are sent to the executors in blocks of bounded bytes, ``PASS_BLOCKS`` of them for each pass over the
+documents, which stay where they are read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ LEAST = 3
 FILTER_BITS = 20
 #: Bytes of item texts that are indexed and sent at once.
 ITEM_BYTES = 8 << 20
+#: Blocks of items that one pass over the documents looks for; a worker holds their indexes.
+PASS_BLOCKS = 8
 #: Shingles of a document whose samples are computed together.
 SPAN = 1 << 14
 PAIR = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"
@@ -104,9 +108,9 @@ def _block_minima(seq: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarr
     return np.concatenate(out)
 
 
-def candidates(seq: np.ndarray, index: Index, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Items that share a sample with a window of the document, as places in the index."""
-    blocks, level = _block_minima(seq, mul, add), LEAST
+def candidates(blocks: np.ndarray, index: Index) -> np.ndarray:
+    """Items that share a sample with a window of the document of these block minima, as places in the index."""
+    level = LEAST
     found = []
     for j in range(LEAST, max(index.levels) + 1):
         while level < j:
@@ -151,38 +155,18 @@ def find_leaks(
     empty texts, on either side, are in no pair; neither are rows of null id.  Rows that repeat an id
     each give their own pairs; equal pairs are given once.
     """
-    spark = docs.sparkSession
-    prepare_python(spark)
-    mul, add = shingles.permutations(SAMPLES, SEED)
-    known = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    known = known.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t"))
-    total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // item_bytes))
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     texts = texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    found = spark.createDataFrame([], PAIR)
-    for block in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # bounded by item_bytes
-        index = build_index([r["i"] for r in rows], [r["t"] for r in rows])
-        if not index.levels:
-            continue
-        sent = spark.sparkContext.broadcast(index)
+    found = docs.sparkSession.createDataFrame([], PAIR)
+    for sent in _sent(items, item_col, item_text_col, item_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            indexes = [b.value for b in sent]
             for batch in batches:
                 out: list[tuple[int, int, int, int]] = []
                 ids = batch.column("id").to_pylist()
                 for doc, seq in zip(ids, shingles.sequences(batch.column("text").to_pylist()), strict=True):
-                    if not len(seq):
-                        continue
-                    near = candidates(seq, index, mul, add)
-                    if len(near):
-                        whole = np.unique(seq)
-                        for k in near:
-                            n, size = _shared(index.sets[k], whole), len(index.sets[k])
-                            if n * 100 >= size * percent:
-                                out.append((doc, index.ids[k], n, size))
+                    out += [(doc, *hit) for hit in _hits(seq, indexes, percent)]
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -190,7 +174,61 @@ def find_leaks(
     return found.distinct()
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that hold no item, columns unchanged."""
-    leaked = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(options.get("id_col", "doc_id")) == F.col("__leaked"), "left_anti")
+def _sent(items: DataFrame, item_col: str, item_text_col: str, item_bytes: int) -> list[list[Broadcast]]:
+    """Indexes of all items, broadcast in blocks of about ``item_bytes``; one list for each pass over the documents."""
+    spark = items.sparkSession
+    prepare_python(spark)
+    known = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    known = known.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t"))
+    total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, -(-total // item_bytes))
+    sent = []
+    for block in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # bounded by item_bytes
+        index = build_index([r["i"] for r in rows], [r["t"] for r in rows])
+        if index.levels:
+            sent.append(spark.sparkContext.broadcast(index))
+    return [sent[i : i + PASS_BLOCKS] for i in range(0, len(sent), PASS_BLOCKS)]
+
+
+def _hits(seq: np.ndarray, indexes: list[Index], percent: int) -> Iterator[tuple[int, int, int]]:
+    """(item id, shared, size) of the items that a document's shingles hold."""
+    if not len(seq):
+        return
+    mul, add = shingles.permutations(SAMPLES, SEED)
+    blocks, whole = _block_minima(seq, mul, add), None
+    for index in indexes:
+        near = candidates(blocks, index)
+        if len(near) and whole is None:
+            whole = np.unique(seq)
+        for k in near:
+            n, size = _shared(index.sets[k], whole), len(index.sets[k])
+            if n * 100 >= size * percent:
+                yield index.ids[k], n, size
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    percent: int = 75,
+    item_bytes: int = ITEM_BYTES,
+) -> DataFrame:
+    """Rows of ``docs`` that hold no item, columns unchanged; each row is judged by its own text, whatever its id.
+
+    Rows whose text is null or empty stay.  The rows are filtered where they are read; nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+    for sent in _sent(items, item_col, item_text_col, item_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            indexes = [b.value for b in sent]
+            for batch in batches:
+                found = [next(_hits(seq, indexes, percent), None) is None for seq in shingles.sequences(batch.column(at).to_pylist())]
+                yield batch.filter(pa.array(found, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
