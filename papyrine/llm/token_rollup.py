@@ -2,15 +2,16 @@
 
 A change to the corpus is a batch of signed deltas: an insert adds a document's count, a delete takes it
 away, a revised count is both.  Totals by source, language and tokenizer version are additive, so a batch is
-summed before it is shuffled and written as a few rows; unchanged documents are never read again.  A batch has
-an id and is committed once: its folder counts only when Spark's job marker lies in it, a second commit of the
-id changes nothing, and a commit that died half-way is overwritten by the next try.
+summed before it is shuffled, and added to the last totals; unchanged documents are never read again.  A batch has
+an id and is committed once, by renaming a finished version of the totals: a second commit of the id changes
+nothing, and one with other deltas is refused.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ from papyrine.llm.scratch import Scratch, prepare_python
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ("source", "lang", "tokenizer")
 TOTAL = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
+BATCHES = "batch string, digest string"
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a text encoded at once.  A cut is made before a space that follows a letter, where the pattern always cuts.
 PIECE = 1 << 16
@@ -42,7 +44,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def count_tokens(docs: DataFrame, vocabularies: dict[str, str], *, text_col: str = "text", which: dict[str, Column] | None = None) -> DataFrame:
-    """Columns of ``docs`` without the text, and one count per vocabulary (name -> file of ranks).
+    """Columns of ``docs`` without the text, and one count per vocabulary (name -> file of ranks), which replaces a column of its name.
 
     Counts are of whole texts; null and empty texts have 0 tokens.  ``which`` may hold a condition per name:
     rows that do not meet it get a null count and are not encoded.
@@ -56,7 +58,7 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, str], *, text_col: str
     sent = spark.sparkContext.broadcast(raw)  # about a megabyte for each vocabulary, whatever the corpus
     which = which or {}
     flags = [F.coalesce(which.get(n, F.lit(True)), F.lit(False)).alias(f"__do_{k}") for k, n in enumerate(raw)]
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c != text_col and c not in raw]
     names = list(raw)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +100,13 @@ def revisions(old: DataFrame, old_tokens: str, old_tokenizer: str, new: DataFram
 
 
 class TokenRollup:
-    """Totals kept below ``path``, a folder that all machines share."""
+    """Totals kept below ``path``, a folder that all machines share, on a file system that renames folders atomically.
+
+    Folder ``v<n>`` holds the n-th version: ``totals``, the sums of all batches so far, and ``batches``, the ids of
+    those batches with a digest of their sums.  A commit adds its sums to the last version in a folder of its own
+    and renames that to the next version, which fails where another writer was first; it then starts again.  What
+    a commit that died leaves behind is never read.  Versions before the last two are deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -108,33 +116,61 @@ class TokenRollup:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _folder(self, batch_id: str) -> str:
-        return f"{self.path}/batch-{hashlib.sha256(batch_id.encode()).hexdigest()[:32]}"
+    def _version(self) -> int:
+        """Number of the last version, 0 before the first."""
+        files, root = self._hadoop(self.path)
+        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        return max((int(n[1:]) for n in names if re.fullmatch(r"v[0-9]+", n)), default=0)
+
+    def _table(self, version: int, name: str, schema: str) -> DataFrame:
+        if not version:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/v{version:012d}/{name}")
 
-    def committed(self, batch_id: str) -> bool:
-        """Whether this batch counts."""
-        files, marker = self._hadoop(f"{self._folder(batch_id)}/_SUCCESS")
-        return files.exists(marker)
+    def committed(self, batch_id: str) -> str | None:
+        """Digest of the batch's sums if it counts."""
+        row = self._table(self._version(), "batches", BATCHES).where(F.col("batch") == batch_id).first()
+        return row["digest"] if row else None
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Add a batch of deltas once; False if it was there already.  A null key is a key of its own."""
-        if self.committed(batch_id):
-            return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.where("documents <> 0 or tokens <> 0").write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
-
-    def batches(self) -> DataFrame:
-        """Rows of all committed batches."""
-        files, root = self._hadoop(self.path)
-        folders = [s.getPath().toString() for s in files.listStatus(root)] if files.exists(root) else []
-        done = [f for f in folders if files.exists(self._hadoop(f"{f}/_SUCCESS")[1])]
-        return self.spark.read.schema(TOTAL).parquet(*done) if done else self.spark.createDataFrame([], TOTAL)
+        """Add a batch of deltas once; False if it was there already.  A null key is a key of its own.
+
+        An id that was committed with other sums raises ValueError.
+        """
+        folder = f"{self.path}/next-{uuid.uuid4().hex}"
+        sums = _added(deltas)
+        sums.write.parquet(f"{folder}/batch")
+        sums = self.spark.read.schema(TOTAL).parquet(f"{folder}/batch")
+        digest = sums.agg(F.sum(F.xxhash64(*sums.columns).cast("decimal(38,0)")), F.count(F.lit(1))).first()
+        digest = f"{digest[0] or 0}:{digest[1]}"
+        files, draft = self._hadoop(folder)
+        try:
+            while True:
+                known = self.committed(batch_id)
+                if known is not None:
+                    if known != digest:
+                        raise ValueError(f"batch {batch_id!r} was committed with other deltas")
+                    return False
+                version = self._version()
+                _added(self._table(version, "totals", TOTAL).unionByName(sums)).write.mode("overwrite").parquet(f"{folder}/totals")
+                mine = self.spark.createDataFrame([(batch_id, digest)], BATCHES)
+                self._table(version, "batches", BATCHES).unionByName(mine).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches")
+                target = self._hadoop(f"{self.path}/v{version + 1:012d}")[1]
+                if not files.exists(target) and files.rename(draft, target):
+                    files.delete(self._hadoop(f"{self.path}/v{version - 1:012d}")[1], True)
+                    return True
+        finally:
+            files.delete(draft, True)
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, documents, tokens; keys whose documents have all gone are left out."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 or tokens <> 0")
+        """source, lang, tokenizer, documents, tokens of the last version; keys whose documents have all gone are left out."""
+        return self._table(self._version(), "totals", TOTAL)
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Sums by key, without those that are 0."""
+    sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    return sums.where("documents <> 0 or tokens <> 0")
 
 
 def maintain(docs: DataFrame, labels: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
