@@ -25,7 +25,8 @@ from papyrine.llm.scratch import Scratch, prepare_python
 FEATURE_BITS = 22
 PREFIXES = (4, 5, 6)
 FOLDS, FEATURES = 5, 2048
-SAMPLE_ROWS = 6_000
+#: Labelled ids that the fit uses at most, and bytes of a text that may be among them.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 1 << 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -219,17 +220,18 @@ def weight_tables(models: list[Linear]) -> tuple[list[np.ndarray], np.ndarray]:
     return tables, used
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Fit the chain on at most ``sample_rows`` labelled rows, chosen by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Fit the chain on at most ``sample_rows`` labelled ids, chosen by a hash, with texts of ``sample_bytes`` at most.
 
-    ``labels`` has doc_id and a 0/1 column per category; nulls are unknown.  Repeated labels of an id and
-    repeated rows count as they stand.  Without labels, every probability is near 0.
+    ``labels`` has doc_id and a 0/1 column per category; nulls are unknown.  Of repeated labels of an id the
+    larger counts, of repeated rows the text of the smallest hash, so the sample is bounded in rows and bytes.
+    Without labels, every probability is near 0.
     """
     spark = docs.sparkSession
     prepare_python(spark)
     scratch = Scratch(spark, "toxic")
     order = F.xxhash64(F.lit(17), "doc_id")
-    chosen = labels.where("doc_id is not null").select("doc_id", *categories).orderBy(order, "doc_id").limit(sample_rows)
+    chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(order, "doc_id").limit(sample_rows)
     chosen = scratch.table(chosen, "sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, samp
             yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))], names=[*names, "features"])
 
     # the sample is bounded by sample_rows, so it may be broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", *[F.col(c).cast("double").alias(c) for c in categories], "text")
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    sampled = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    one = sampled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    joined = one.join(F.broadcast(chosen), "doc_id").select("doc_id", *[F.col(c).cast("double").alias(c) for c in categories], "text")
     schema = "doc_id bigint, " + ", ".join(f"`{c}` double" for c in categories) + ", features array<int>"
     table = joined.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
     lists = table.column("features").combine_chunks()
