@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm.scratch import Scratch
+
 #: (verdict, host, path).  A rule's name is host + path.
 RULES = (
     ("allow", "org", "/"),
@@ -23,6 +25,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 #: Public suffixes of two labels under which names are registered.
+#: This is no whole list of public suffixes; ``judge`` takes another.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "com.cn", "co.in", "co.kr", "com.mx", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = ("suffix", "domain", "host")
@@ -50,11 +53,14 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
-def host_levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; ports and a last dot are left out, an address is its own domain."""
+def host_levels(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; ports and a last dot are left out, an address is its own domain.
+
+    ``suffixes`` are those public suffixes that have two labels.
+    """
     name = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", "")
     two = F.substring_index(name, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
     labels = F.size(F.split(suffix, r"\.")) + 1
     domain = F.when(labels == 3, F.substring_index(name, ".", -3)).otherwise(two)
     address = name.rlike(r"^(\d{1,3}\.){3}\d{1,3}$|^\[")
@@ -84,8 +90,9 @@ def prior_strength(level: DataFrame, mean: str, most: float = 200.0, least: floa
 def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     """From host counts (host, domain, suffix, n, bad): posterior rate and its lower and upper bound.
 
-    The bounds are the posterior mean -/+ z standard deviations of its Beta distribution; a prior is
-    taken to be worth no more labels than there are in all, so few labels give wide bounds.  Hosts without
+    The bounds are a normal approximation: the posterior mean -/+ z standard deviations of a Beta distribution of
+    that mean, whose prior is taken to be worth no more labels than there are in all.  That makes them wider than
+    those of the posterior itself where labels are few, so that few labels block nothing.  Hosts without
     labels get their domain's posterior; without any labels the overall rate is 1/2.
     """
     overall = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"))
@@ -113,6 +120,7 @@ def judge(
     rules: Sequence[tuple[str, str, str]] = RULES,
     max_bad: float = 0.25,
     z: float = 1.645,
+    suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Verdict for every row of ``pages`` (page_id, url).
 
@@ -123,12 +131,14 @@ def judge(
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    domain, suffix = host_levels(F.col("host"))
+    domain, suffix = host_levels(F.col("host"), suffixes)
     seen = outcomes.where(F.col("bad").isNotNull()).select("page_id", F.col("bad").cast("bigint").alias("bad"))
     labelled = parts.select("page_id", "host").join(seen, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     hosts = (
         parts.select("host").distinct().join(labelled, "host", "left").fillna(0, ["n", "bad"]).withColumn("domain", domain).withColumn("suffix", suffix)
     )
+    # one row per host, written once: all levels are fitted from it
+    hosts = Scratch(pages.sparkSession, "hosts").table(hosts, "hosts")
     scored = reputation(hosts, z).select("host", "rate", "lower", "upper", "n")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("lower") > F.lit(max_bad), F.lit("block")).otherwise(F.lit("allow"))
