@@ -275,3 +275,92 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == want
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} <= want and len({(r.shard, r.slot) for r in out}) == len(out)
+
+
+def test_mixing_tied_rows(spark):
+    """Rows that agree in id, size and text share a draw; as many of them are taken as fit."""
+    rows = [(None, "a b c", "s")] * 900 + [(i, "w " * 10, "t") for i in range(30)] + [(7, "x y", "u")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.mix_digest(docs).collect()
+    assert len(got) == len(rows)
+    for size, target in {(r.source_size, r.target) for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own) / 2 + 1e-6
+        assert all(r.taken <= 3 * r.size for r in own)
+
+
+def test_mix_keeps_every_column(spark):
+    rows = [(i, "a b", "s" if i % 3 else "t", f"d{i}", "w", "u", 1, 2, "r", "c", "q") for i in range(30)]
+    names = ["doc_id", "text", "source", "draw", "whole", "upto", "shard", "slot", "repetitions", "copy", "size"]
+    docs = spark.createDataFrame(rows, names)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == names and mixed.dtypes == docs.dtypes
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in rows}
+
+
+def test_warc_null_ids_and_long_payloads(spark):
+    same, long = "z" * 200, "ü" * 700_000
+    pages = spark.createDataFrame([(None, "u", same), (3, "u", same), (5, "v", same), (None, "u", "y" * 150), (None, "w", "y" * 150), (8, "w", long), (9, "x", long)], "page_id bigint, url string, html string")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_digest(pages).collect())
+    assert got == sorted([("None", 200, "revisit", 3), ("3", 200, "response", None), ("5", 200, "revisit", 3), ("None", 150, "response", None), ("None", 150, "response", None), ("8", 1_400_000, "response", None), ("9", 1_400_000, "revisit", 8)])
+
+
+def test_clean_judges_rows(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(None, f"a b {item} c", "k"), (None, "clean words only here now", "k"), (4, f"{item} x", "k"), (4, "other clean words stand here", "k"), (5, None, "k"), (6, "", "k")], "doc_id bigint, text string, item_id string")
+    left = [(r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(None, "clean words only here now"), (4, "other clean words stand here"), (5, None), (6, "")]))
+
+
+def test_near_dedup_rows(spark):
+    from papyrine.llm.pipeline import near_dedup
+
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))
+    rows = [(None, one), (None, one), (3, near), (9, other), (9, "short text of its own here"), (None, "alone is this text of mine"), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = near_dedup(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    again = near_dedup(spark, docs.repartition(2), "")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    assert kept == sorted((str(r.doc_id), str(r.text)) for r in again.collect())
+    assert ("3", near) in kept and ("None", one) not in kept and ("None", "alone is this text of mine") in kept
+    assert sum(k[0] == "9" for k in kept) == 1 and ("5", "None") in kept and ("None", "None") in kept
+
+
+def test_rollup_refuses_other_deltas(spark):
+    counts = spark.createDataFrame([("s", "en", 5)], "source string, lang string, n bigint")
+    roll = TokenRollup(spark, Scratch(spark, "roll").path("totals"))
+    assert roll.commit("a", inserts(counts, "n", "v1")) and not roll.commit("a", inserts(counts, "n", "v1"))
+    with pytest.raises(ValueError):
+        roll.commit("a", inserts(counts.withColumn("n", F.lit(6)), "n", "v1"))
+    for k in range(4):
+        assert roll.commit(f"b{k}", inserts(counts, "n", "v1"))
+    assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "v1", 5, 25)]
+    assert roll.committed("b0") and not roll.committed("c")
+
+
+def test_one_pass_for_several_blocks(spark):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(30))) for i in range(30)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
+    found = decontaminate.find_leaks(docs, items, item_bytes=2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_shared_folder_needed_on_clusters(spark, monkeypatch):
+    from papyrine.llm import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Session())
