@@ -2,67 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from papyrine.llm.pipeline import STAGES, run
 
-from papyrine.llm.decontaminate import clean
-from papyrine.llm.feistel import shard
-from papyrine.llm.mixing import mix
-from papyrine.llm.odd_sketch import near_duplicates
-from papyrine.llm.scratch import Scratch
-from papyrine.llm.toxicity import without_toxic
-
-SHARDS = 40
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier chain finds toxic."""
-    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate component, once; rows of null id stay."""
-    found = near_duplicates(docs)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
-    if repeated.isEmpty():
-        return left
-    several = left.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(several)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents until each source has its target share of words."""
-    return mix(docs)
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shuffle all rows into shards; adds shard and slot."""
-    return shard(docs, SHARDS, order=["doc_id", "source", "lang", "n_chars"])
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("sharding", sharding),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: No SQL: the classifier is trained, and draws and permutations use hashes that DuckDB lacks.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-    return docs
