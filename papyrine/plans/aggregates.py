@@ -128,7 +128,7 @@ def ag16(spark, sf):
 POSTINGS_BLOCK = 65_536
 
 
-@register("ag17_inverted_index", "select w as word, count(*) as postings, string_agg(cast(doc_id as varchar), ',' order by doc_id) as docs from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) as w from documents where lang = 'en' and n_chars < 2000) group by w having count(*) between 2 and 20")
+@register("ag17_inverted_index", "select w as word, doc_id // 65536 as block, count(*) as postings, string_agg(cast(doc_id as varchar), ',' order by doc_id) as docs from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) as w from documents where doc_id is not null) group by 1, 2")
 def ag17(spark, sf):
     """Postings of all words of all documents, in blocks of document ids so that no list grows with the table."""
     d = read(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(words(F.col("text"), 8))).alias("word"))
@@ -238,13 +238,13 @@ def ag31(spark, sf):
     return read(spark, sf, "customer").groupBy("c_mktsegment").agg(*A.count_if_map({"unchanged": new & old, "added": new & ~old, "removed": ~new & old}))
 
 
-@register("ag32_keyword_top", "select word, n from (select w as word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from documents where lang = 'en') where w not in ('that', 'with', 'this', 'from') group by w) order by n desc, word limit 30")
+@register("ag32_keyword_top", "select word, n from (select w as word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from documents) where w not in ('that', 'with', 'this', 'from') group by w) order by n desc, word limit 30")
 def ag32(spark, sf):
     w = read(spark, sf, "documents").select(F.explode(words(F.col("text"), 4)).alias("word"))
     return A.top_counts(w.where(~F.col("word").isin("that", "with", "this", "from")), F.col("word"), 30, "word")
 
 
-@register("ag33_bigrams", "select bigram, n from (select w[i] || ' ' || w[i + 1] as bigram, count(*) as n from (select w, unnest(range(1, len(w))) as i from (select regexp_extract_all(lower(text), '[a-z]{3,}') as w from documents where lang = 'en')) group by 1) order by n desc, bigram limit 20")
+@register("ag33_bigrams", "select bigram, n from (select w[i] || ' ' || w[i + 1] as bigram, count(*) as n from (select w, unnest(range(1, len(w))) as i from (select regexp_extract_all(lower(text), '[a-z]{3,}') as w from documents)) group by 1) order by n desc, bigram limit 20")
 def ag33(spark, sf):
     d = read(spark, sf, "documents").select(words(F.col("text"), 3).alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -269,9 +269,9 @@ def ag36(spark, sf):
     return read(spark, sf, "documents").groupBy("lang").agg(rows_n().alias("docs"), F.count_if(refs).alias("with_refs"), F.sum("n_chars").alias("chars"))
 
 
-@register("ag37_eval_metrics", "select source, count(*) as hits, count(distinct lang) as langs, round(count(case when lang = 'en' then 1 end) / cast(count(*) as double), 6) as balance from documents where n_chars > 800 group by source")
+@register("ag37_eval_metrics", "select source, count(*) as hits, count(distinct lang) as langs, round(count(case when lang = 'en' then 1 end) / cast(count(*) as double), 6) as balance from documents group by source")
 def ag37(spark, sf):
-    return read(spark, sf, "documents").where("n_chars > 800").groupBy("source").agg(rows_n().alias("hits"), F.count_distinct("lang").alias("langs"), F.round(F.count_if(F.col("lang") == "en") / rows_n(), 6).alias("balance"))
+    return read(spark, sf, "documents").groupBy("source").agg(rows_n().alias("hits"), F.count_distinct("lang").alias("langs"), F.round(F.count_if(F.col("lang") == "en") / rows_n(), 6).alias("balance"))
 
 
 @register("ag38_distinct_exact", "select count(distinct user_id) as users, count(distinct event_type) as types from events")
@@ -343,7 +343,7 @@ def rk22(spark, sf):
     return _opportunities(spark, sf).select("c_nationkey", category.alias("category"), level.alias("risk_level"))
 
 
-@register("rk25_facet_classification", """with s as (select * from (values ('that', 1.0), ('with', 2.0), ('from', 1.0)) v(signal, w)), h as (select doc_id, signal, least(1.0, 0.08 * w * len(regexp_extract_all(lower(text), signal))) as score from documents cross join s where lang = 'en')
+@register("rk25_facet_classification", """with s as (select * from (values ('that', 1.0), ('with', 2.0), ('from', 1.0)) v(signal, w)), h as (select doc_id, signal, least(1.0, 0.08 * w * len(regexp_extract_all(lower(text), signal))) as score from documents cross join s)
 select doc_id, signal, round(cast(score as double), 6) as score, r from (select *, row_number() over (partition by doc_id order by score desc, signal) as r from h where score > 0.02) where r <= 2""")
 def rk25(spark, sf):
     signals = {"that": 1.0, "with": 2.0, "from": 1.0}
@@ -390,7 +390,7 @@ def rk33(spark, sf):
     return t.withColumn("r", r).where("r <= 3").drop("r")
 
 
-@register("rk34_categorised_extract", """with c as (select doc_id, case when contains(lower(text), 'ononst') then 'a' when contains(lower(text), 'thatin') then 'b' when contains(lower(text), 'rewh') then 'c' else 'other' end as category, lower(substr(text, 1, 60)) as prefix from documents where lang = 'en'),
+@register("rk34_categorised_extract", """with c as (select doc_id, case when contains(lower(text), 'ononst') then 'a' when contains(lower(text), 'thatin') then 'b' when contains(lower(text), 'rewh') then 'c' else 'other' end as category, lower(substr(text, 1, 60)) as prefix from documents),
 u as (select category, prefix, min(doc_id) as doc_id from c group by 1, 2) select category, doc_id from (select *, row_number() over (partition by category order by doc_id) as r from u) where r <= 4""")
 def rk34(spark, sf):
     low = F.lower("text")

@@ -14,9 +14,9 @@ P = f"with {PAPERS_SQL} "
 FIRST_SENTENCE = "lower(split_part(text, '.', 1))"
 
 
-@register("jn1_either_key", "select l.l_orderkey, l.l_linenumber, s.s_name from lineitem l join supplier s on l.l_suppkey = s.s_suppkey or l.l_suppkey = s.s_nationkey where l.l_quantity > 49")
+@register("jn1_either_key", "select l.l_orderkey, l.l_linenumber, s.s_name from lineitem l join supplier s on l.l_suppkey = s.s_suppkey or l.l_suppkey = s.s_nationkey")
 def jn1(spark, sf):
-    l = read(spark, sf, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_linenumber", "l_suppkey")
+    l = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("s_nationkey"), "s_name")
     return L.join_either(l, s, "l_suppkey", "s_suppkey", "s_nationkey").select("l_orderkey", "l_linenumber", "s_name")
 
@@ -182,12 +182,14 @@ def jn19(spark, sf):
     return s.withColumn("k", k).where("k <= 2").drop("k").withColumn("status", F.when(F.col("score") >= 3, "linked").otherwise("candidate"))
 
 
-@register("jn20_referential_check", "select 'order' as edge, o_orderkey as id from orders where o_custkey not in (select c_custkey from customer) union all select 'line', l_orderkey from lineitem where l_partkey not in (select p_partkey from part where p_size > 1)")
+@register("jn20_referential_check", "select 'order' as edge, o_orderkey as id from orders where o_custkey not in (select c_custkey from customer) union all select 'line', l_orderkey from lineitem where l_partkey not in (select p_partkey from part) union all select 'document', doc_id from documents where doc_id not in (select doc_id from labels)")
 def jn20(spark, sf):
     o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
-    l, p = read(spark, sf, "lineitem"), read(spark, sf, "part").where("p_size > 1")
+    l, p = read(spark, sf, "lineitem"), read(spark, sf, "part")
+    d, k = read(spark, sf, "documents"), read(spark, sf, "labels")
     a = L.missing(o, c, o["o_custkey"] == c["c_custkey"]).select(F.lit("order").alias("edge"), F.col("o_orderkey").alias("id"))
-    return a.unionByName(L.missing(l, p, l["l_partkey"] == p["p_partkey"]).select(F.lit("line").alias("edge"), F.col("l_orderkey").alias("id")))
+    b = L.missing(l, p, l["l_partkey"] == p["p_partkey"]).select(F.lit("line").alias("edge"), F.col("l_orderkey").alias("id"))
+    return a.unionByName(b).unionByName(L.missing(d, k, d["doc_id"] == k["doc_id"]).select(F.lit("document").alias("edge"), F.col("doc_id").alias("id")))
 
 
 @register("jn21_hash_prefix", "select a.doc_id, b.doc_id as other from documents a join documents b on left(sha256(a.text), 12) = left(sha256(b.text), 12) and a.doc_id < b.doc_id")
@@ -219,9 +221,9 @@ def jn23(spark, sf):
     return L.cascade(by_id, by_doi, by_title, by="q")
 
 
-@register("jn24_reverse_index", "select l_suppkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 45) group by l_suppkey")
+@register("jn24_reverse_index", "select l_suppkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from (select distinct l_suppkey, l_partkey from lineitem) group by l_suppkey")
 def jn24(spark, sf):
-    l = read(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_suppkey")
+    l = read(spark, sf, "lineitem").groupBy("l_suppkey")
     return l.agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",").alias("parts"))
 
 
@@ -232,7 +234,7 @@ def set1(spark, sf):
     return l.select("doc_id", F.lit("label").alias("origin")).unionByName(rest)
 
 
-@register("set2_first_spelling", "select doc_id, word from (select doc_id, word, row_number() over (partition by doc_id, lower(word) order by pos) as r, pos from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents where lang = 'es'))) where r = 1")
+@register("set2_first_spelling", "select doc_id, word from (select doc_id, word, row_number() over (partition by doc_id, lower(word) order by pos) as r, pos from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents))) where r = 1")
 def set2(spark, sf):
     w = read(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
     return w.groupBy("doc_id", F.lower("word").alias("lw")).agg(F.min_by("word", "pos").alias("word")).select("doc_id", "word")

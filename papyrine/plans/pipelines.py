@@ -223,7 +223,7 @@ def st7(spark, sf):
     return T.drained(s, "complete", "sliding")
 
 
-@register("cp18_table_bodies", """with l as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as place, case when l_returnflag = 'N' then 1 else 3 end as n from lineitem where l_orderkey % 7 = 0),
+@register("cp18_table_bodies", """with l as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 as place, case when l_returnflag = 'N' then 1 else 3 end as n from lineitem),
 i as (select doc, place, place - row_number() over (partition by doc order by place) as g from l where n = 3) select doc, min(place) as first_line, max(place) as last_line, count(*) as rows from i group by doc, g""")
 def cp18(spark, sf):
     from pyspark.sql import Window
@@ -231,7 +231,7 @@ def cp18(spark, sf):
     from papyrine.operators.chunking import table_bodies
 
     l = read(spark, sf, "lineitem")
-    place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).cast("bigint")
+    place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")) - 1).cast("bigint")
     line = F.when(F.col("l_returnflag") == "N", "prose").otherwise(F.concat_ws("\t", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag"))
     return table_bodies(l.select(F.col("l_orderkey").alias("doc"), place.alias("place"), line.alias("line")), "doc", "place", "line")
 

@@ -34,7 +34,7 @@ def tx2(spark, sf):
     return C.windows(_docs(spark, sf), "doc_id", "text", 1600, 180)
 
 
-@register("tx3_sliding_windows", "select doc_id, i as chunk, substr(text, i * 1050 + 1, 1200) as chunk_text from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 150) / 1050.0) as bigint)))) as i from documents where lang = 'de')")
+@register("tx3_sliding_windows", "select doc_id, i as chunk, substr(text, i * 1050 + 1, 1200) as chunk_text from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 150) / 1050.0) as bigint)))) as i from documents)")
 def tx3(spark, sf):
     return C.windows(_docs(spark, sf), "doc_id", "text", 1200, 150)
 
@@ -98,7 +98,7 @@ def tx10(spark, sf):
     return c.agg(F.count(F.lit(1)).alias("items"), joined.alias("evidence"))
 
 
-@register("tx11_flat_chunks", f"with {SENTS} select doc_id, place, substr(sentence, 1, 1200) as chunk, 'doc:' || doc_id || ':' || lpad(cast(place as varchar), 4, '0') as chunk_id from s where length(sentence) >= 15 and lang = 'fr'")
+@register("tx11_flat_chunks", f"with {SENTS} select doc_id, place, substr(sentence, 1, 1200) as chunk, 'doc:' || doc_id || ':' || lpad(cast(place as varchar), 4, '0') as chunk_id from s where length(sentence) >= 15")
 def tx11(spark, sf):
     s = _sentences(spark, sf).where("length(sentence) >= 15")
     cid = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("place").cast("string"), 4, "0"))
@@ -174,9 +174,9 @@ def tx21(spark, sf):
     return n.withColumn("r", r).where("r <= 5").select("column_name", "value")
 
 
-@register("tx22_entity_index", "select lower(p_brand) as entity, count(*) as rows, string_agg(distinct p_type, ',' order by p_type) as types, min(l_orderkey) as first_order from lineitem join part on p_partkey = l_partkey where l_quantity > 30 group by 1")
+@register("tx22_entity_index", "select lower(p_brand) as entity, count(*) as rows, string_agg(distinct p_type, ',' order by p_type) as types, min(l_orderkey) as first_order from lineitem join part on p_partkey = l_partkey group by 1")
 def tx22(spark, sf):
-    l = read(spark, sf, "lineitem").where("l_quantity > 30").join(read(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    l = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return l.groupBy(F.lower("p_brand").alias("entity")).agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"), F.min("l_orderkey").alias("first_order"))
 
 

@@ -41,9 +41,9 @@ def fn5(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))), ",").alias("items"))
 
 
-@register("fn6_clean_scalar", "select page_id, nullif(trim(regexp_replace(substr(html, 1, 300), '[ \\t\\n\\r\\f]+', ' ', 'g')), '') as cleaned from pages")
+@register("fn6_clean_scalar", "select page_id, nullif(trim(regexp_replace(html, '[ \\t\\n\\r\\f]+', ' ', 'g')), '') as cleaned from pages")
 def fn6(spark, sf):
-    return read(spark, sf, "pages").select("page_id", T.clean_scalar(F.substring("html", 1, 300)).alias("cleaned"))
+    return read(spark, sf, "pages").select("page_id", T.clean_scalar(F.col("html")).alias("cleaned"))
 
 
 @register("fn7_safe_name", "select page_id, substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) as name from pages")
@@ -63,9 +63,9 @@ def fn9(spark, sf):
     return c.agg(F.array_join(items, "|").alias("items"))
 
 
-@register("fn10_citation_line", "select l_orderkey, l_linenumber, regexp_extract(s, 'page=([0-9]+)', 1) as page, regexp_extract(s, 'section=([A-Z])', 1) as section from (select *, 'page=' || l_linenumber || ' section=' || l_returnflag || ' excerpt=\"x\"' as s from lineitem where l_quantity > 49)")
+@register("fn10_citation_line", "select l_orderkey, l_linenumber, regexp_extract(s, 'page=([0-9]+)', 1) as page, regexp_extract(s, 'section=([A-Z])', 1) as section from (select *, 'page=' || l_linenumber || ' section=' || l_returnflag || ' excerpt=\"x\"' as s from lineitem)")
 def fn10(spark, sf):
-    l = read(spark, sf, "lineitem").where("l_quantity > 49")
+    l = read(spark, sf, "lineitem")
     s = F.concat(F.lit("page="), F.col("l_linenumber").cast("string"), F.lit(" section="), "l_returnflag", F.lit(' excerpt="x"'))
     return l.select("l_orderkey", "l_linenumber", F.regexp_extract(s, "page=([0-9]+)", 1).alias("page"), F.regexp_extract(s, "section=([A-Z])", 1).alias("section"))
 
@@ -189,10 +189,10 @@ def fn29(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.translate(F.lower("p_brand"), "_-#", "   ").alias("header"))
 
 
-@register("fn30_citation_markers", "select l_orderkey, l_linenumber, len(regexp_extract_all(s, '\\[[0-9, ]+\\]')) as markers from (select *, 'x [' || l_linenumber || ', 2] y [' || l_suppkey || ']' as s from lineitem where l_quantity > 48)")
+@register("fn30_citation_markers", "select l_orderkey, l_linenumber, len(regexp_extract_all(s, '\\[[0-9, ]+\\]')) as markers from (select *, 'x [' || l_linenumber || ', 2] y [' || l_suppkey || ']' as s from lineitem)")
 def fn30(spark, sf):
     s = F.concat(F.lit("x ["), F.col("l_linenumber").cast("string"), F.lit(", 2] y ["), F.col("l_suppkey").cast("string"), F.lit("]"))
-    return read(spark, sf, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_linenumber", F.regexp_count(s, F.lit(r"\[[0-9, ]+\]")).cast("bigint").alias("markers"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.regexp_count(s, F.lit(r"\[[0-9, ]+\]")).cast("bigint").alias("markers"))
 
 
 @register("fn31_text_stats", "select doc_id, length(text) as chars, len(string_split(text, chr(10))) as lines, round(len(regexp_extract_all(text, '[*#$%&!]')) / cast(greatest(length(text), 1) as double), 6) as odd_ratio from documents")
@@ -201,7 +201,7 @@ def fn31(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars"), F.size(F.split("text", "\n")).cast("bigint").alias("lines"), F.round(odd, 6).alias("odd_ratio"))
 
 
-@register("fn32_topic_name", "select source, string_agg(word, ' / ' order by n desc, word) as topic from (select source, word, n, row_number() over (partition by source order by n desc, word) as r from (select source, w as word, count(*) as n from (select source, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from documents where lang = 'en') group by 1, 2)) where r <= 3 group by source")
+@register("fn32_topic_name", "select source, string_agg(word, ' / ' order by n desc, word) as topic from (select source, word, n, row_number() over (partition by source order by n desc, word) as r from (select source, w as word, count(*) as n from (select source, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from documents) group by 1, 2)) where r <= 3 group by source")
 def fn32(spark, sf):
     from pyspark.sql import Window
 

@@ -105,14 +105,14 @@ def flt13(spark, sf):
 
 NOISE = """select word, frequency, case when length(word) < 3 then 'short' when regexp_matches(word, '^[0-9]+$') then 'numeric' when word in ('the', 'and', 'that', 'with') then 'stopword' when rn > 1 then 'merged' else 'kept' end as status
 from (select word, lower(word) as lw, n, sum(n) over (partition by lower(word)) as frequency, row_number() over (partition by lower(word) order by n desc, word) as rn from
-(select word, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as word from documents where lang = 'en') group by word))"""
+(select word, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as word from documents) group by word))"""
 
 
 @register("flt14_entity_noise", NOISE.replace("sum(n) over", "cast(sum(n) over").replace("(partition by lower(word)) as frequency", "(partition by lower(word)) as bigint) as frequency"))
 def flt14(spark, sf):
     from pyspark.sql import Window
 
-    w = read(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0)).alias("word"))
+    w = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0)).alias("word"))
     n = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     same = Window.partitionBy(F.lower("word"))
     n = n.withColumn("frequency", F.sum("n").over(same)).withColumn("rn", F.row_number().over(same.orderBy(F.desc("n"), "word")))
@@ -164,9 +164,9 @@ def prj3(spark, sf):
     return e.where("item <> ''").withColumn("place", F.col("place").cast("bigint"))
 
 
-@register("prj4_pagination", "select count(*) as total, cast(greatest(1, ceil(count(*) / 25.0)) as bigint) as pages, 3 as page from documents where lang = 'de'")
+@register("prj4_pagination", "select count(*) as total, cast(greatest(1, ceil(count(*) / 25.0)) as bigint) as pages, 3 as page from documents")
 def prj4(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'de'").agg(F.count(F.lit(1)).alias("total"))
+    d = read(spark, sf, "documents").agg(F.count(F.lit(1)).alias("total"))
     return d.select("total", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("total") / 25.0)).alias("pages"), F.lit(3).alias("page"))
 
 
@@ -282,6 +282,6 @@ def rk28(spark, sf):
     return read(spark, sf, "part").where(F.lower("p_name").contains("ring")).select("p_partkey", "p_name", kind.alias("kind")).orderBy("kind", "p_partkey").limit(30)
 
 
-@register("rk32_sorted_list", P + "select paper_id, title, year from papers where lang = 'es' order by year asc nulls last, title, paper_id limit 40")
+@register("rk32_sorted_list", P + "select paper_id, title, year from papers order by year asc nulls last, title, paper_id limit 40")
 def rk32(spark, sf):
-    return papers(spark, sf).where("lang = 'es'").orderBy(F.asc_nulls_last("year"), "title", "paper_id").limit(40).select("paper_id", "title", "year")
+    return papers(spark, sf).orderBy(F.asc_nulls_last("year"), "title", "paper_id").limit(40).select("paper_id", "title", "year")

@@ -63,7 +63,7 @@ def rk14(spark, sf):
 @register("rk14b_greedy_title_dedup")
 def rk14b(spark, sf):
     """Hits whose titles nearly repeat a better hit's are dropped, one after the other."""
-    d = read(spark, sf, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(60)
+    d = read(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(60)
     hits = d.select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("n_chars").cast("double").alias("score"))
     return V.drop_near_titles(hits, "doc_id", "title", "score", 0.8)
 
@@ -102,7 +102,7 @@ def gr3(spark, sf):
     return V.cohesion(V.as_vectors(read(spark, sf, "embeddings")))
 
 
-@register("gr4_topic_similarity", """with k as (select source, list_distinct(flatten(list(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{5,}')))) as w from documents where lang = 'en' group by source)
+@register("gr4_topic_similarity", """with k as (select source, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{5,}')))) as w from documents group by source)
 select a.source as a, b.source as b, round(len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) as double), 6) as jaccard from k a join k b on a.source < b.source""")
 def gr4(spark, sf):
     from papyrine.functions.text import words
