@@ -1,8 +1,8 @@
-"""Rule tables as expressions: scores by keywords, first match, best category."""
+"""Rule tables as expressions: keyword counts, first match, penalties."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -23,16 +23,6 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     return reduce(add, [text.contains(k).cast("int") for k in keywords])
 
 
-def best_category(text: Column, categories: Mapping[str, Sequence[str]], base: float, step: float, most: float, default: str) -> Column:
-    """Struct (label, score) of the category with most keywords found; ties go to the first named."""
-    places = [
-        F.struct(keyword_hits(text, words).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("label")) for i, (name, words) in enumerate(categories.items())
-    ]
-    top = F.greatest(*places) if len(places) > 1 else places[0]
-    score = F.least(F.lit(base) + F.lit(step) * top["n"], F.lit(most))
-    return F.struct(F.when(top["n"] > 0, top["label"]).otherwise(default).alias("label"), F.when(top["n"] > 0, score).otherwise(F.lit(0.3)).alias("score"))
-
-
 def rubric(start: int, penalties: Sequence[tuple[Column, int, str]]) -> tuple[Column, Column]:
     """(score, notes): start plus the points of every condition that holds, not below 0, and their names."""
     points = [F.when(F.coalesce(c, F.lit(False)), F.lit(p)).otherwise(F.lit(0)) for c, p, _ in penalties]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("search", "joins", "aggregates", "scalars", "vectors", "rules", "graph", "pipelines")
+MODULES: tuple[str, ...] = ("search", "joins", "aggregates", "scalars", "vectors", "rules", "classifiers", "graph", "pipelines")
 
 
 def load() -> None:

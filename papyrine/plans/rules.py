@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyrine.functions.rules import best_category, first_match, keyword_hits, rubric
+from papyrine.functions.rules import first_match, keyword_hits, rubric
 from papyrine.functions.text import clip
 from papyrine.operators import chunking as C
 from papyrine.plans.registry import register
@@ -75,14 +75,6 @@ def tx7(spark, sf):
     return s.withColumn("r", r).where("r <= 8").select("doc_id", F.col("place").cast("bigint").alias("place"), "sentence", conf.alias("confidence"))
 
 
-@register("tx8_discussion_types", "select conv_id, turn, case when greatest(a, b, c) = 0 then 'none' when a >= b and a >= c then 'that' when b >= c then 'with' else 'from' end as kind from (select conv_id, turn, len(regexp_extract_all(lower(text), 'that')) as a, len(regexp_extract_all(lower(text), 'with')) as b, len(regexp_extract_all(lower(text), 'from')) as c from conversations)")
-def tx8(spark, sf):
-    low = F.lower("text")
-    n = [F.struct(F.regexp_count(low, F.lit(k)).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(("that", "with", "from"))]
-    top = F.greatest(*n)
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.when(top["n"] > 0, top["k"]).otherwise("none").alias("kind"))
-
-
 @register("tx9_core_findings", f"with {SENTS} select doc_id, place from (select *, row_number() over (partition by doc_id order by place desc) as r from s where length(sentence) >= 30 and place >= 0.7 * total) where r <= 3")
 def tx9(spark, sf):
     s = _sentences(spark, sf).where((F.length("sentence") >= 30) & (F.col("place") >= 0.7 * F.col("total")))
@@ -210,11 +202,6 @@ def cl1b(spark, sf):
     return C.hits_without_exclusion(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text", "that", "with", 80)
 
 
-@register("cl2_section_role", "select page_id, case when contains(url, '/en/') then 'english' when contains(url, '/fr/') then 'french' when contains(url, 'page=') then 'paged' else 'other' end as role from pages")
-def cl2(spark, sf):
-    return read(spark, sf, "pages").select("page_id", first_match(F.col("url"), [("/en/", "english"), ("/fr/", "french"), ("page=", "paged")], "other").alias("role"))
-
-
 @register("cl3_dictionary_validation", "select distinct p_type as missing from part where p_type not in ('ECONOMY', 'SMALL', 'STANDARD')")
 def cl3(spark, sf):
     known = spark.createDataFrame([("ECONOMY",), ("SMALL",), ("STANDARD",)], "p_type string")
@@ -229,28 +216,6 @@ def cl4(spark, sf):
     return old.join(new, "doc_id").where("old <> new").select("doc_id")
 
 
-INTENTS = {"compare": ["that", "with"], "trend": ["from", "this"], "gap": ["orre", "rewh", "thatin"]}
-
-
-def _intent_sql(text: str) -> str:
-    n = {k: " + ".join(f"cast(contains({text}, '{w}') as int)" for w in ws) for k, ws in INTENTS.items()}
-    return ", ".join(f"{v} as {k}_n" for k, v in n.items())
-
-
-@register("cl5_query_intent", f"select conv_id, turn, case when greatest(compare_n, trend_n, gap_n) = 0 then 'search' when compare_n >= trend_n and compare_n >= gap_n then 'compare' when trend_n >= gap_n then 'trend' else 'gap' end as intent, round(cast(case when greatest(compare_n, trend_n, gap_n) = 0 then 0.3 else least(0.4 + 0.2 * greatest(compare_n, trend_n, gap_n), 0.95) end as double), 6) as score from (select conv_id, turn, {_intent_sql('lower(text)')} from conversations)")
-def cl5(spark, sf):
-    best = best_category(F.lower("text"), INTENTS, 0.4, 0.2, 0.95, "search")
-    return read(spark, sf, "conversations").select("conv_id", "turn", best.alias("b")).select("conv_id", "turn", F.col("b.label").alias("intent"), F.round("b.score", 6).alias("score"))
-
-
-@register("cl6_tool_plan", "select intent, count(*) as n, case intent when 'gap' then 'keyword,graph' when 'trend' then 'timeline' else 'keyword' end as tools from (select case when contains(lower(text), 'rewh') then 'gap' when contains(lower(text), 'from') then 'trend' else 'search' end as intent from conversations where role = 'user') group by intent")
-def cl6(spark, sf):
-    intent = first_match(F.lower("text"), [("rewh", "gap"), ("from", "trend")], "search")
-    by = read(spark, sf, "conversations").where("role = 'user'").groupBy(intent.alias("intent")).agg(F.count(F.lit(1)).alias("n"))
-    plan = F.create_map(F.lit("gap"), F.lit("keyword,graph"), F.lit("trend"), F.lit("timeline"), F.lit("search"), F.lit("keyword"))
-    return by.withColumn("tools", F.element_at(plan, F.col("intent")))
-
-
 @register("cl7_intent_cascade", "select conv_id, turn, case when regexp_matches(lower(text), 'thatin') then 'method' when regexp_matches(lower(text), 'with|from') then 'compare' when length(text) < 60 then 'short' else 'summary' end as intent from conversations where role = 'user'")
 def cl7(spark, sf):
     low = F.lower("text")
@@ -258,13 +223,6 @@ def cl7(spark, sf):
     return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", c.alias("intent"))
 
 
-@register("cl8_dataset_type", "select p_brand, case when n1 >= n2 then 'bolts' else 'widgets' end as kind, round(cast(least(0.7 + 0.05 * greatest(n1, n2), 0.95) as double), 6) as confidence from (select p_brand, count(case when contains(p_name, 'bolt') then 1 end) as n1, count(case when contains(p_name, 'widget') then 1 end) as n2 from part group by p_brand)")
-def cl8(spark, sf):
-    n = read(spark, sf, "part").groupBy("p_brand").agg(F.count_if(F.col("p_name").contains("bolt")).alias("n1"), F.count_if(F.col("p_name").contains("widget")).alias("n2"))
-    kind = F.when(F.col("n1") >= F.col("n2"), "bolts").otherwise("widgets")
-    return n.select("p_brand", kind.alias("kind"), F.round(F.least(0.7 + 0.05 * F.greatest("n1", "n2"), F.lit(0.95)), 6).alias("confidence"))
-
-
 @register("cl9_table_type", "select p_partkey, case when h >= 1 then least(0.70 + 0.10 * h, 0.95) when m >= 2 then least(0.50 + 0.08 * m, 0.70) when m = 1 then 0.35 else 0.0 end::double as confidence from (select p_partkey, cast(contains(p_name, 'red') as int) + cast(p_type = 'ECONOMY' as int) as h, cast(contains(p_name, 'ring') as int) + cast(p_size > 20 as int) as m from part)")
 def cl9(spark, sf):
     h = F.col("p_name").contains("red").cast("int") + (F.col("p_type") == "ECONOMY").cast("int")
@@ -289,18 +247,6 @@ def cl12(spark, sf):
     return read(spark, sf, "part").select("p_partkey", first_match(F.col("p_name"), [("^red|^blue", "coloured"), ("small|large", "sized")], "plain").alias("kind"))
 
 
-@register("cl13_evidence_role", "select conv_id, turn, case when role = 'system' then 'background' when length(text) > 400 then 'primary' else 'supporting' end as evidence_role from conversations")
-def cl13(spark, sf):
-    c = F.when(F.col("role") == "system", "background").when(F.length("text") > 400, "primary").otherwise("supporting")
-    return read(spark, sf, "conversations").select("conv_id", "turn", c.alias("evidence_role"))
-
-
-@register("cl14_relation", "select event_id, case when event_type = 'error' then 'method_detail' when event_type = 'click' then 'reports_data' when value > 20 then 'illustrates' else 'supports' end as relation from events")
-def cl14(spark, sf):
-    c = F.when(F.col("event_type") == "error", "method_detail").when(F.col("event_type") == "click", "reports_data").when(F.col("value") > 20, "illustrates").otherwise("supports")
-    return read(spark, sf, "events").select("event_id", c.alias("relation"))
-
-
 @register("cl15_subtopic_specificity", "select doc_id, round(s / 3.0, 6)::double as score from (select doc_id, cast(contains(lower(text), 'thatin') as int) * 1.5 + cast(contains(lower(text), 'that') as int) * 0.5 + cast(contains(lower(text), 'rewh') as int) * 1.0 as s, cast(contains(lower(text), 'thatin') as int) + cast(contains(lower(text), 'that') as int) + cast(contains(lower(text), 'rewh') as int) as n from documents) where s / 3.0 >= 0.2 and n >= 2")
 def cl15(spark, sf):
     weights = {"thatin": 1.5, "that": 0.5, "rewh": 1.0}
@@ -315,26 +261,6 @@ def cl16(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract(bare, r"\.([a-z]+)$", 1), F.lit("")), F.lit("none")).alias("extension"))
 
 
-@register("ql1_gap_quality", """select doc_id, round(0.40 * g + 0.35 * s + 0.25 * n, 6)::double as score, case when conf > 0.85 and g < 0.4 then 'high' when conf > 0.7 and g < 0.5 then 'medium' else 'low' end as overclaim from (select doc_id, least(n_chars / 3000.0, 1) as conf, case when n_chars < 500 then 0.1 when n_chars < 1500 then 0.5 when n_chars < 3000 then 0.7 else 0.9 end as g, case when length(text) < 300 then 0.2 when length(text) > 1000 then 0.8 else 0.5 end as s, case lang when 'en' then 0.8 when 'fr' then 0.75 else 0.6 end as n from documents)""")
-def ql1(spark, sf):
-    c = F.col("n_chars")
-    g = F.when(c < 500, 0.1).when(c < 1500, 0.5).when(c < 3000, 0.7).otherwise(0.9)
-    s = F.when(F.length("text") < 300, 0.2).when(F.length("text") > 1000, 0.8).otherwise(0.5)
-    n = F.when(F.col("lang") == "en", 0.8).when(F.col("lang") == "fr", 0.75).otherwise(0.6)
-    conf = F.least(c / 3000, F.lit(1.0))
-    over = F.when((conf > 0.85) & (g < 0.4), "high").when((conf > 0.7) & (g < 0.5), "medium").otherwise("low")
-    return _docs(spark, sf).select("doc_id", F.round(0.40 * g + 0.35 * s + 0.25 * n, 6).alias("score"), over.alias("overclaim"))
-
-
-@register("ql2_hypothesis_quality", "select conv_id, turn, round(0.35 * t + 0.30 * r + 0.35 * f, 6)::double as score from (select conv_id, turn, case when length(text) > 800 then 0.8 when length(text) > 300 then 0.6 else 0.3 end + 0.1 * cast(contains(lower(text), 'that') as int) as t, case when contains(lower(text), 'with') then 0.7 else 0.3 end as r, case when length(text) > 1000 then 0.7 when length(text) > 400 then 0.5 else 0.3 end as f from conversations)")
-def ql2(spark, sf):
-    n, low = F.length("text"), F.lower("text")
-    t = F.when(n > 800, 0.8).when(n > 300, 0.6).otherwise(0.3) + 0.1 * low.contains("that").cast("int")
-    r = F.when(low.contains("with"), 0.7).otherwise(0.3)
-    f = F.when(n > 1000, 0.7).when(n > 400, 0.5).otherwise(0.3)
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.round(0.35 * t + 0.30 * r + 0.35 * f, 6).alias("score"))
-
-
 RUBRIC = [("length(text) < 30", 20, "short"), ("not contains(lower(text), 'th')", 15, "no_source"), ("lang <> 'en'", 10, "unknown_type"), ("n_chars > 10000", 25, "long"), ("regexp_matches(text, '[*#$%&]{3}')", 50, "noise")]
 
 
@@ -395,13 +321,6 @@ def ql10(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.round(q, 6).alias("quality"))
 
 
-@register("ql11_guardrails", "select c.conv_id, c.turn from conversations c where role = 'assistant' and not exists (select 1 from conversations u where u.conv_id = c.conv_id and u.role = 'system')")
-def ql11(spark, sf):
-    c = read(spark, sf, "conversations")
-    u = c.where("role = 'system'").select("conv_id")
-    return c.where("role = 'assistant'").join(u, "conv_id", "left_anti").select("conv_id", "turn")
-
-
 @register("ql12_recommendations", "select source, 'P1' as priority, 'few_labels' as reason from documents d left join labels l using (doc_id) group by source having count(l.doc_id) < 20 union all select source, 'P2', 'short' from documents group by source having avg(n_chars) < 2000")
 def ql12(spark, sf):
     j = _docs(spark, sf).select("doc_id", "source", "n_chars").join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left").groupBy("source")
