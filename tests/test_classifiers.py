@@ -148,3 +148,12 @@ def test_guardrails(spark):
         (["missing_provenance", "no_source_path", "no_source_path"], "high"),
         (["no_references"], "medium"),
     ]
+
+
+def test_caption_kinds(spark):
+    rows = [("Western blot of the toxin", None), ("A tree", "with bootstrap"), (None, "Schematic of steps"), ("An overview", ""), ("plain", "words"), (None, None)]
+    got = _rows(spark, "a string, b string", rows, r=C.caption_kind(F.col("a"), F.col("b"), R.FIGURE_KINDS))
+    assert [r[0] for r in got] == ["gel_or_blot", "phylogeny", "domain_structure", "workflow_model", "unknown", "unknown"]
+    rows = [("LC50 values", None), ("Primer pairs", None), ("A regression", "chi-square"), ("Data not shown", None), ("none", None)]
+    got = _rows(spark, "a string, b string", rows, r=C.caption_kind(F.col("a"), F.col("b"), R.TABLE_KINDS))
+    assert [r[0] for r in got] == ["toxicity_or_bioassay", "primer_or_plasmid", "statistics_or_model", "supplementary_index", "unknown"]
