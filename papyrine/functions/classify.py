@@ -208,3 +208,8 @@ def guardrails(answer: Column, refs: Column, without_provenance: Column, without
     issues = F.concat(named, F.array_repeat(F.lit("no_source_path"), lost))
     risk = F.when(F.size(issues) >= 3, "high").when(F.size(issues) > 0, "medium").otherwise("low")
     return issues, risk
+
+
+def caption_kind(caption: Column, mentions: Column, rules: R.Rules) -> Column:
+    """Kind of a figure (``FIGURE_KINDS``) or table (``TABLE_KINDS``): the first rule with a word in caption or mentions."""
+    return relation(caption, mentions, rules)

@@ -146,3 +146,35 @@ DISCUSSION: Rules = (
 
 # Words of an answer that claims too much.
 OVERCLAIM = ("prove", "confirm", "establish", "breakthrough", "novel", "first time", "definitively", "undoubtedly")
+
+# Kinds of a figure and of a table by words of caption and mentions; the first kind with a word counts.  Words that hold a
+# word of the same or an earlier kind, and so decide nothing, are left out of the second table.
+FIGURE_KINDS: Rules = (
+    ("gel_or_blot", ("sds-page", "western blot", "blot", "gel", "electrophoresis", "immunoblot", "coomassie")),
+    ("microscopy", ("fluorescence", "confocal", "microscop", "immunofluorescence", "tem", "sem", "cryo-em", "electron micrograph")),
+    ("bioassay_curve", ("bioassay", "feeding assay", "leaf disc", "diet overlay", "surface contamination")),
+    ("dose_response", ("dose-response", "dose response", "lc50", "ld50", "concentration-response", "mortality curve")),
+    ("binding_assay", ("binding", "competition", "ligand blot", "bbmv", "spr", "surface plasmon", "radiolabel")),
+    ("phylogeny", ("phylogenetic", "tree", "cladogram", "neighbor-joining", "maximum likelihood", "bootstrap")),
+    ("structure_model", ("structure", "cryo-em", "model", "domain", "ribbon", "cartoon", "pdb", "3d", "crystal structure")),
+    ("heatmap", ("heatmap", "heat map", "transcriptome", "rna-seq", "microarray", "expression profile", "clustering")),
+    ("bar_chart", ("bar chart", "bar graph", "histogram", "bars represent", "error bars")),
+    ("line_chart", ("line chart", "line graph", "time course", "kinetics", "growth curve")),
+    ("sequence_alignment", ("alignment", "sequence", "conserved", "residues", "weblogo", "consensus")),
+    ("domain_structure", ("domain organization", "domain architecture", "schematic", "diagram of")),
+    ("workflow_model", ("schematic", "workflow", "flowchart", "overview", "pipeline", "model depicting")),
+    ("table_like", ("table", "summary", "list of", "overview of", "comparison of")),
+)
+TABLE_KINDS: Rules = (
+    ("toxicity_or_bioassay", ("lc50", "lc 50", "ld50", "ld 50", "mortality", "toxicity", "bioassay", "feeding assay", "leaf disc", "diet overlay", "surface contamination", "survival", "lethal concentration", "lethal dose", "median lethal", "insecticidal activity")),
+    ("expression_or_production", ("expression", "purification", "yield", "production", "recombinant", "heterologous", "soluble", "inclusion body", "mg/l")),
+    ("binding_or_affinity", ("binding", "affinity", "kd", "ka", "competition", "ligand blot", "bbmv", "brush border membrane", "spr", "surface plasmon", "radiolabel", "dissociation constant")),
+    ("omics_data", ("rna-seq", "rnaseq", "transcriptome", "proteome", "deg", "differentially expressed", "microarray", "fpkm", "rpkm", "fold change", "upregulated", "downregulated", "go term", "kegg", "enrichment", "cluster analysis")),
+    ("gene_or_protein_list", ("gene ", "genes ", "protein list", "accession", "locus tag", "protein id", "orf", "open reading frame", "genomic")),
+    ("primer_or_plasmid", ("primer", "plasmid", "vector", "oligonucleotide", "construct", "restriction site", "cloning")),
+    ("strain_or_sample", ("strain", "isolate", "sample", "specimen", "collection site", "geographic", "field-collected", "lab colony", "population")),
+    ("statistics_or_model", ("p-value", "p value", "regression", "anova", "model", "statistical", "correlation", "coefficient", "r-squared", "standard deviation", "standard error", "confidence interval", "odds ratio", "hazard ratio", "goodness of fit", "aic", "bic", "chi-square", "t-test", "mann-whitney", "kruskal-wallis")),
+    ("phenotype_summary", ("phenotype", "morpholog", "growth rate", "body weight", "lesion", "symptom", "disease severity", "disease incidence", "efficacy", "potency", "activity against")),
+    ("sequence_or_domain", ("sequence", "domain", "identity", "alignment", "conserved", "residues", "motif", "signal peptide", "transmembrane", "homology")),
+    ("supplementary_index", ("supplementary table", "supplementary information", "additional file", "supporting information", "see supplementary", "data not shown")),
+)

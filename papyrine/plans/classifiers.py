@@ -208,3 +208,16 @@ def ql11(spark, sf):
     issues, risk = C.guardrails(text, F.col("n"), F.col("bare"), F.col("lost"), STRONG)
     answers = turns.where("role = 'assistant'").join(refs, "conv_id", "left")
     return answers.select("conv_id", "turn", F.array_join(issues, ",").alias("issues"), risk.alias("risk"))
+
+
+FIGURES, TABLES = with_words(R.FIGURE_KINDS, WORDS), with_words(R.TABLE_KINDS, PART_WORDS)
+
+
+@register("cl12_caption_type", f"""select 'figure' as asset, page_id as id, case {_cascade('c', FIGURES, True)} else 'unknown' end as kind from (select page_id, lower(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') || ' ' || coalesce(regexp_extract(html, '<p>([^<]*)</p>', 1), '')) as c from pages)
+union all select 'table', p_partkey, case {_cascade('c', TABLES, True)} else 'unknown' end from (select p_partkey, lower(coalesce(p_name, '') || ' ' || coalesce(p_type, '')) as c from part)""")
+def cl12(spark, sf):
+    """Captions are titles, mentioned in the first paragraph, and names of parts, mentioned by their type."""
+    title, paragraph = (F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1) for tag in ("title", "p"))
+    figures = read(spark, sf, "pages").select(F.lit("figure").alias("asset"), F.col("page_id").alias("id"), C.caption_kind(title, paragraph, FIGURES).alias("kind"))
+    tables = C.caption_kind(F.col("p_name"), F.col("p_type"), TABLES)
+    return figures.unionByName(read(spark, sf, "part").select(F.lit("table").alias("asset"), F.col("p_partkey").alias("id"), tables.alias("kind")))

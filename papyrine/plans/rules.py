@@ -242,11 +242,6 @@ def cl11(spark, sf):
     return read(spark, sf, "pages").select("page_id", first_match(F.col("html"), [("<table", "table"), ("<img", "image"), ("<li>", "list")], "unknown").alias("kind"))
 
 
-@register("cl12_caption_type", "select p_partkey, case when regexp_matches(p_name, '^red|^blue') then 'coloured' when regexp_matches(p_name, 'small|large') then 'sized' else 'plain' end as kind from part")
-def cl12(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", first_match(F.col("p_name"), [("^red|^blue", "coloured"), ("small|large", "sized")], "plain").alias("kind"))
-
-
 @register("cl15_subtopic_specificity", "select doc_id, round(s / 3.0, 6)::double as score from (select doc_id, cast(contains(lower(text), 'thatin') as int) * 1.5 + cast(contains(lower(text), 'that') as int) * 0.5 + cast(contains(lower(text), 'rewh') as int) * 1.0 as s, cast(contains(lower(text), 'thatin') as int) + cast(contains(lower(text), 'that') as int) + cast(contains(lower(text), 'rewh') as int) as n from documents) where s / 3.0 >= 0.2 and n >= 2")
 def cl15(spark, sf):
     weights = {"thatin": 1.5, "that": 0.5, "rewh": 1.0}
