@@ -39,14 +39,6 @@ def tx3(spark, sf):
     return C.windows(_docs(spark, sf), "doc_id", "text", 1200, 150)
 
 
-@register("tx4_sections", """with l as (select doc_id, i, x[i] as line from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(text, chr(10)) as x from documents))),
-h as (select *, sum(cast(length(line) < 60 as int)) over (partition by doc_id order by i rows unbounded preceding) as section from l) select doc_id, cast(section as bigint) as section, count(*) as lines, cast(sum(length(line)) as bigint) as chars from h group by 1, 2""")
-def tx4(spark, sf):
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    section = F.sum((F.length("line") < 60).cast("int")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("section", section).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
-
-
 @register("tx5_header_adjacency", """with l as (select doc_id, i, x[i] as line from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(text, chr(10)) as x from documents))),
 h as (select doc_id, i, line, i - lag(i) over (partition by doc_id order by i) as gap from l where length(line) between 1 and 80) select doc_id, i - 1 as line_no, case when gap is null or gap > 3 then 0.85 when gap > 1 then 0.6 else 0.5 end::double as confidence from h""")
 def tx5(spark, sf):
@@ -56,32 +48,6 @@ def tx5(spark, sf):
     return lines.select("doc_id", F.col("i").cast("bigint").alias("line_no"), c.alias("confidence"))
 
 
-METHODS = ["thatin", "ononst", "inoran", "orantion", "rewh", "orre"]
-
-
-@register("tx6_methods_vocabulary", "select doc_id, m as method, r from (select doc_id, m, row_number() over (partition by doc_id order by length(m) desc, m) as r from (select doc_id, text, unnest(['thatin', 'ononst', 'inoran', 'orantion', 'rewh', 'orre']) as m from documents) where contains(lower(text), m)) where r <= 3")
-def tx6(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.lower("text").alias("t"))
-    found = d.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.col("t").contains(m), F.lit(m)) for m in METHODS]))).alias("method"))
-    r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("method")), "method")).cast("bigint")
-    return found.withColumn("r", r).where("r <= 3")
-
-
-@register("tx7_key_results", f"with {SENTS} select doc_id, place, sentence, case when contains(lower(sentence), 'thatin') then 'high' else 'medium' end as confidence from (select *, row_number() over (partition by doc_id order by place) as r from s where length(sentence) between 30 and 600 and regexp_matches(lower(sentence), 'that|with')) where r <= 8")
-def tx7(spark, sf):
-    s = _sentences(spark, sf).where(F.length("sentence").between(30, 600) & F.rlike(F.lower("sentence"), F.lit("that|with")))
-    r = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
-    conf = F.when(F.lower("sentence").contains("thatin"), "high").otherwise("medium")
-    return s.withColumn("r", r).where("r <= 8").select("doc_id", F.col("place").cast("bigint").alias("place"), "sentence", conf.alias("confidence"))
-
-
-@register("tx9_core_findings", f"with {SENTS} select doc_id, place from (select *, row_number() over (partition by doc_id order by place desc) as r from s where length(sentence) >= 30 and place >= 0.7 * total) where r <= 3")
-def tx9(spark, sf):
-    s = _sentences(spark, sf).where((F.length("sentence") >= 30) & (F.col("place") >= 0.7 * F.col("total")))
-    r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("place")))
-    return s.withColumn("r", r).where("r <= 3").select("doc_id", F.col("place").cast("bigint").alias("place"))
-
-
 @register("tx10_evidence_assembly", "select conv_id, count(*) as items, string_agg(role || ':' || length(text), '|' order by turn) as evidence from conversations group by conv_id")
 def tx10(spark, sf):
     c = read(spark, sf, "conversations").groupBy("conv_id")
@@ -216,32 +182,6 @@ def cl4(spark, sf):
     return old.join(new, "doc_id").where("old <> new").select("doc_id")
 
 
-@register("cl7_intent_cascade", "select conv_id, turn, case when regexp_matches(lower(text), 'thatin') then 'method' when regexp_matches(lower(text), 'with|from') then 'compare' when length(text) < 60 then 'short' else 'summary' end as intent from conversations where role = 'user'")
-def cl7(spark, sf):
-    low = F.lower("text")
-    c = F.when(low.rlike("thatin"), "method").when(low.rlike("with|from"), "compare").when(F.length("text") < 60, "short").otherwise("summary")
-    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", c.alias("intent"))
-
-
-@register("cl9_table_type", "select p_partkey, case when h >= 1 then least(0.70 + 0.10 * h, 0.95) when m >= 2 then least(0.50 + 0.08 * m, 0.70) when m = 1 then 0.35 else 0.0 end::double as confidence from (select p_partkey, cast(contains(p_name, 'red') as int) + cast(p_type = 'ECONOMY' as int) as h, cast(contains(p_name, 'ring') as int) + cast(p_size > 20 as int) as m from part)")
-def cl9(spark, sf):
-    h = F.col("p_name").contains("red").cast("int") + (F.col("p_type") == "ECONOMY").cast("int")
-    m = F.col("p_name").contains("ring").cast("int") + (F.col("p_size") > 20).cast("int")
-    c = F.when(h >= 1, F.least(0.70 + 0.10 * h, F.lit(0.95))).when(m >= 2, F.least(0.50 + 0.08 * m, F.lit(0.70))).when(m == 1, 0.35).otherwise(0.0)
-    return read(spark, sf, "part").select("p_partkey", c.alias("confidence"))
-
-
-@register("cl10_stat_fields", "select l_returnflag, count(case when l_tax < 0.05 then 1 end) as below_05, count(case when l_tax < 0.01 then 1 end) as below_01, count(case when l_tax < 0.001 then 1 end) as below_001 from lineitem where l_tax between 0 and 1 group by l_returnflag")
-def cl10(spark, sf):
-    t = F.col("l_tax")
-    return read(spark, sf, "lineitem").where(t.between(0, 1)).groupBy("l_returnflag").agg(F.count_if(t < 0.05).alias("below_05"), F.count_if(t < 0.01).alias("below_01"), F.count_if(t < 0.001).alias("below_001"))
-
-
-@register("cl11_figure_type", "select page_id, case when regexp_matches(html, '<table') then 'table' when regexp_matches(html, '<img') then 'image' when regexp_matches(html, '<li>') then 'list' else 'unknown' end as kind from pages")
-def cl11(spark, sf):
-    return read(spark, sf, "pages").select("page_id", first_match(F.col("html"), [("<table", "table"), ("<img", "image"), ("<li>", "list")], "unknown").alias("kind"))
-
-
 @register("cl15_subtopic_specificity", "select doc_id, round(s / 3.0, 6)::double as score from (select doc_id, cast(contains(lower(text), 'thatin') as int) * 1.5 + cast(contains(lower(text), 'that') as int) * 0.5 + cast(contains(lower(text), 'rewh') as int) * 1.0 as s, cast(contains(lower(text), 'thatin') as int) + cast(contains(lower(text), 'that') as int) + cast(contains(lower(text), 'rewh') as int) as n from documents) where s / 3.0 >= 0.2 and n >= 2")
 def cl15(spark, sf):
     weights = {"thatin": 1.5, "that": 0.5, "rewh": 1.0}

@@ -91,12 +91,6 @@ def flt11(spark, sf):
     return read(spark, sf, "documents").where(low.rlike("license|copyright|all rights reserved") & ~low.rlike("thatin|ononst")).select("doc_id")
 
 
-@register("flt12_out_of_scope", "select conv_id, turn from conversations where regexp_matches(lower(text), 'with|from') and not regexp_matches(lower(text), 'that|this')")
-def flt12(spark, sf):
-    low = F.lower("text")
-    return read(spark, sf, "conversations").where(low.rlike("with|from") & ~low.rlike("that|this")).select("conv_id", "turn")
-
-
 @register("flt13_entity_validity", "select p_partkey, p_brand from part where length(p_brand) between 2 and 100 and lower(p_brand) not in ('na', 'n/a', 'none', 'unknown') and not regexp_matches(p_brand, '^[0-9.]+$') and p_size > 5")
 def flt13(spark, sf):
     b = F.col("p_brand")
@@ -127,13 +121,6 @@ def flt15(spark, sf):
     return read(spark, sf, "lineitem").where("l_returnflag in ('A', 'R') and l_linestatus = 'F' and l_suppkey is not null and l_quantity > 40").select("l_orderkey", "l_linenumber")
 
 
-@register("flt16_method_noise", """select doc_id, case when regexp_matches(lower(text), 'as described|were performed') then 1 else 0 end + case when not regexp_matches(lower(text), 'thatin|orre|rewh') then 1 else 0 end + case when length(text) < 300 then 1 else 0 end as flags from documents""")
-def flt16(spark, sf):
-    low = F.lower("text")
-    flags = [low.rlike("as described|were performed"), ~low.rlike("thatin|orre|rewh"), F.length("text") < 300]
-    return read(spark, sf, "documents").select("doc_id", reduce(add, [f.cast("int") for f in flags]).alias("flags"))
-
-
 @register("flt17_quality_table", "select d.doc_id, l.quality from documents d left join labels l on d.doc_id = l.doc_id where l.quality is null or l.quality = 0 order by coalesce(l.quality, -1), d.doc_id limit 40")
 def flt17(spark, sf):
     d = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
