@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions.rules import first_match, keyword_hits, rubric
 from papyrine.functions.text import clip
 from papyrine.operators import chunking as C
+from papyrine.operators.tagging import TagRule, score_tags, tag_hits
 from papyrine.plans.registry import register
 from papyrine.sources.tables import read
 
@@ -152,14 +153,21 @@ def tx24(spark, sf):
     return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("refs"))
 
 
-@register("cl1_dictionary_tags", """with t as (select * from (values ('alpha', 'thatin', 3.0), ('beta', 'ononst', 2.0), ('gamma', 'rewh', 1.0)) v(tag, term, weight)), h as (select doc_id, tag, weight * (3.0 * cast(contains(lower(substr(text, 1, 80)), term) as int) + 1.0 * cast(contains(lower(text), term) as int)) as score from documents cross join t)
-select doc_id, tag, cast(score as double) as score, case when score >= 4 then 'high' when score >= 2 then 'medium' else 'low' end as confidence from h where score > 0""")
+TAGS = (
+    TagRule("first", "alpha", ("thatin",), ("that[a-z]+ing",), ("license",), weight=1.0, min_score=3.0),
+    TagRule("first", "beta", ("ononst", "this inoran"), weight=2.0, min_score=2.0, required_sections=("title", "results", "raw_text")),
+    TagRule("second", "gamma", ("rewh",), ("orre[a-z]*",), weight=0.5, weak_sections=("introduction",)),
+)
+
+
+@register("cl1_dictionary_tags")
 def cl1(spark, sf):
-    tags = {"alpha": ("thatin", 3.0), "beta": ("ononst", 2.0), "gamma": ("rewh", 1.0)}
-    title, body = F.lower(F.substring("text", 1, 80)), F.lower("text")
-    scored = F.array(*[F.struct(F.lit(t).alias("tag"), (F.lit(w) * (3.0 * title.contains(k).cast("int") + body.contains(k).cast("int"))).alias("score")) for t, (k, w) in tags.items()])
-    h = _docs(spark, sf).select("doc_id", F.inline(scored)).where("score > 0")
-    return h.withColumn("confidence", F.when(F.col("score") >= 4, "high").when(F.col("score") >= 2, "medium").otherwise("low"))
+    """A document's first line is its title, the rest its text; headings are those of the page of the same number."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.split("text", "\n", 2).alias("x"))
+    parts = d.select("id", F.inline(F.array(F.struct(F.lit("title").alias("source"), F.get("x", 0).alias("text")), F.struct(F.lit("raw").alias("source"), F.get("x", 1).alias("text")))))
+    marked = F.regexp_replace(F.regexp_replace("html", "<h([1-6])[^>]*>", "\n## "), "</h[1-6]>", "\n")
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("source"), marked.alias("text"))
+    return score_tags(tag_hits(parts.unionByName(pages), "id", "source", "text", TAGS), "id", TAGS)
 
 
 @register("cl1b_span_exclusion")
