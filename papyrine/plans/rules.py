@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyrine.functions.rules import first_match, keyword_hits, rubric
+from papyrine.functions.rules import keyword_hits, rubric
 from papyrine.functions.text import clip
 from papyrine.operators import chunking as C
 from papyrine.operators.tagging import TagRule, score_tags, tag_hits
