@@ -89,6 +89,40 @@ _OP9 = f"""with {_SETS.format(key="doc_id", table="documents")}, e as (select id
 b as (select id, len(s) as n, unnest(s) as g from bs)
 select e.id as doc_id, b.id as item_id, count(*) as n_shared, any_value(b.n) as n_item from e join b on e.g = b.g group by 1, 2 having count(*) * 100 >= any_value(b.n) * 75"""
 
+_OP12 = f"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+w as (select *, regexp_extract_all(t, '{_WORDS}') as w from d),
+k as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+[len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails from w left join k using (doc_id)),
+x as (select part, list_reduce(list_prepend(0, [fails[i]::int * (1 << (i - 1)) for i in range(1, 6)]), lambda a, b: a + b) as mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+f as (select unnest(range(0, 5)) as i),
+o as (select chr((65 + a.i)::int) || chr((65 + b.i)::int) || chr((65 + c.i)::int) || chr((65 + d.i)::int) || chr((65 + e.i)::int) as filter_order, [a.i, b.i, c.i, d.i, e.i] as bits
+from f a, f b, f c, f d, f e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select filter_order, step, 1 << bits[step] as own, coalesce(list_sum([1 << b for b in bits[1:step - 1]]), 0)::bigint as before from o, (select unnest(range(1, 6)) as step)),
+r as (select part, filter_order, step, any_value(own) as own, sum(case when mask & (before | own) = 0 then n else 0 end) as kept, sum(case when mask & own <> 0 and mask & before = 0 then n else 0 end) as removed,
+sum(case when mask & own <> 0 and mask & before <> 0 then n else 0 end) as redundant, sum(case when mask = own then n else 0 end) as unique_fails,
+sum(case when mask & own <> 0 and mask & before = 0 then good else 0 end) as good_lost, sum(case when mask & own <> 0 and mask & before = 0 then toxic else 0 end) as toxic_lost from x, s group by part, filter_order, step)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+(sum(removed) over (partition by part, own))::bigint as shapley from r"""
+
+
+def _op13(rounds: int = 10) -> str:
+    """Every round written out: distances of all vectors to all centroids, then whole means rounded down."""
+    parts = [
+        """v as materialized (select row_number() over () as r, vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
+where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "e as materialized (select r, unnest(range(1, 65)) as p, unnest(v) as x from v)",
+        "c0 as materialized (select c, unnest(range(1, 65)) as p, unnest(v) as x from (select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as c, v from v) where c < 8)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select r, arg_min(c, (d, c)) as c, min(d) as d from (select r, c, sum((e.x - k.x) * (e.x - k.x))::bigint as d from e join c{i} k using (p) group by r, c) group by r)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (select c, p, coalesce(m, k.x) as x from c{i} k left join
+(select c, p, (s - ((s % n) + n) % n) // n as m from (select c, p, sum(x)::bigint as s, count(*) as n from e join a{i} using (r) group by c, p)) using (c, p))""")
+    return f"""with {", ".join(parts)}, h as (select c, sha256(string_agg(x::varchar, ',' order by p)) as h from c{rounds} group by c)
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, h as centroid_sha256 from a{rounds} join v using (r) join h using (c)"""
+
+
 SQL: dict[str, str] = {
     "op1_odd_sketch": _OP1,
     "op2_multi_index": _OP2,
@@ -97,4 +131,6 @@ SQL: dict[str, str] = {
     "op5_water_filling": _OP5,
     "op6_fuzzy_lines": _OP6,
     "op9_containment_search": _OP9,
+    "op12_filter_audit": _OP12,
+    "op13_hamerly": _op13(),
 }

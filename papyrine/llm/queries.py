@@ -84,9 +84,30 @@ def op10_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: those of the rules and those of the network."""
+    from papyrine.llm.secret_network import secret_digest
+
+    return secret_digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes, by language, order and step."""
+    from papyrine.llm.filter_audit import audit_documents
+
+    return audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroid of every vector."""
+    from papyrine.llm.hamerly import cluster
+
+    return cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    found = [op1_odd_sketch, op2_multi_index, op3_host_reputation, op4_warc_transactions, op5_water_filling, op6_fuzzy_lines, op7_feistel_shards, op8_token_rollup, op9_containment_search, op10_classifier_chain]
+    found = [op1_odd_sketch, op2_multi_index, op3_host_reputation, op4_warc_transactions, op5_water_filling, op6_fuzzy_lines, op7_feistel_shards, op8_token_rollup, op9_containment_search, op10_classifier_chain, op11_secret_network, op12_filter_audit, op13_hamerly]
     return {f.__name__: f for f in found}
 
 
