@@ -129,7 +129,7 @@ def seeds(vectors: DataFrame, *, k: int = CENTROIDS, seed: int = SEED) -> np.nda
     """The ``k`` vectors with the smallest sha256 of ``seed:id``; of equal ids the smaller vector first, null ids last."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     rows = vectors.select("v", order.alias("o")).orderBy(F.col("o").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def cluster(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS, k: int = CENTROIDS, rounds: int = ROUNDS, scale: int = SCALE, seed: int = SEED, watch: list[int] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 A change to the corpus is a batch of signed deltas: an insert adds a document's count, a delete takes it
 away, a revised count is both.  Totals by source, language and tokenizer version are additive, so a batch is
 summed before it is shuffled, and added to the last totals; unchanged documents are never read again.  A batch has
-an id and is committed once, by renaming a finished version of the totals: a second commit of the id changes
+an id and is committed once, by a marker that only one writer can create: a second commit of the id changes
 nothing, and one with other deltas is refused.
 """
 
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ BATCHES = "batch string, digest string"
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a text encoded at once.  A cut is made before a space that follows a letter, where the pattern always cuts.
 PIECE = 1 << 16
+#: Seconds that the data of a version stays after a later version is there.
+KEEP_S = 86_400.0
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -100,71 +104,130 @@ def revisions(old: DataFrame, old_tokens: str, old_tokenizer: str, new: DataFram
 
 
 class TokenRollup:
-    """Totals kept below ``path``, a folder that all machines share, on a file system that renames folders atomically.
-
-    Folder ``v<n>`` holds the n-th version: ``totals``, the sums of all batches so far, and ``batches``, the ids of
-    those batches with a digest of their sums.  A commit adds its sums to the last version in a folder of its own
-    and renames that to the next version, which fails where another writer was first; it then starts again.  What
-    a commit that died leaves behind is never read.  Versions before the last two are deleted.
+    """Totals kept below ``path``, a folder that all machines share.
+
+    A version is a marker file ``v<n>`` that names a data folder: ``totals``, the sums of all batches so far, and ``batches``, the ids
+    of those batches with a digest of their sums.  A commit reads the last marker once; on that version's batches and totals it
+    builds its own data folder, and then publishes the next marker by a step that exactly one writer can take (a hard link on a local or
+    mounted disk, else a rename that refuses to overwrite).  A writer that comes second starts again from the new last version.  What
+    a commit that died leaves behind is never read.  A version's data stays for ``keep_s`` seconds after a later one is there, so
+    that readers can end; then the next commit deletes it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, *, keep_s: float = KEEP_S):
+        self.spark, self.path, self.keep_s = spark, path.rstrip("/"), keep_s
 
     def _hadoop(self, path: str):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _version(self) -> int:
-        """Number of the last version, 0 before the first."""
+    def _markers(self) -> list[tuple[int, float]]:
+        """Version numbers, ascending, with the seconds at which they were published."""
         files, root = self._hadoop(self.path)
-        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
-        return max((int(n[1:]) for n in names if re.fullmatch(r"v[0-9]+", n)), default=0)
+        found = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in files.listStatus(root)] if files.exists(root) else []
+        return sorted((int(n[1:]), t) for n, t in found if re.fullmatch(r"v[0-9]+", n))
+
+    def _last(self) -> tuple[int, str | None]:
+        """Number and data folder of the last version; 0 and None before the first."""
+        version = max((n for n, _ in self._markers()), default=0)
+        return version, self._folder(version) if version else None
+
+    def _marker(self, version: int) -> str:
+        return f"{self.path}/v{version:012d}"
+
+    def _folder(self, version: int) -> str:
+        files, where = self._hadoop(self._marker(version))
+        stream = files.open(where)
+        try:
+            return f"{self.path}/{self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
 
-    def _table(self, version: int, name: str, schema: str) -> DataFrame:
-        if not version:
+    def _publish(self, draft: str, version: int) -> bool:
+        """Make the file ``draft`` the marker of ``version``; False if another writer did so first."""
+        files, source = self._hadoop(draft)
+        target = self._hadoop(self._marker(version))[1]
+        jvm = self.spark._jvm
+        try:
+            if files.getScheme() == "file":
+                local = [jvm.java.nio.file.Paths.get(files.makeQualified(p).toUri()) for p in (target, source)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, none)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
+
+    def _table(self, folder: str | None, name: str, schema: str) -> DataFrame:
+        if folder is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{version:012d}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    def _digest(self, folder: str | None, batch_id: str) -> str | None:
+        row = self._table(folder, "batches", BATCHES).where(F.col("batch") == batch_id).first()
+        return row["digest"] if row else None
 
     def committed(self, batch_id: str) -> str | None:
         """Digest of the batch's sums if it counts."""
-        row = self._table(self._version(), "batches", BATCHES).where(F.col("batch") == batch_id).first()
-        return row["digest"] if row else None
+        return self._digest(self._last()[1], batch_id)
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch of deltas once; False if it was there already.  A null key is a key of its own.
 
         An id that was committed with other sums raises ValueError.
         """
-        folder = f"{self.path}/next-{uuid.uuid4().hex}"
-        sums = _added(deltas)
-        sums.write.parquet(f"{folder}/batch")
+        own = f"data-{uuid.uuid4().hex}"
+        folder = f"{self.path}/{own}"
+        files, where = self._hadoop(folder)
+        _added(deltas).write.parquet(f"{folder}/batch")
         sums = self.spark.read.schema(TOTAL).parquet(f"{folder}/batch")
-        digest = sums.agg(F.sum(F.xxhash64(*sums.columns).cast("decimal(38,0)")), F.count(F.lit(1))).first()
-        digest = f"{digest[0] or 0}:{digest[1]}"
-        files, draft = self._hadoop(folder)
+        found = sums.agg(F.sum(F.xxhash64(*sums.columns).cast("decimal(38,0)")), F.count(F.lit(1))).first()
+        digest = f"{found[0] or 0}:{found[1]}"
+        done = False
         try:
-            while True:
-                known = self.committed(batch_id)
+            while not done:
+                version, last = self._last()  # batches, totals and the next number all follow from this one look
+                known = self._digest(last, batch_id)
                 if known is not None:
                     if known != digest:
                         raise ValueError(f"batch {batch_id!r} was committed with other deltas")
                     return False
-                version = self._version()
-                _added(self._table(version, "totals", TOTAL).unionByName(sums)).write.mode("overwrite").parquet(f"{folder}/totals")
+                _added(self._table(last, "totals", TOTAL).unionByName(sums)).write.mode("overwrite").parquet(f"{folder}/totals")
                 mine = self.spark.createDataFrame([(batch_id, digest)], BATCHES)
-                self._table(version, "batches", BATCHES).unionByName(mine).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches")
-                target = self._hadoop(f"{self.path}/v{version + 1:012d}")[1]
-                if not files.exists(target) and files.rename(draft, target):
-                    files.delete(self._hadoop(f"{self.path}/v{version - 1:012d}")[1], True)
-                    return True
+                self._table(last, "batches", BATCHES).unionByName(mine).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches")
+                draft = f"{folder}/marker-{version + 1}"
+                stream = files.create(self._hadoop(draft)[1], True)
+                stream.write(bytearray(own.encode()))
+                stream.close()
+                done = self._publish(draft, version + 1)
         finally:
-            files.delete(draft, True)
+            if not done:
+                files.delete(where, True)
+        self._sweep()
+        return True
+
+    def _sweep(self) -> None:
+        """Delete versions that were followed by another one ``keep_s`` seconds ago or more."""
+        markers = self._markers()
+        now = time.time()
+        for (version, _), (_, followed) in zip(markers, markers[1:]):
+            if now - followed >= self.keep_s:
+                try:
+                    files, data = self._hadoop(self._folder(version))
+                except Py4JJavaError as e:
+                    if e.java_exception.getClass().getSimpleName() == "FileNotFoundException":
+                        continue  # another writer deleted it
+                    raise
+                files.delete(data, True)
+                files.delete(self._hadoop(self._marker(version))[1], False)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens of the last version; keys whose documents have all gone are left out."""
-        return self._table(self._version(), "totals", TOTAL)
+        return self._table(self._last()[1], "totals", TOTAL)
 
 
 def _added(rows: DataFrame) -> DataFrame:

@@ -364,3 +364,78 @@ def test_shared_folder_needed_on_clusters(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scratch.shared_folder(Session())
+
+
+class Interrupted(TokenRollup):
+    """Lets another writer in just before it publishes for the first time."""
+
+    other = None
+
+    def _publish(self, draft, version):
+        meanwhile, self.other = self.other, None
+        if meanwhile:
+            meanwhile()
+        return super()._publish(draft, version)
+
+
+def test_two_writers(spark):
+    counts = spark.createDataFrame([(1, "s", "en", 10)], "doc_id bigint, source string, lang string, n bigint")
+    path = Scratch(spark, "roll").path("totals")
+    a, b = Interrupted(spark, path), TokenRollup(spark, path)
+    a.other = lambda: b.commit("b", inserts(counts, "n", "v1"))
+    assert a.commit("a", inserts(counts.withColumn("n", F.lit(7)), "n", "v1"))  # b came first, nothing is lost
+    assert [tuple(r) for r in b.totals().collect()] == [("s", "en", "v1", 2, 17)] and a.committed("a") and a.committed("b")
+    a.other = lambda: b.commit("c", inserts(counts, "n", "v1"))
+    assert not a.commit("c", inserts(counts, "n", "v1"))  # the same batch by two writers counts once
+    assert [tuple(r) for r in a.totals().collect()] == [("s", "en", "v1", 3, 27)]
+    a.other = lambda: b.commit("d", inserts(counts.withColumn("n", F.lit(1)), "n", "v1"))
+    with pytest.raises(ValueError):
+        a.commit("d", inserts(counts, "n", "v1"))
+    files, root = a._hadoop(path)
+    names = sorted(s.getPath().getName() for s in files.listStatus(root))
+    assert [n for n in names if n[0] == "v"] == [f"v{k:012d}" for k in range(1, 5)] and len(names) == 8  # no draft is left
+
+
+def test_old_versions_stay_for_their_time(spark):
+    counts = spark.createDataFrame([(1, "s", "en", 10)], "doc_id bigint, source string, lang string, n bigint")
+    path = Scratch(spark, "roll").path("totals")
+    roll = TokenRollup(spark, path)
+    roll.commit("a", inserts(counts, "n", "v1"))
+    held = roll.totals()
+    for k in range(3):
+        roll.commit(f"b{k}", inserts(counts, "n", "v1"))
+    assert [tuple(r) for r in held.collect()] == [("s", "en", "v1", 1, 10)]  # a reader of an old version can end
+    assert TokenRollup(spark, path, keep_s=0).commit("z", inserts(counts, "n", "v1"))
+    assert [n for n, _ in roll._markers()] == [5]
+    assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "v1", 5, 50)]
+    assert roll.committed("a")
+
+
+def test_maintained_totals(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+    import os
+
+    from papyrine.llm import token_rollup as R
+
+    if not os.path.exists(f"{R.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"):
+        pytest.skip("no vocabulary")
+    made = {}
+    for n in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        with open(f"{R.TOKENIZERS}/{n}.tiktoken", "rb") as f:
+            made[n] = tiktoken.Encoding(n, pat_str=R.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["the", "théâtre", "x1", "\n", "don't"], k=rng.randint(0, 40))) if i % 7 else None, rng.choice(["en", "de", None]), rng.choice(["s", None])) for i in range(60)]
+    rows += [(3, rows[3][1], "en", "s"), (None, "some words", "de", "s")]
+    labels = [(i, rng.randint(0, 1), rng.choice([0, 1, None])) for i in range(40)] + [(3, 0, 1), (3, 0, 1), (None, 0, 1)]
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    want = {}
+    for i, text, lang, source in rows:
+        if i not in toxic:
+            n = "byte_bpe_50k" if lang == "en" else "byte_bpe_multi_50k"
+            d, t = want.get((source, lang, n), (0, 0))
+            want[source, lang, n] = (d + 1, t + len(made[n].encode_ordinary(text or "")))
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id bigint, text string, lang string, source string, tokens int")
+    got = R.maintain(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want
+    assert R.maintain(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).isEmpty()
