@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papyrine.functions import rule_tables as R
+from papyrine.functions.text import SENTENCE_END, strip
 
 
 def _text(c: Column) -> Column:
@@ -178,8 +179,7 @@ def discussion_points(text: Column, rules: R.Rules = R.DISCUSSION, most: int = 1
     Of sentences with equal first 60 characters in lower case the first is taken.  A null text gives an empty array.
     Only the sentences taken are classified, and no more than ``most`` are held while a text is read.
     """
-    spaces = F.lit(" \t\n\r\f")
-    sentences = F.transform(F.split(_text(text), r"(?<=[.!?])[ \t\n\r\f]+"), lambda s, i: F.struct(i.alias("place"), F.btrim(s, spaces).alias("s")))
+    sentences = F.transform(F.split(_text(text), SENTENCE_END), lambda s, i: F.struct(i.alias("place"), strip(s).alias("s")))
     sized = F.filter(sentences, lambda x: F.length(x["s"]).between(30, 500))
     keyed = F.transform(sized, lambda x: F.struct(x["place"].alias("place"), x["s"].alias("s"), F.lower(F.substring(x["s"], 1, 60)).alias("key")))
     none = F.slice(keyed, 1, 0)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import evidence_rules as R
 from papyrine.functions.rule_tables import Rules
+from papyrine.functions.text import SENTENCE_END, SPACE, strip
 
-BLANKS = " \t\n\r\f"
 LETTER = r"[\p{L}\p{N}_]"
 _MARK, _END = "\x01", "\x02"
 
@@ -66,8 +66,12 @@ def from_word(pattern: str) -> str:
 
 def sentences(text: Column) -> Column:
     """Structs (place, s, low) of the sentences in order, trimmed, ``low`` in lower case."""
-    parts = F.transform(F.split(_text(text), r"(?<=[.!?])[ \t\n\r\f]+"), lambda s: F.btrim(s, F.lit(BLANKS)))
-    return F.transform(parts, lambda s, i: F.struct(i.alias("place"), s.alias("s"), F.lower(s).alias("low")))
+    return F.transform(_sentences(text), lambda x: F.struct(x["place"], x["s"], F.lower(x["s"]).alias("low")))
+
+
+def _sentences(text: Column) -> Column:
+    parts = F.transform(F.split(_text(text), SENTENCE_END), strip)
+    return F.transform(parts, lambda s, i: F.struct(i.alias("place"), s.alias("s")))
 
 
 def heading_label(line: Column, rules: Rules = R.SECTIONS) -> Column:
@@ -76,7 +80,7 @@ def heading_label(line: Column, rules: Rules = R.SECTIONS) -> Column:
     Lines below 80 characters may be headings, those below 100 if they are words in letters after a number.  Results
     that name a discussion, and the other way round, are the combined section.
     """
-    titled = (F.length(line) < 100) & line.rlike(r"^(?:[0-9]+\.?\s*)?[A-Z][A-Za-z\s&]+$")
+    titled = (F.length(line) < 100) & line.rlike(rf"^(?:[0-9]+\.?{SPACE}*)?[A-Z](?:[A-Za-z&]|{SPACE})+$")
     found: Column = F.lit(None).cast("string")
     for name, patterns in reversed(rules):
         label: Column = F.lit(name)
@@ -102,7 +106,7 @@ def sections(text: Column, rules: Rules = R.SECTIONS, most: int | None = None) -
         return c if most is None else F.substring(c, 1, most)
 
     def build(raw: Column) -> Column:
-        lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(raw, "\n"), strip), lambda x: x != "")
         marked = F.transform(lines, lambda x: F.coalesce(F.concat(F.lit(_MARK), heading_label(x, rules), F.lit(_END)), x))
         joined = F.concat(F.lit("body" + _END), F.array_join(marked, " "))
         pieces = F.transform(F.split(joined, _MARK), lambda p: F.struct(F.substring_index(p, _END, 1).alias("k"), F.btrim(F.substring_index(p, _END, -1)).alias("t")))
@@ -116,7 +120,7 @@ def sections(text: Column, rules: Rules = R.SECTIONS, most: int | None = None) -
         return _let(parts, rate)
 
     def rate(p: Column) -> Column:
-        full = F.when(F.btrim(p["raw"], F.lit(BLANKS)) == "", "").when(F.length(p["body"]) < 500, p["raw"]).otherwise(p["body"])
+        full = F.when(~p["raw"].rlike(f"(?s)(?!{SPACE})."), "").when(F.length(p["body"]) < 500, p["raw"]).otherwise(p["body"])
         both = F.length(p[R.COMBINED]) > 80
         out = []
         for n in names:
@@ -149,17 +153,21 @@ def key_results(text: Column, section: str, most: int = 8, directed: bool = Fals
     """
     terms = [t for _, ts in rules for t in ts]
 
-    def rated(x: Column) -> Column:
-        return F.struct(x["place"].alias("place"), x["s"].alias("s"), x["low"].alias("low"), x["low"].rlike(whole_word(words)).alias("told"), _has(x["low"], terms).alias("turned"))
+    def kept(xs: Column) -> Column:
+        low = F.transform(xs, lambda x: F.struct(x["place"], x["s"], F.lower(x["s"]).alias("low")))
+        turned = F.transform(low, lambda x: F.struct(x["place"], x["s"], x["low"], x["low"].rlike(whole_word(words)).alias("told"), _has(x["low"], terms).alias("turned")))
+        return F.filter(turned, lambda x: x["turned"] if directed else x["told"] | x["turned"])
 
-    sized = F.filter(sentences(text), lambda x: F.length(x["s"]).between(30, 600))
-    kept = F.filter(F.transform(sized, rated), lambda x: x["turned"] if directed else x["told"] | x["turned"])
+    def first(sized: Column) -> Column:
+        """Mostly the first few sentences give enough, so that the others are not rated."""
+        return _let(kept(F.slice(sized, 1, 4 * most)), lambda some: F.when((F.size(some) >= most) | (F.size(sized) <= 4 * most), some).otherwise(kept(sized)))
 
     def result(x: Column) -> Column:
         sure = F.when(x["told"] & x["turned"], "high").when(x["told"], "medium").otherwise("low")
         return F.struct(x["place"].alias("place"), F.substring(x["s"], 1, 300).alias("result"), F.substring(x["s"], 1, 240).alias("quote"), direction(x["low"], rules).alias("direction"), F.lit(section).alias("section"), sure.alias("confidence"))
 
-    return F.transform(F.slice(kept, 1, most), result)
+    taken = _let(F.filter(_sentences(text), lambda x: F.length(x["s"]).between(30, 600)), first)
+    return F.transform(F.slice(taken, 1, most), result)
 
 
 def chained_results(texts: Mapping[str, Column], rules: Rules = R.DIRECTIONS, words: Sequence[str] = R.RESULT_WORDS) -> Column:
@@ -184,7 +192,10 @@ def chained_results(texts: Mapping[str, Column], rules: Rules = R.DIRECTIONS, wo
         some(full != "", key_results(full, "Full_text", 5, False, rules, words)),
     ]
     none = F.slice(key_results(F.lit(""), "", 8, False, rules, words), 1, 0)
-    return F.coalesce(*steps, none)
+    # texts without a piece of any word have no result; sections that stand in for each other are one text
+    pieces = sorted({max(w.split(), key=len) for w in [*words, *[t for _, ts in rules for t in ts]]})
+    any_word = F.exists(F.array_distinct(F.array(*[_text(t) for t in texts.values()])), lambda t: _let(F.lower(t), lambda low: _has(low, pieces)))
+    return F.when(any_word, F.coalesce(*steps, none)).otherwise(none)
 
 
 def _unlike(items: Column, key: str, most: int) -> Column:
@@ -240,12 +251,12 @@ def methods(text: Column, terms: Sequence[str] = R.METHOD_TERMS, phrases: Sequen
     def term(raw: Column, low: Column, name: str) -> Column:
         at = F.instr(low, name)
         start = F.greatest(at - 60, F.lit(1))
-        quote = F.btrim(F.substr(raw, start, at + F.lit(len(name) + 60) - start), F.lit(BLANKS))
+        quote = strip(F.substr(raw, start, at + F.lit(len(name) + 60) - start))
         return F.when(low.contains(name), _method(F.lit(name), F.substring(quote, 1, 200), method_type(name), "medium"))
 
     def phrase(raw: Column) -> Column:
         each = F.concat(*[F.regexp_extract_all(raw, F.lit("(?i)" + from_word(p)), 0) for p in phrases])
-        cut = F.filter(F.transform(each, lambda m: F.btrim(m, F.lit(BLANKS))), lambda m: F.length(m) > 15)
+        cut = F.filter(F.transform(each, strip), lambda m: F.length(m) > 15)
         headed = F.transform(cut, lambda m: F.struct(m.alias("m"), F.lower(F.substring(m, 1, 40)).alias("h")))
         first = _let(headed, lambda z: _let(F.transform(z, lambda y: y["h"]), lambda hs: F.filter(z, lambda x, i: F.array_position(hs, x["h"]) == i + 1)))
         return F.transform(first, lambda x: _method(F.substring(x["m"], 1, 200), F.substring(x["m"], 1, 200), "experiment", "low"))
@@ -266,7 +277,7 @@ def method_noise(text: Column, generic: Sequence[str] = R.GENERIC_METHODS, speci
     """(noise, flags) of a method text: it is noise if no specific word names a method."""
     low = F.lower(_text(text))
     bare = ~_has(low, specific)
-    flags = [(_has(low, generic), "generic_method_phrase"), (bare, "missing_specific_method_name"), (F.length(F.btrim(low, F.lit(BLANKS))) < 50, "low_information_method")]
+    flags = [(_has(low, generic), "generic_method_phrase"), (bare, "missing_specific_method_name"), (F.length(strip(low)) < 50, "low_information_method")]
     return bare, F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in flags]))
 
 

@@ -9,6 +9,20 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A blank of any script, as a class that Java and RE2 read alike, and all of these characters.
+SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Where a sentence ends, in Java's dialect: a blank behind a mark, and all that follow.
+SENTENCE_END = rf"{SPACE}(?<=[.!?]{SPACE}){SPACE}*"
+#: Where a line ends.
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029]"
+
+
+def strip(text: Column) -> Column:
+    """Without blanks of any script at both ends; only a text that has some is trimmed, which takes long."""
+    at_ends = F.substring(text, 1, 1).isin(*SPACES) | F.substring(text, -1, 1).isin(*SPACES)
+    return F.when(at_ends, F.btrim(text, F.lit(SPACES))).otherwise(text)
+
 
 def occurrences(text: Column, term: str) -> Column:
     """How often a literal occurs, overlaps not counted."""

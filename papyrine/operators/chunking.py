@@ -100,12 +100,6 @@ def hits_without_exclusion(docs: DataFrame, key: str, text: str, term: str, excl
     return docs.select(key, text).mapInPandas(run, f"{key} bigint, hits bigint")
 
 
-def delimited_cells(rows: DataFrame, key: str, line: str, sep: str = "\t") -> DataFrame:
-    """(key, n_fields, cell, value) of delimited lines."""
-    parts = rows.select(key, F.split(line, sep).alias("__p"))
-    return parts.select(key, F.size("__p").alias("n_fields"), F.posexplode("__p").alias("cell", "value"))
-
-
 def table_bodies(lines: DataFrame, key: str, place: str, line: str, least: int = 2) -> DataFrame:
     """(key, first_line, last_line, rows): runs of neighbouring lines with ``least`` or more fields of equal number.
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import classify as C
 from papyrine.functions import rule_tables as R
+from papyrine.functions.text import SPACE, SPACES
 from papyrine.plans.registry import register
 from papyrine.sources.tables import read
 
+BLANKS = " || ".join(f"chr({ord(c)})" for c in SPACES)
 WORDS = ("thatin", "ononst", "inoran", "orantion", "rewh", "orre", "thention", "erwh", "anea", "enre", "tionst")
 PART_WORDS = ("widget", "bolt", "economy", "promo", "small", "large", "cold", "red", "ring", "standard", "blue")
 
@@ -182,8 +184,8 @@ def _points_sql() -> str:
     return f"list_sort([{counts}], 'DESC')[1]"
 
 
-@register("tx8_discussion_types", f"""with x as (select doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)) as x from documents),
-s as (select doc_id, i - 1 as place, trim(x[i], ' ' || chr(9) || chr(10) || chr(13) || chr(12)) as s from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from x)),
+@register("tx8_discussion_types", f"""with x as (select doc_id, string_split(regexp_replace(text, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)) as x from documents),
+s as (select doc_id, i - 1 as place, trim(x[i], {BLANKS}) as s from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from x)),
 d as (select *, row_number() over (partition by doc_id, lower(substr(s, 1, 60)) order by place) as copy from s where length(s) between 30 and 500),
 t as (select *, row_number() over (partition by doc_id order by place) as r from d where copy = 1),
 b as (select doc_id, place, s, {_points_sql()} as b from t where r <= 10)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from papyrine.functions import evidence as E
 from papyrine.functions import evidence_rules as R
 from papyrine.functions.rule_tables import Rules
+from papyrine.functions.text import SPACE, SPACES
 from papyrine.plans.registry import register
-from papyrine.sources.tables import read
+from papyrine.sources.tables import read, spread
 
 HEADINGS = ("license", "thanea", "attion", "eriner", "thanedble", "with")
 SECTIONS: Rules = tuple((name, (*patterns, HEADINGS[i])) for i, (name, patterns) in enumerate(R.SECTIONS))
@@ -43,18 +44,18 @@ def _cascade(text: str, rules: Rules) -> str:
     return " ".join(f"when {_has(text, terms)} then {_q(label)}" for label, terms in rules)
 
 
-BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
+BLANKS = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
 
 def _split(text: str) -> str:
-    return f"list_transform(string_split(regexp_replace({text}, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {BLANKS}))"
+    return f"list_transform(string_split(regexp_replace({text}, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {BLANKS}))"
 
 
 def _heading(line: str, rules: Rules) -> str:
     other = {"results": "discussion", "discussion": "result"}
     labels = [(f"case when contains(lower({line}), '{other[n]}') then '{R.COMBINED}' else '{n}' end" if n in other else f"'{n}'", ps) for n, ps in rules]
     found = " ".join(f"when {_matches(line, ps, '(?i)')} then {label}" for label, ps in labels)
-    return f"case when length({line}) < 80 or (length({line}) < 100 and regexp_matches({line}, '^(?:[0-9]+\\.?\\s*)?[A-Z][A-Za-z\\s&]+$')) then case {found} end end"
+    return f"case when length({line}) < 80 or (length({line}) < 100 and regexp_matches({line}, '^(?:[0-9]+\\.?{SPACE}*)?[A-Z](?:[A-Za-z&]|{SPACE})+$')) then case {found} end end"
 
 
 NAMES = [n for n, _ in R.SECTIONS]
@@ -71,7 +72,7 @@ ALL = [*NAMES, R.COMBINED]
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", E.sections(F.col("text"), SECTIONS).alias("sections"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", E.sections(F.col("text"), SECTIONS).alias("sections"))
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +160,7 @@ u as (select doc_id, place, 0 as j, name, kind, quote, confidence from t union a
 n as (select *, row_number() over (partition by doc_id, substr(regexp_replace(lower(name), '\\s+', ' ', 'g'), 1, 30) order by place, j) as copy from u),
 r as (select *, row_number() over (partition by doc_id order by place, j) as r from n where copy = 1) select doc_id, name, kind, quote, confidence from r where r <= 12""")
 def tx6(spark, sf):
-    return _rows(read(spark, sf, "documents"), E.methods(F.col("text"), TERMS, AROUND), "name")
+    return _rows(spread(read(spark, sf, "documents").select("doc_id", "text")), E.methods(F.col("text"), TERMS, AROUND), "name")
 
 
 GENERIC, SPECIFIC = (*R.GENERIC_METHODS, "with", "pour"), (*R.SPECIFIC_METHODS, "thatin", "rewh", "orre")

@@ -147,16 +147,6 @@ def jn15(spark, sf):
     return j.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("suppliers"))
 
 
-@register("jn16_best_match", """with c as (select c_custkey, s_suppkey, case when right(c_name, 2) = right(s_name, 2) then 0.9 when right(c_name, 1) = right(s_name, 1) then 0.6 else 0.3 end as score from customer join supplier on c_nationkey = s_nationkey)
-select c_custkey, s_suppkey, cast(score as double) as score, case when score >= 0.7 then 'matched' when score >= 0.5 then 'low' else 'unmatched' end as status from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as r from c) where r = 1""")
-def jn16(spark, sf):
-    c = read(spark, sf, "customer").join(read(spark, sf, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    score = F.when(F.right("c_name", F.lit(2)) == F.right("s_name", F.lit(2)), 0.9).when(F.right("c_name", F.lit(1)) == F.right("s_name", F.lit(1)), 0.6).otherwise(0.3)
-    best = L.best_match(c.select("c_custkey", "s_suppkey", score.alias("score")), ["c_custkey"], F.col("score"), [F.col("s_suppkey")])
-    status = F.when(F.col("score") >= 0.7, "matched").when(F.col("score") >= 0.5, "low").otherwise("unmatched")
-    return best.withColumn("status", status)
-
-
 @register("jn17_unmatched", "select 'customer' as kind, c_custkey as id from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null) union all select 'document', doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
 def jn17(spark, sf):
     c, o = read(spark, sf, "customer"), read(spark, sf, "orders")

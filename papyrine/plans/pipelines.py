@@ -59,11 +59,6 @@ def src6(spark, sf):
     return spark.read.schema("p_partkey bigint, p_name string, p_size int").option("header", True).option("sep", "\t").csv(path)
 
 
-@register("src8_table_structure", "select page_id, len(string_split(html, chr(10))) as lines, length(html) as chars from pages")
-def src8(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.size(F.split("html", "\n")).cast("bigint").alias("lines"), F.length("html").cast("bigint").alias("chars"))
-
-
 @register("src9_preview", "select source, doc_id, substr(text, 1, 80) as preview from (select *, row_number() over (partition by source order by doc_id) as r from documents) where r <= 3")
 def src9(spark, sf):
     from pyspark.sql import Window

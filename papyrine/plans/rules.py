@@ -10,7 +10,7 @@ from papyrine.functions.text import clip
 from papyrine.operators import chunking as C
 from papyrine.operators.tagging import TagRule, score_tags, tag_hits
 from papyrine.plans.registry import register
-from papyrine.sources.tables import read
+from papyrine.sources.tables import read, spread
 
 SPLIT = "string_split(regexp_replace(text, '([.!?])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1))"
 SENTS = f"s as (select doc_id, lang, i - 1 as place, trim(x[i], ' ') as sentence, len(x) as total from (select doc_id, lang, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, lang, {SPLIT} as x from documents)))"
@@ -89,13 +89,6 @@ def tx15(spark, sf):
     return read(spark, sf, "pages").select("page_id", c.alias("caption"), (F.length(c) > 20).alias("good"))
 
 
-@register("tx16_table_text")
-def tx16(spark, sf):
-    """Cells of delimited lines: rows whose fields agree in number make a table."""
-    l = read(spark, sf, "lineitem").where("l_quantity > 49").select("l_orderkey", F.concat_ws("\t", *[F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_returnflag")]).alias("line"))
-    return C.delimited_cells(l, "l_orderkey", "line")
-
-
 @register("tx17_entity_patterns", "select distinct doc_id, kind, m as name from (select doc_id, 'caps' as kind, unnest(regexp_extract_all(text, '[A-Z]{4,}')) as m from documents union all select doc_id, 'number', unnest(regexp_extract_all(text, '[0-9]{3,}')) from documents)")
 def tx17(spark, sf):
     patterns = {"caps": "[A-Z]{4,}", "number": "[0-9]{3,}"}
@@ -167,7 +160,7 @@ def cl1(spark, sf):
     parts = d.select("id", F.inline(F.array(F.struct(F.lit("title").alias("source"), F.get("x", 0).alias("text")), F.struct(F.lit("raw").alias("source"), F.get("x", 1).alias("text")))))
     marked = F.regexp_replace(F.regexp_replace("html", "<h([1-6])[^>]*>", "\n## "), "</h[1-6]>", "\n")
     pages = read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("source"), marked.alias("text"))
-    return score_tags(tag_hits(parts.unionByName(pages), "id", "source", "text", TAGS), "id", TAGS)
+    return score_tags(tag_hits(spread(parts.unionByName(pages)), "id", "source", "text", TAGS), "id", TAGS)
 
 
 @register("cl1b_span_exclusion")

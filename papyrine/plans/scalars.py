@@ -105,12 +105,6 @@ def fn17(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.concat(kind, F.regexp_extract(s, "([0-9]+)", 1)).alias("label"))
 
 
-@register("fn18_label_variants", "select n_nationkey, v as variant from (select n_nationkey, unnest(['Figure ' || n_nationkey, 'Fig. ' || n_nationkey, 'fig ' || n_nationkey, 'Figure S' || n_nationkey]) as v from nation)")
-def fn18(spark, sf):
-    k = F.col("n_nationkey").cast("string")
-    return read(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*[F.concat(F.lit(p), k) for p in ("Figure ", "Fig. ", "fig ", "Figure S")])).alias("variant"))
-
-
 @register("fn19_context_window", "select doc_id, substr(text, greatest(p - 200, 1), 400) as context from (select doc_id, text, instr(text, 'that') as p from documents) where p > 0")
 def fn19(spark, sf):
     p = F.instr("text", "that")
@@ -133,11 +127,6 @@ def fn21(spark, sf):
     return c.select("conv_id", "turn", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"), F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-@register("fn22_edit_similarity", "select p_partkey, round(1 - levenshtein(p_name, p_type) / cast(greatest(length(p_name), length(p_type)) as double), 6) as ratio from part")
-def fn22(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.round(1 - F.levenshtein("p_name", "p_type") / F.greatest(F.length("p_name"), F.length("p_type")), 6).alias("ratio"))
-
-
 @register("fn23_direction_from_text", "select conv_id, turn, case when contains(lower(text), 'thatin') then 'down' when contains(lower(text), 'that') then 'up' when contains(lower(text), 'with') then 'mixed' else 'unknown' end as direction from conversations")
 def fn23(spark, sf):
     lexicon = {"that": "up", "thatin": "down", "with": "mixed"}

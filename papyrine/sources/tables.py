@@ -11,6 +11,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where a table has few splits and each row takes long; a large table stays as it is scanned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(2 * cores)
+
+
 #: Years given to documents, which have none: a null for every eleventh.
 FIRST_YEAR, YEARS = 1990, 35
 

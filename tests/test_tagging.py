@@ -76,3 +76,17 @@ def test_invalid_patterns_raise(spark):
 
     with pytest.raises(re.error):
         tag_hits(spark.createDataFrame([(1, "a", "b")], "id long, source string, text string"), "id", "source", "text", [TagRule("a", "b", include=("(",))])
+
+
+def test_quick_and_slow_searches_agree():
+    import random
+
+    from papyrine.operators.tagging import lowered
+
+    rng = random.Random(3)
+    rule = TagRule("a", "b", ("Vip3A", "Vip  three", "s", "kİ", "straße"), ("vip3[a-z]+", r"Moth\w", r"\bmo\S+", "[^m]oth", r"\Wm"), (r"not vip",))
+    m = Matcher(rule)
+    pieces = ["vip3A", "VIP3ab", "Vip", "three", "not", " ", "\n", "moth", "MOTHS", "s", "S", "ſ", "kİ", "straße", "STRASSE", "-", "K", "vip3avip3a"]
+    for _ in range(400):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 25)))
+        assert list(m.hits(text, 8, lowered(text))) == list(m.hits(text, 8))
