@@ -1,13 +1,13 @@
 """Evidence of a paper as expressions: sections, methods, results and findings; questions and table statistics.
 
-Everything runs in the JVM on one row, without a shuffle.  Rule tables are parameters, the fixed ones of
+Everything runs on one row, without a shuffle, and but for key results in the JVM.  Rule tables are parameters, the fixed ones of
 ``evidence_rules`` by default.  A null text counts as empty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papyrine.functions import evidence_rules as R
+from papyrine.functions.result_sentences import chained_results, key_results
 from papyrine.functions.rule_tables import Rules
 from papyrine.functions.text import SENTENCE_END, SPACE, strip
 
@@ -139,65 +140,6 @@ def section_texts(found: Column) -> Column:
     return F.map_from_entries(F.transform(found, lambda s: F.struct(s["section"], s["text"])))
 
 
-def direction(low: Column, rules: Rules = R.DIRECTIONS) -> Column:
-    """Direction that a sentence in lower case tells: that of the longest word found, else ``descriptive``."""
-    by_length = sorted(((word, label) for label, terms in rules for word in terms), key=lambda x: -len(x[0]))
-    return _cascade(low, [(label, (word,)) for word, label in by_length], F.lit("descriptive"))
-
-
-def key_results(text: Column, section: str, most: int = 8, directed: bool = False, rules: Rules = R.DIRECTIONS, words: Sequence[str] = R.RESULT_WORDS) -> Column:
-    """The first ``most`` sentences of 30 to 600 characters that report a result.
-
-    Structs (place, result, quote, direction, section, confidence): high with a word of report and a direction, medium
-    with the word alone, low with the direction alone.  ``directed`` takes only sentences with a direction.
-    """
-    terms = [t for _, ts in rules for t in ts]
-
-    def kept(xs: Column) -> Column:
-        low = F.transform(xs, lambda x: F.struct(x["place"], x["s"], F.lower(x["s"]).alias("low")))
-        turned = F.transform(low, lambda x: F.struct(x["place"], x["s"], x["low"], x["low"].rlike(whole_word(words)).alias("told"), _has(x["low"], terms).alias("turned")))
-        return F.filter(turned, lambda x: x["turned"] if directed else x["told"] | x["turned"])
-
-    def first(sized: Column) -> Column:
-        """Mostly the first few sentences give enough, so that the others are not rated."""
-        return _let(kept(F.slice(sized, 1, 4 * most)), lambda some: F.when((F.size(some) >= most) | (F.size(sized) <= 4 * most), some).otherwise(kept(sized)))
-
-    def result(x: Column) -> Column:
-        sure = F.when(x["told"] & x["turned"], "high").when(x["told"], "medium").otherwise("low")
-        return F.struct(x["place"].alias("place"), F.substring(x["s"], 1, 300).alias("result"), F.substring(x["s"], 1, 240).alias("quote"), direction(x["low"], rules).alias("direction"), F.lit(section).alias("section"), sure.alias("confidence"))
-
-    taken = _let(F.filter(_sentences(text), lambda x: F.length(x["s"]).between(30, 600)), first)
-    return F.transform(F.slice(taken, 1, most), result)
-
-
-def chained_results(texts: Mapping[str, Column], rules: Rules = R.DIRECTIONS, words: Sequence[str] = R.RESULT_WORDS) -> Column:
-    """Key results of the first place that has some: results, discussion, abstract and conclusion, all sections.
-
-    ``texts`` holds the text of each section.  A null or too short section is passed over; without any result the
-    array is empty.  Results of section ``Full_text`` are those of the last resort.
-    """
-
-    def some(ready: Column, found: Column) -> Column:
-        return F.get(F.filter(F.array(F.when(ready, found)), lambda r: F.size(r) > 0), 0)
-
-    def long(names: Sequence[str], least: int) -> Column:
-        taken = F.filter(F.array(*[_text(texts[n]) for n in names if n in texts]), lambda t: F.length(t) > least)
-        return F.array_join(taken, " ")
-
-    both, full = long(["abstract", "conclusion"], 50), long(list(texts), 100)
-    steps = [
-        some(F.length(_text(texts["results"])) > 200, key_results(texts["results"], "Results", 8, False, rules, words)),
-        some(F.length(_text(texts["discussion"])) > 200, key_results(texts["discussion"], "Discussion", 5, True, rules, words)),
-        some(F.length(both) > 50, key_results(both, "Abstract_Conclusion", 4, False, rules, words)),
-        some(full != "", key_results(full, "Full_text", 5, False, rules, words)),
-    ]
-    none = F.slice(key_results(F.lit(""), "", 8, False, rules, words), 1, 0)
-    # texts without a piece of any word have no result; sections that stand in for each other are one text
-    pieces = sorted({max(w.split(), key=len) for w in [*words, *[t for _, ts in rules for t in ts]]})
-    any_word = F.exists(F.array_distinct(F.array(*[_text(t) for t in texts.values()])), lambda t: _let(F.lower(t), lambda low: _has(low, pieces)))
-    return F.when(any_word, F.coalesce(*steps, none)).otherwise(none)
-
-
 def _unlike(items: Column, key: str, most: int) -> Column:
     """The first ``most`` structs with different ``key``."""
 

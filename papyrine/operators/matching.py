@@ -148,6 +148,7 @@ def match_labels(mentions: DataFrame, assets: DataFrame, notes: DataFrame, *, ty
         found = found.join(close, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in key], "left").select(*key, F.greatest("best", "close").alias("best"))
     got = found.where(F.col("best.score") >= LOW).select(*[F.col(c).alias(f"f_{c}") for c in key], "best")
     met = mentions.join(got, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in key], "left")
-    method = F.element_at(F.array(*[F.lit(m) for m in ("notes", "filename", "caption", "fuzzy")]), -F.col("best.step"))
+    steps = F.array(*[F.lit(m) for m in ("notes", "filename", "caption", "fuzzy")])
+    method = F.when(F.col("best").isNotNull(), F.get(steps, -F.col("best.step") - 1))
     status = F.when(F.col("best.score") >= MATCHED, "matched").when(F.col("best").isNotNull(), "low_confidence").otherwise("unmatched")
     return met.select(*[mentions[c] for c in mentions.columns], F.col("best.asset").alias("asset"), F.coalesce(method, F.lit("none")).alias("method"), F.coalesce(F.round("best.score", 2), F.lit(0.0)).alias("confidence"), status.alias("status"))

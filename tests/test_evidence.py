@@ -75,8 +75,8 @@ def test_chained_results(spark):
 def test_core_findings(spark):
     text = "First we say a thing that is of no use. And then we say another of them. Taken together, the toxin kills larvae. A last sentence that ends it all here."
     df = spark.createDataFrame([(0, text, text, "We found a higher mortality in all of the groups."), (1, "", None, "We found a higher mortality in all of the groups."), (2, None, None, None)], "i int, c string, a string, r string")
-    results = E.key_results(F.col("r"), "Results")
-    got = [[(x.section, x.confidence, x.finding[:10]) for x in r.f] for r in df.select("i", E.core_findings(F.col("c"), F.col("a"), results).alias("f")).orderBy("i").collect()]
+    df = df.withColumn("k", E.key_results(F.col("r"), "Results"))
+    got = [[(x.section, x.confidence, x.finding[:10]) for x in r.f] for r in df.select("i", E.core_findings(F.col("c"), F.col("a"), F.col("k")).alias("f")).orderBy("i").collect()]
     assert got == [[("Conclusion", "medium", "Taken toge"), ("Conclusion", "low", "A last sen")], [("Results", "medium", "We found a")], []]
 
 
