@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.operators.greedy import capped_matching, disjoint_sets
 from papyrine.sources.session import ship_package
 
 
@@ -79,45 +82,79 @@ def drop_near_titles(hits: DataFrame, key: str, title: str, score: str, most: fl
     return hits.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(greedy, hits.schema)
 
 
-def similar_pairs(vectors: DataFrame, cosine: float, blocks: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, cosine: float, rows: int = 1024) -> DataFrame:
     """Pairs (label, a, b, cosine) of one label with cosine at or over the threshold, a < b.
 
-    A label's rows are dealt into blocks and every pair of blocks is a join key, so a large label is
-    spread over many tasks; the threshold is part of the join's condition.
+    A label is dealt into blocks of about ``rows`` vectors, as many as its count needs, and each pair of blocks is one matrix product, so a
+    large label is spread over many tasks of bounded memory.  Null labels, zero vectors and those with a null component pair with nothing.
     """
-    v = vectors.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    left = v.select("label", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    right = v.select(F.col("label").alias("l2"), F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("blk").alias("j2"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i2"))
-    cos = dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
-    on = (F.col("label") == F.col("l2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("a") < F.col("b")) & (cos >= cosine)
-    return left.join(right, on).select("label", "a", "b", cos.alias("cosine"))
+    sound = vectors.where("label is not null and norm > 0").withColumn("dims", F.size("v"))
+    blocks = sound.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    dealt = sound.join(blocks, ["label", "dims"]).withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("label", "dims", "vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("v"), "blk", other)
+    met = met.select("label", "dims", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "v")
+
+    def products(table: pa.Table) -> pa.Table:
+        ids, blk = table.column("vec_id").to_numpy(), table.column("blk").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        left, right = np.flatnonzero(blk == table.column("i")[0].as_py()), np.flatnonzero(blk == table.column("j")[0].as_py())
+        cos = v[left] @ v[right].T
+        x, y = np.nonzero(cos >= cosine)
+        a, b, c = ids[left[x]], ids[right[y]], cos[x, y]
+        if table.column("i")[0] == table.column("j")[0]:
+            once = a < b
+            a, b, c = a[once], b[once], c[once]
+        label = pa.array([table.column("label")[0].as_py()] * len(a), table.schema.field("label").type)
+        return pa.table({"label": label, "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
+
+    ship_package(vectors.sparkSession)
+    label = vectors.schema["label"].dataType.simpleString()
+    return met.groupBy("label", "dims", "i", "j").applyInArrow(products, f"label {label}, a bigint, b bigint, cosine double")
 
 
-def communities(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(label, vec_id, community): per label, the largest neighbourhood first; ids taken are not taken again.
+def communities(vectors: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
+    """(label, vec_id, community): neighbourhoods by size, each without what larger ones took, of ``least`` vectors or more.
 
-    A label's links are one group because each choice depends on those before.
+    A vector's neighbourhood is itself and what it pairs with, named by it; vectors that no neighbourhood took are communities of their own.
     """
+    both = pairs.select(F.col("a").alias("set"), F.col("b").alias("member")).unionByName(pairs.select(F.col("b").alias("set"), F.col("a").alias("member")))
+    own = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().withColumn("member", F.col("set"))
+    won = disjoint_sets(both.unionByName(own), least).select(F.col("member").alias("vec_id"), F.col("set").alias("community"))
+    return vectors.select("label", "vec_id").join(won, "vec_id", "left").select("label", "vec_id", F.coalesce("community", "vec_id").alias("community"))
 
-    def greedy(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {int(n): {int(n)} for n in nodes["vec_id"]}
-        for a, b in zip(links["a"], links["b"], strict=True):
-            near[int(a)].add(int(b))
-            near[int(b)].add(int(a))
-        taken: set[int] = set()
-        rows = []
-        for n in sorted(near, key=lambda x: (-len(near[x]), x)):
-            group = near[n] - taken
-            if n in taken or not group:
-                continue
-            rows += [(key[0], m, n) for m in sorted(group)]
-            taken |= group
-        return pd.DataFrame(rows, columns=["label", "vec_id", "community"])
 
-    ship_package(vectors.sparkSession)
-    ids, links = vectors.select("label", "vec_id"), pairs.select("label", "a", "b")
-    ids, links = ids.toDF("label", "vec_id"), links.toDF("label", "a", "b")
-    return ids.groupBy("label").cogroup(links.groupBy("label")).applyInPandas(greedy, "label int, vec_id bigint, community bigint")
+def nested_communities(vectors: DataFrame, outer: DataFrame, cosine: float, least: int = 2) -> DataFrame:
+    """(label, vec_id, community) of ``communities`` inside each community of ``outer`` alone."""
+    inside = vectors.join(outer.select("vec_id", F.col("community").alias("__outer")), "vec_id").withColumn("label", F.col("__outer")).drop("__outer")
+    return communities(inside, similar_pairs(inside, cosine), least)
+
+
+def seeded_clusters(vectors: DataFrame, *, most: int = 8, near: int = 9, sample: int = 10, seed: int = 42) -> DataFrame:
+    """(cluster, vec_id, place, distance, cohesion): up to ``most`` clusters of a seed and its ``near`` nearest vectors not yet taken.
+
+    Seeds go by the md5 of ``seed:id``, which shuffles the vectors once and for all; place 0 is the seed, then by cosine distance
+    and id.  Cohesion is the mean cosine of all pairs among the first ``sample`` members, 0.5 for a lone one.  Each cluster is one scan that keeps ``near`` rows
+    a task; the driver holds the ids taken, ``most * (near + 1)`` of them.
+    """
+    spark = vectors.sparkSession
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")))
+    taken: list[int] = []
+    rows: list[tuple[int, int, int, float]] = []
+    for cluster in range(1, most + 1):
+        free = vectors.where(~F.col("vec_id").isin(taken)) if taken else vectors
+        first = free.select("vec_id", "v").orderBy(draw, "vec_id").first()
+        if first is None:
+            break
+        query = F.array(*[F.lit(float(x)) for x in first["v"]])
+        found = nearest(free.where(F.col("vec_id") != first["vec_id"]).select("vec_id", "v"), query, near).select("vec_id", "distance").collect()
+        rows += [(cluster, first["vec_id"], 0, 0.0), *[(cluster, r["vec_id"], i, r["distance"]) for i, r in enumerate(found, 1)]]
+        taken += [first["vec_id"], *[r["vec_id"] for r in found]]
+    members = spark.createDataFrame(rows, "cluster int, vec_id bigint, place int, distance double")
+    some = members.where(F.col("place") < sample).join(vectors.select("vec_id", "v"), "vec_id")
+    x, y = some.select("cluster", F.col("place").alias("p"), F.col("v").alias("x")), some.select("cluster", F.col("place").alias("q"), F.col("v").alias("y"))
+    told = x.join(y, "cluster").where("p < q").groupBy("cluster").agg(F.avg(1 - cosine_distance(F.col("x"), F.col("y"))).alias("cohesion"))
+    return members.join(told, "cluster", "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(0.5)))
 
 
 def cohesion(vectors: DataFrame) -> DataFrame:
@@ -129,18 +166,5 @@ def cohesion(vectors: DataFrame) -> DataFrame:
 
 
 def degree_capped(pairs: DataFrame, most: int) -> DataFrame:
-    """Greedy matching with at most ``most`` pairs for each id, best cosine first, per label."""
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[int, int] = {}
-        keep = []
-        rows = rows.sort_values(["cosine", "a", "b"], ascending=[False, True, True])
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            fits = used.get(a, 0) < most and used.get(b, 0) < most
-            keep.append(fits)
-            if fits:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return rows[keep]
-
-    ship_package(pairs.sparkSession)
-    return pairs.groupBy("label").applyInPandas(greedy, pairs.schema)
+    """Greedy matching with at most ``most`` pairs for each id, best cosine first."""
+    return capped_matching(pairs.withColumn("weight", F.col("cosine")), most).select(*pairs.columns)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrine.operators import vectors as V
+from papyrine.operators.topics import merged_topics, topic_similarity
 from papyrine.plans.registry import register
-from papyrine.sources.tables import read
+from papyrine.sources.tables import read, spread
 
 E = "select vec_id, label, embedding::double[] as v from embeddings"
 Q = f"e as ({E}), q as (select v as qv from e where vec_id = 0)"
@@ -90,10 +92,12 @@ def gr1b(spark, sf):
     return V.communities(e, V.similar_pairs(e, 0.25))
 
 
-@register("gr2_nested_clusters", f"with {PAIRS} select label, a % 2 as part, count(*) as links from p where a % 2 = b % 2 group by 1, 2")
+@register("gr2_nested_clusters")
 def gr2(spark, sf):
-    p = V.similar_pairs(V.as_vectors(read(spark, sf, "embeddings")), 0.3).where("a % 2 = b % 2")
-    return p.groupBy("label", (F.col("a") % 2).alias("part")).agg(F.count(F.lit(1)).alias("links"))
+    """Communities of closer vectors inside each community."""
+    e = V.as_vectors(read(spark, sf, "embeddings"))
+    outer = V.communities(e, V.similar_pairs(e, 0.25))
+    return V.nested_communities(e, outer, 0.4).withColumnRenamed("label", "outer")
 
 
 @register("gr3_cohesion", f"with e as ({E}), p as (select a.label, list_cosine_similarity(a.v, b.v) as c from e a join e b on a.label = b.label and a.vec_id < b.vec_id) select label, round(avg(c), 6) as cohesion from p group by label")
@@ -102,17 +106,64 @@ def gr3(spark, sf):
     return V.cohesion(V.as_vectors(read(spark, sf, "embeddings")))
 
 
-@register("gr4_topic_similarity", """with k as (select source, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{5,}')))) as w from documents group by source)
-select a.source as a, b.source as b, round(len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) as double), 6) as jaccard from k a join k b on a.source < b.source""")
+def _gr3_sql(most: int = 8, near: int = 9) -> str:
+    """Every cluster written out: the first free vector, and the nearest of the other free ones."""
+    parts = ["e as materialized (select vec_id, embedding::double[] as v, md5('42:' || vec_id) as draw from embeddings)", "u0 as (select vec_id from e where false)"]
+    for k in range(1, most + 1):
+        parts.append(f"f{k} as materialized (select * from e where vec_id not in (select vec_id from u{k - 1}))")
+        parts.append(f"s{k} as materialized (select * from f{k} order by draw, vec_id limit 1)")
+        parts.append(f"n{k} as materialized (select f.vec_id, f.v, 1 - list_cosine_similarity(f.v, s.v) as distance from f{k} f, s{k} s where f.vec_id <> s.vec_id order by distance, f.vec_id limit {near})")
+        parts.append(f"m{k} as materialized (select {k} as cluster, vec_id, v, 0 as place, 0e0 as distance from s{k} union all select {k}, vec_id, v, row_number() over (order by distance, vec_id), distance from n{k})")
+        parts.append(f"u{k} as materialized (select vec_id from u{k - 1} union all select vec_id from m{k})")
+    every = " union all ".join(f"select * from m{k}" for k in range(1, most + 1))
+    return f"""with {", ".join(parts)}, m as materialized ({every}),
+c as (select a.cluster, avg(list_cosine_similarity(a.v, b.v)) as cohesion from m a join m b on a.cluster = b.cluster and a.place < b.place and b.place < 10 group by 1)
+select cluster::int as cluster, vec_id, place::int as place, round(distance, 6) as distance, round(coalesce(cohesion, 0.5), 6) as cohesion from m left join c using (cluster)"""
+
+
+@register("gr3b_seeded_clusters", _gr3_sql())
+def gr3b(spark, sf):
+    """Seeded nearest-neighbour clusters of vectors not yet taken, with their cohesion."""
+    found = V.seeded_clusters(V.as_vectors(read(spark, sf, "embeddings")))
+    return found.select("cluster", "vec_id", "place", F.round("distance", 6).alias("distance"), F.round("cohesion", 6).alias("cohesion"))
+
+
+def _topics(spark, sf):
+    """A source is a topic, and so are its documents in each language; keywords, title words, papers and vectors of them."""
+    d = spread(read(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
+    rows = d.select("doc_id", "text", F.explode(F.array("source", F.concat_ws("/", "source", "lang"))).alias("topic"))
+    papers = rows.select("topic", F.col("doc_id").alias("item"))
+    words = d.select("source", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("item")).groupBy("source", "lang", "item").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.select(F.explode(F.array("source", F.concat_ws("/", "source", "lang"))).alias("topic"), "item", "n").groupBy("topic", "item").agg(F.sum("n").alias("n"))
+    keywords = counted.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "item"))).where("r <= 12").select("topic", "item")
+    ranked = papers.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("item"))).where("r <= 3").select("topic", F.col("item").alias("doc_id"), "r")
+    titles = ranked.join(d.select("doc_id", F.substring_index("text", "\n", 1).alias("title")), "doc_id").select("topic", F.explode(F.split("title", " ")).alias("item"))
+    e = V.as_vectors(read(spark, sf, "embeddings")).select(F.col("vec_id").alias("doc_id"), "v")
+    owned = papers.withColumnRenamed("item", "doc_id").join(e.select("doc_id"), "doc_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("doc_id"))).where("r <= 2")
+    return keywords, titles, papers, owned.join(e, "doc_id").select("topic", "v")
+
+
+@register("gr4_topic_similarity", """with d as (select doc_id, text, source, unnest([source, source || '/' || lang]) as topic from documents),
+w as (select topic, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) as item from d), n as (select topic, item, count(*) as n from w group by 1, 2),
+k as (select topic, item from (select *, row_number() over (partition by topic order by n desc, item) as r from n) where r <= 12),
+t as (select distinct topic, lower(item) as item from (select topic, unnest(string_split(string_split(text, chr(10))[1], ' ')) as item from (select *, row_number() over (partition by topic order by doc_id) as r from d) where r <= 3) where item <> ''),
+v as (select topic, v from (select topic, embedding::double[] as v, row_number() over (partition by topic order by doc_id) as r from d join embeddings on vec_id = doc_id) where r <= 2),
+ks as (select a.topic as a, b.topic as b, count(*) as k from k a join k b on a.item = b.item and a.topic < b.topic group by 1, 2), ts as (select a.topic as a, b.topic as b, count(*) as k from t a join t b on a.item = b.item and a.topic < b.topic group by 1, 2),
+ps as (select a.topic as a, b.topic as b, count(*) as k from d a join d b on a.doc_id = b.doc_id and a.topic < b.topic group by 1, 2),
+kn as (select topic, count(*) as n from k group by 1), tn as (select topic, count(*) as n from t group by 1), pn as (select topic, count(*) as n from d group by 1),
+x as (select ks.a, ks.b, ks.k / (ka.n + kb.n - ks.k)::double as keyword_sim, coalesce(ts.k / (ta.n + tb.n - ts.k)::double, 0) as title_sim, coalesce(ps.k / (pa.n + pb.n - ps.k)::double, 0) as paper_sim,
+coalesce((select avg(list_cosine_similarity(x.v, y.v)) from v x, v y where x.topic = ks.a and y.topic = ks.b), 0) as vector_sim from ks join kn ka on ka.topic = ks.a join kn kb on kb.topic = ks.b left join ts on ts.a = ks.a and ts.b = ks.b left join tn ta on ta.topic = ks.a left join tn tb on tb.topic = ks.b
+left join ps on ps.a = ks.a and ps.b = ks.b left join pn pa on pa.topic = ks.a left join pn pb on pb.topic = ks.b)
+select a, b, round(keyword_sim, 6) as keyword_sim, round(title_sim, 6) as title_sim, round(paper_sim, 6) as paper_sim, round(vector_sim, 6) as vector_sim, round(0.4 * keyword_sim + 0.25 * title_sim + 0.1 * paper_sim + 0.25 * vector_sim, 6) as similarity from x""")
 def gr4(spark, sf):
-    from papyrine.functions.text import words
-
-    w = read(spark, sf, "documents").select("source", F.explode(F.array_distinct(words(F.col("text"), 5))).alias("w")).distinct()
-    sizes = w.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    shared = w.toDF("a", "w").join(w.toDF("b", "w"), "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    pairs = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b"))
-    both = pairs.join(shared, ["a", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    return both.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
+    found = topic_similarity(*_topics(spark, sf))
+    return found.select("a", "b", *[F.round(c, 6).alias(c) for c in ("keyword_sim", "title_sim", "paper_sim", "vector_sim", "similarity")])
+
+
+@register("gr4b_merged_topics")
+def gr4b(spark, sf):
+    """Which topics become one: the most alike pairs first, each topic once."""
+    return merged_topics(topic_similarity(*_topics(spark, sf))).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 @register("rk27_degree_capped_pairs")
