@@ -1,9 +1,9 @@
-"""Text cut into chunks, spans and cells."""
+"""Text cut into chunks and table bodies."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,31 +57,6 @@ def paragraph_chunks(docs: DataFrame, key: str, text: str, size: int = 800, over
     return docs.select(key, text).mapInPandas(run, f"{key} bigint, chunk bigint, chunk_text string")
 
 
-def spans(text: str, patterns: Sequence[re.Pattern[str]]) -> list[tuple[int, int, str]]:
-    """Matches of all patterns, without those inside a longer or earlier one."""
-    found = sorted({(m.start(), m.end()) for p in patterns for m in p.finditer(text)}, key=lambda s: (s[0] - s[1], s[0]))
-    kept: list[tuple[int, int]] = []
-    taken = bytearray(len(text))
-    for a, b in found:
-        if not any(taken[a:b]):
-            taken[a:b] = b"\1" * (b - a)
-            kept.append((a, b))
-    return [(a, b, text[a:b]) for a, b in sorted(kept)]
-
-
-def mention_spans(docs: DataFrame, key: str, text: str, patterns: Sequence[str]) -> DataFrame:
-    """(key, start, end, mention)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [re.compile(p) for p in patterns]
-        for frame in frames:
-            rows = [(k, a, b, m) for k, t in zip(frame[key], frame[text], strict=True) for a, b, m in spans(t or "", compiled)]
-            yield pd.DataFrame(rows, columns=[key, "start", "end", "mention"])
-
-    ship_package(docs.sparkSession)
-    return docs.select(key, text).mapInPandas(run, f"{key} bigint, start bigint, end bigint, mention string")
-
-
 def hits_without_exclusion(docs: DataFrame, key: str, text: str, term: str, excluded: str, reach: int) -> DataFrame:
     """(key, hits): occurrences of ``term`` with no ``excluded`` within ``reach`` characters."""
 

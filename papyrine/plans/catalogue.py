@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("search", "joins", "aggregates", "scalars", "vectors", "rules", "tables_in_text", "matching", "classifiers", "evidence", "graph", "pipelines")
+MODULES: tuple[str, ...] = ("search", "joins", "aggregates", "scalars", "vectors", "rules", "tables_in_text", "matching", "spans", "classifiers", "evidence", "graph", "pipelines")
 
 
 def load() -> None:

@@ -71,24 +71,6 @@ def tx12(spark, sf):
     return lines.withColumn("n", n).where("n > 0").select("doc_id", F.col("place").cast("bigint").alias("place"), F.round(F.least(F.lit(0.9), 0.40 + 0.15 * F.col("n")), 6).alias("score"))
 
 
-@register("tx13_mention_spans")
-def tx13(spark, sf):
-    """Matches of several patterns with their places; a match inside a longer one is left out."""
-    return C.mention_spans(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text", [r"[A-Z][a-z]+ [a-z]+ing", r"[a-z]+ing"])
-
-
-@register("tx14_references", "select distinct doc_id, lower(m) as reference from (select doc_id, unnest(regexp_extract_all(text, '[0-9]{3}[-. ][0-9]{4}')) as m from documents)")
-def tx14(spark, sf):
-    m = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}[-. ][0-9]{4}"), 0))
-    return _docs(spark, sf).select("doc_id", m.alias("m")).select("doc_id", F.lower("m").alias("reference")).distinct()
-
-
-@register("tx15_captions", "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as caption, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 20 as good from pages")
-def tx15(spark, sf):
-    c = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return read(spark, sf, "pages").select("page_id", c.alias("caption"), (F.length(c) > 20).alias("good"))
-
-
 @register("tx17_entity_patterns", "select distinct doc_id, kind, m as name from (select doc_id, 'caps' as kind, unnest(regexp_extract_all(text, '[A-Z]{4,}')) as m from documents union all select doc_id, 'number', unnest(regexp_extract_all(text, '[0-9]{3,}')) from documents)")
 def tx17(spark, sf):
     patterns = {"caps": "[A-Z]{4,}", "number": "[0-9]{3,}"}
