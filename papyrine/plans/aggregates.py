@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import decimal_comma, words
 from papyrine.operators import aggregates as A
+from papyrine.operators import representatives as D
+from papyrine.operators import vectors as V
 from papyrine.plans.registry import register
 from papyrine.sources.tables import PAPERS_SQL, papers, read
 
@@ -285,10 +287,20 @@ def ag38b(spark, sf):
     return read(spark, sf, "events").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.hll_sketch_estimate(F.hll_sketch_agg("event_type")).alias("types"))
 
 
-@register("rk18_bucket_diversity", P + "select paper_id, year, r from (select paper_id, year, row_number() over (partition by year // 5 order by n_chars desc, paper_id) as r from papers where year is not null) where r <= 2")
+@register("rk18_bucket_diversity", P + """, v as (select vec_id as paper_id, embedding::double[] as v from embeddings), x as (select p.paper_id, journal, year, v from papers p left join v using (paper_id)),
+s as (select journal, arg_min(v, paper_id) as seed from x where v is not null group by journal),
+r as (select paper_id, x.journal, year, coalesce(0.4 * list_cosine_similarity(v, seed), 0) + 0.15 + case when coalesce(year, 0) <> 0 then 0.05 else 0 end as score, coalesce(year // 5, 0) as bucket from x left join s using (journal)),
+b as (select *, row_number() over (partition by journal, bucket order by score desc, paper_id) as rb, row_number() over (partition by journal order by score desc, paper_id) as ra from r),
+c as (select *, case when rb <= 2 then 0 else 1 end as spread, count(*) filter (rb <= 2) over (partition by journal) as n from b),
+d as (select *, row_number() over (partition by journal order by spread, score desc, paper_id) as place from c where spread = 0 or n < 3)
+select journal, paper_id, year, round(score, 6) as score, place::int as place from d where place <= 5""")
 def rk18(spark, sf):
-    r = F.row_number().over(Window.partitionBy(F.floor(F.col("year") / 5)).orderBy(F.desc("n_chars"), "paper_id")).cast("bigint")
-    return papers(spark, sf).where("year is not null").select("paper_id", "year", r.alias("r")).where("r <= 2")
+    """Representatives of each journal; its seed is the first paper that has a vector."""
+    e = V.as_vectors(read(spark, sf, "embeddings")).select(F.col("vec_id").alias("paper_id"), "v")
+    p = papers(spark, sf).select("paper_id", "journal", "year", "tags").join(e, "paper_id", "left")
+    seeds = p.where("v is not null").groupBy("journal").agg(F.min_by("v", "paper_id").alias("seed"))
+    rated = p.join(seeds, "journal", "left").withColumn("score", D.score(1 - V.cosine_distance(F.col("v"), F.col("seed")), F.col("tags"), F.col("year")))
+    return D.representatives(rated.select("journal", "paper_id", "year", "score"), "journal", "paper_id").select("journal", "paper_id", "year", F.round("score", 6).alias("score"), "place")
 
 
 @register("rk19_representative", "select p_brand, arg_max(p_partkey, {'s': p_retailprice * 0.4 + p_size * 0.4, 'k': p_partkey}) as representative from part group by p_brand")

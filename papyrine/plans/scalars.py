@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions import repair as M
 from papyrine.functions import text as T
 from papyrine.plans.registry import register
-from papyrine.sources.tables import PAPERS_SQL, papers, read
+from papyrine.sources.tables import PAPERS_SQL, papers, read, spread
 
 P = f"with {PAPERS_SQL} "
 ARR = "select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from conversations"
@@ -93,9 +94,29 @@ def fn15(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.try_element_at(F.regexp_extract_all(F.substring("html", 1, 1500), F.lit("<([a-z0-9]+)"), 1), F.lit(-1)).alias("section"))
 
 
-@register("fn16_clean_repeats", "select doc_id, regexp_replace(text, '[*#$%&]{3}', '', 'g') as cleaned from documents where regexp_matches(text, '[*#$%&]{3}')")
+NO_TEXT = (*M.ARTEFACTS, "***", "$$$", "%%%", "###", "&&&")
+_FN16 = "coalesce(text, '')"
+for _a in NO_TEXT:
+    _FN16 = f"replace({_FN16}, '{_a}', '')"
+
+
+def _fn16_step(n: int, k: int) -> str:
+    """One phrase length: the first run of ``k`` words that are those ``k`` places on, and the words without it."""
+    span = f"over (partition by doc_id order by i rows between current row and {k - 1} following)"
+    return f"""e{n} as (select doc_id, i, x = lead(x, {k}) over (partition by doc_id order by i) as same, length(x) as chars, count(*) over (partition by doc_id) as n from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w{n - 1} where long)),
+f{n} as (select doc_id, i, n, sum(coalesce(same, false)::int) {span} as run, sum(chars) {span} as chars from e{n}),
+p{n} as (select doc_id, min(i) - 1 as p from f{n} where run = {k} and chars + {k - 1} > 12 and i - 1 < n - {2 * k} group by doc_id),
+w{n} as materialized (select w{n - 1}.doc_id, case when p is null then w else list_concat(w[1:p + {k}], w[p + {2 * k + 1}:]) end as w, long from w{n - 1} left join p{n} on p{n}.doc_id = w{n - 1}.doc_id)"""
+
+
+@register("fn16_clean_repeats", f"with w0 as materialized (select doc_id, w, len(w) > 8 as long from (select doc_id, list_filter(string_split_regex({_FN16}, '{T.SPACE}+'), lambda x: x <> '') as w from documents)), {_fn16_step(1, 5)}, {_fn16_step(2, 6)} select doc_id, len(w)::int as words, md5(array_to_string(w, ' ')) as digest from w2")
 def fn16(spark, sf):
-    return read(spark, sf, "documents").where(F.rlike("text", F.lit("[*#$%&]{3}"))).select("doc_id", F.regexp_replace("text", "[*#$%&]{3}", "").alias("cleaned"))
+    """Every whole text without artefacts (the driver's runs of marks are added) and without the first phrase told twice."""
+    d = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", M.cleaned_words(F.col("text"), NO_TEXT).alias("w"))
+    d = d.withColumn("long", F.size("w") >= M.LEAST_WORDS)
+    for k in M.PHRASE_WORDS:
+        d = d.withColumn("w", F.when(F.col("long"), M.without_repeat(F.col("w"), k)).otherwise(F.col("w")))
+    return d.select("doc_id", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @register("fn17_label_normalise", "select p_partkey, case when regexp_matches(s, '^(fig|figure)') then 'Figure ' when regexp_matches(s, '^table') then 'Table ' else 'Other ' end || regexp_extract(s, '([0-9]+)', 1) as label from (select p_partkey, case p_partkey % 3 when 0 then 'fig. ' when 1 then 'table s' else 'dataset ' end || p_size as s from part)")
@@ -221,11 +242,13 @@ def fn35(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.when(mb > 300, "high").when(mb > 100, "medium").otherwise("low").alias("category"))
 
 
-@register("fn36_json_repair", "select event_id, cast(json_extract(props, '$.k') as int) as k from events")
+@register("fn36_json_repair", "select event_id, case event_id % 5 when 0 then 'plain' when 1 then 'fenced' when 4 then 'none' else 'repaired' end as how, case when event_id % 5 < 4 then cast(json_extract(props, '$.k') as int) end as k from events")
 def fn36(spark, sf):
-    fenced = F.concat(F.lit("Answer:\n```json\n"), F.rtrim("props"), F.lit("\n```"))
-    found = F.regexp_extract(fenced, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    return read(spark, sf, "events").select("event_id", F.from_json(found, "k int")["k"].alias("k"))
+    """Properties as they are, in a fence, with a comma too many, cut off, and without an opening bracket."""
+    i, p = F.col("event_id") % 5, F.rtrim("props")
+    shapes = F.when(i == 0, p).when(i == 1, F.concat(F.lit("Answer:\n```json\n"), p, F.lit("\n```"))).when(i == 2, F.concat(F.lit("so "), F.regexp_replace(p, r"\}$", ", } it is"))).when(i == 3, F.concat(F.regexp_replace(p, r"\}$", ""), F.lit(', "cut'))).otherwise(F.substring(p, 2, 100))
+    found = read(spark, sf, "events").select("event_id", M.json_of(shapes).alias("j"))
+    return found.select("event_id", "j.how", F.get_json_object("j.json", "$.k").cast("int").alias("k"))
 
 
 @register("fn37_token_cost", "select doc_id, length(text) // 3 as tokens, round((length(text) // 3) * case lang when 'en' then 0.002 else 0.003 end, 6)::double as cost from documents")
