@@ -66,19 +66,20 @@ def dataset_words(headers: Column, cells: Column, caption: Column) -> Column:
 
 def dataset_type(words: Column, rules: R.Rules = R.DATASET_TYPES) -> Column:
     """``best_of`` the dataset types, to be read by ``scored(…, .7, .05, .95, "unknown", 0)``."""
-    return best_of(words, rules, steps(0.7, 0.05, 0.95), literal=True)
+    low = tuple((name, tuple(t.lower() for t in terms)) for name, terms in rules)
+    return best_of(words, low, steps(0.7, 0.05, 0.95), literal=True)
 
 
 def matched_keywords(words: Column, label: Column, rules: R.Rules = R.DATASET_TYPES, most: int = 5) -> Column:
     """The first ``most`` keywords of the named type that occur."""
     known = F.create_map(*[x for name, terms in rules for x in (F.lit(name), F.array(*map(F.lit, terms)))])
     terms = F.coalesce(F.try_element_at(known, label), F.array().cast("array<string>"))
-    return F.slice(F.filter(terms, lambda t: F.contains(words, t)), 1, most)
+    return F.slice(F.filter(terms, lambda t: F.contains(words, F.lower(t))), 1, most)
 
 
 def key_columns(headers: Column, keywords: Column) -> Column:
     """Structs (keyword, headers that contain it) of the keywords that some header contains."""
-    pairs = F.transform(keywords, lambda k: F.struct(k.alias("keyword"), F.filter(headers, lambda h: F.contains(F.lower(h), k)).alias("headers")))
+    pairs = F.transform(keywords, lambda k: F.struct(k.alias("keyword"), F.filter(headers, lambda h: F.contains(F.lower(h), F.lower(k))).alias("headers")))
     return F.filter(pairs, lambda p: F.size(p["headers"]) > 0)
 
 

@@ -53,7 +53,7 @@ TOOL_PLANS: Rules = (
 
 # Dataset types; keywords are searched in headers, caption and cells with _ - . as spaces.
 DATASET_TYPES: Rules = (
-    ("differential_expression", ("log2fc", "logfc", "padj", "pvalue", "fdr", "basemean", "lfcse", "stat")),
+    ("differential_expression", ("log2fc", "logfc", "padj", "pvalue", "fdr", "baseMean", "lfcse", "stat")),
     ("gene_expression", ("fpkm", "rpkm", "tpm", "counts", "gene symbol", "gene id", "expression")),
     ("proteomics", ("protein", "peptide", "accession", "uniprot", "intensity", "spectral count")),
     ("pathway_enrichment", ("pathway", "go term", "kegg", "enrichment score", "gene ratio", "nes")),
@@ -76,11 +76,11 @@ DATASET_TYPES: Rules = (
 # Roles of a section by its heading, in order; sources of these names are their own role.
 OWN_ROLES = ("title", "abstract", "summary", "chunks")
 SECTION_ROLES: Rules = (
-    ("references", (r"\b(?:reference|references|bibliography|literature cited)\b",)),
-    ("results", (r"\b(?:result|results)\b",)),
-    ("discussion", (r"\b(?:discussion|conclusion|conclusions|summary)\b",)),
+    ("references", (r"\b(reference|references|bibliography|literature cited)\b",)),
+    ("results", (r"\b(result|results)\b",)),
+    ("discussion", (r"\b(discussion|conclusion|conclusions|summary)\b",)),
     ("results", ("analysis of binding", "binding to pm proteins", "homologous competition", "heterologous competition")),
-    ("methods", ("method", "material", "preparation", "purification", "expression", "cloning", "assay", "radiolabeling", "immunohistochemical", "source of", "rearing", "strain", "culture", "sample", "protocol")),
+    ("methods", ("method", "methods", "material", "materials", "preparation", "purification", "expression", "cloning", "assay", "assays", "radiolabeling", "immunohistochemical", "source of", "bbmv preparation", "rearing", "strain", "culture", "sample", "protocol")),
     ("introduction", ("introduction", "background", "untitled")),
 )
 
@@ -96,8 +96,8 @@ RELATIONS: Rules = (
 GAP_WEIGHTS = (0.40, 0.35, 0.25)
 GAP_NOVELTY = (("unknown", 0.8), ("mechanistic", 0.75), ("contradiction", 0.85), ("evidence", 0.5), ("methodological", 0.4), ("scope", 0.35), ("translation", 0.55))
 VAGUE_GAPS = (
-    r"^(?:more|further|additional)\s+(?:research|studies|work|investigation)\s+(?:is|are)\s+(?:needed|required)",
-    r"^the\s+(?:mechanism|role|function|effect)\s+(?:is|remains|are)\s+(?:unclear|unknown|not\s+well\s+understood)",
+    r"^(more|further|additional)\s+(research|studies|work|investigation)\s+(is|are)\s+(needed|required)",
+    r"^the\s+(mechanism|role|function|effect)\s+(is|remains|are)\s+(unclear|unknown|not\s+well\s+understood)",
     r"^little\s+is\s+known",
     r"^future\s+studies\s+should",
 )
@@ -111,11 +111,11 @@ MEASURABLE = r"\b(?:significant|measurable|detectable|quantif)\b"
 TECHNIQUE = r"(?i)\b(?:RNA-seq|RNAi|CRISPR|knockout|knockdown|overexpression|inhibitor|siRNA|shRNA|qPCR|western|ELISA|microscopy|TEM|SEM|flow\s+cytometry)\b"
 MODEL_SYSTEM = r"\b(?:cell|mice|mouse|rat|zebrafish|drosophila|c\.\s*elegans|yeast|arabidopsis|in\s+vitro|in\s+vivo|ex\s+vivo)\b"
 OVER_SPECIFIC = (
-    r"(?i)\b[a-z]+\s+\d+\s*(?:mg|g|ml|ul|L)\s*/\s*(?:kg|g|ml|L)\b",
-    r"(?i)\b\d{2,3}\s*%\s*\(?(?:v/v|w/v|w/w)\)?",
+    r"(?i)\b[a-z]+\s+\d+\s*(mg|g|ml|ul|L)\s*/\s*(kg|g|ml|L)\b",
+    r"(?i)\b\d{2,3}\s*%\s*\(?(v/v|w/v|w/w)\)?",
     r"(?i)\bpH\s*\d+\.\d+\b",
-    r"(?i)\bincubat(?:e|ion).*?\d+\s*(?:min|h|hr|hour)",
-    r"(?i)\bvendor.*?(?:Sigma|Thermo|Invitrogen|Abcam|Cell Signaling)",
+    r"(?i)\bincubat(e|ion).*?\d+\s*(min|h|hr|hour)",
+    r"(?i)\bvendor.*?(Sigma|Thermo|Invitrogen|Abcam|Cell Signaling)",
 )
 DANGEROUS = (
     r"(?i)\bhuman\s+subject\b",
@@ -147,8 +147,7 @@ DISCUSSION: Rules = (
 # Words of an answer that claims too much.
 OVERCLAIM = ("prove", "confirm", "establish", "breakthrough", "novel", "first time", "definitively", "undoubtedly")
 
-# Kinds of a figure and of a table by words of caption and mentions; the first kind with a word counts.  Words that hold a
-# word of the same or an earlier kind, and so decide nothing, are left out of the second table.
+# Kinds of a figure and of a table by words of caption and mentions; the first kind with a word counts.
 FIGURE_KINDS: Rules = (
     ("gel_or_blot", ("sds-page", "western blot", "blot", "gel", "electrophoresis", "immunoblot", "coomassie")),
     ("microscopy", ("fluorescence", "confocal", "microscop", "immunofluorescence", "tem", "sem", "cryo-em", "electron micrograph")),
@@ -161,20 +160,20 @@ FIGURE_KINDS: Rules = (
     ("bar_chart", ("bar chart", "bar graph", "histogram", "bars represent", "error bars")),
     ("line_chart", ("line chart", "line graph", "time course", "kinetics", "growth curve")),
     ("sequence_alignment", ("alignment", "sequence", "conserved", "residues", "weblogo", "consensus")),
-    ("domain_structure", ("domain organization", "domain architecture", "schematic", "diagram of")),
+    ("domain_structure", ("domain organization", "domain architecture", "schematic", "diagram of", "domain I", "domain II")),
     ("workflow_model", ("schematic", "workflow", "flowchart", "overview", "pipeline", "model depicting")),
     ("table_like", ("table", "summary", "list of", "overview of", "comparison of")),
 )
 TABLE_KINDS: Rules = (
-    ("toxicity_or_bioassay", ("lc50", "lc 50", "ld50", "ld 50", "mortality", "toxicity", "bioassay", "feeding assay", "leaf disc", "diet overlay", "surface contamination", "survival", "lethal concentration", "lethal dose", "median lethal", "insecticidal activity")),
-    ("expression_or_production", ("expression", "purification", "yield", "production", "recombinant", "heterologous", "soluble", "inclusion body", "mg/l")),
-    ("binding_or_affinity", ("binding", "affinity", "kd", "ka", "competition", "ligand blot", "bbmv", "brush border membrane", "spr", "surface plasmon", "radiolabel", "dissociation constant")),
-    ("omics_data", ("rna-seq", "rnaseq", "transcriptome", "proteome", "deg", "differentially expressed", "microarray", "fpkm", "rpkm", "fold change", "upregulated", "downregulated", "go term", "kegg", "enrichment", "cluster analysis")),
-    ("gene_or_protein_list", ("gene ", "genes ", "protein list", "accession", "locus tag", "protein id", "orf", "open reading frame", "genomic")),
-    ("primer_or_plasmid", ("primer", "plasmid", "vector", "oligonucleotide", "construct", "restriction site", "cloning")),
-    ("strain_or_sample", ("strain", "isolate", "sample", "specimen", "collection site", "geographic", "field-collected", "lab colony", "population")),
+    ("toxicity_or_bioassay", ("lc50", "lc 50", "ld50", "ld 50", "mortality", "toxicity", "bioassay", "feeding assay", "leaf disc", "diet overlay", "surface contamination", "survival", "corrected mortality", "lethal concentration", "lethal dose", "median lethal", "insecticidal activity")),
+    ("expression_or_production", ("expression", "purification", "yield", "production", "recombinant", "heterologous", "soluble", "insoluble", "inclusion body", "mg/l", "protein yield", "expression level", "expression vector", "production yield", "purification fold")),
+    ("binding_or_affinity", ("binding", "affinity", "kd", "ka", "competition", "ligand blot", "bbmv", "brush border membrane", "spr", "surface plasmon", "radiolabel", "dissociation constant", "binding affinity", "competitive binding", "receptor binding")),
+    ("omics_data", ("rna-seq", "rnaseq", "transcriptome", "proteome", "deg", "differentially expressed", "differential expression", "microarray", "gene expression profile", "fpkm", "rpkm", "fold change", "upregulated", "downregulated", "go term", "kegg", "enrichment", "cluster analysis")),
+    ("gene_or_protein_list", ("gene ", "genes ", "protein list", "gene list", "accession", "locus tag", "gene id", "protein id", "orf", "open reading frame", "genomic", "gene name", "gene symbol", "gene family")),
+    ("primer_or_plasmid", ("primer", "plasmid", "vector", "oligonucleotide", "construct", "restriction site", "cloning", "pcr primer", "forward primer", "reverse primer")),
+    ("strain_or_sample", ("strain", "isolate", "sample", "specimen", "collection site", "geographic", "field-collected", "lab colony", "population", "accession number", "isolate name")),
     ("statistics_or_model", ("p-value", "p value", "regression", "anova", "model", "statistical", "correlation", "coefficient", "r-squared", "standard deviation", "standard error", "confidence interval", "odds ratio", "hazard ratio", "goodness of fit", "aic", "bic", "chi-square", "t-test", "mann-whitney", "kruskal-wallis")),
     ("phenotype_summary", ("phenotype", "morpholog", "growth rate", "body weight", "lesion", "symptom", "disease severity", "disease incidence", "efficacy", "potency", "activity against")),
-    ("sequence_or_domain", ("sequence", "domain", "identity", "alignment", "conserved", "residues", "motif", "signal peptide", "transmembrane", "homology")),
+    ("sequence_or_domain", ("sequence", "domain", "identity", "alignment", "conserved", "residues", "motif", "signal peptide", "transmembrane", "nucleotide sequence", "amino acid sequence", "homology")),
     ("supplementary_index", ("supplementary table", "supplementary information", "additional file", "supporting information", "see supplementary", "data not shown")),
 )
