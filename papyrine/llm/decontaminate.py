@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm import shingles
-from papyrine.llm.scratch import prepare_python
+from papyrine.llm.scratch import Scratch, prepare_python
 
 SAMPLES = 96
 SEED = 31
@@ -157,8 +157,9 @@ def find_leaks(
     """
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     texts = texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession, "leaks")
     found = docs.sparkSession.createDataFrame([], PAIR)
-    for sent in _sent(items, item_col, item_text_col, item_bytes):
+    for sent, last in _passes(items, item_col, item_text_col, item_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             indexes = [b.value for b in sent]
@@ -170,25 +171,41 @@ def find_leaks(
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
-        found = found.unionByName(texts.mapInArrow(search, PAIR))
+        part = texts.mapInArrow(search, PAIR)
+        found = found.unionByName(part if last else _done(scratch, part, sent))
     return found.distinct()
 
 
-def _sent(items: DataFrame, item_col: str, item_text_col: str, item_bytes: int) -> list[list[Broadcast]]:
-    """Indexes of all items, broadcast in blocks of about ``item_bytes``; one list for each pass over the documents."""
+def _done(scratch: Scratch, part: DataFrame, sent: list[Broadcast]) -> DataFrame:
+    """A pass written, and its indexes taken from driver and executors."""
+    part = scratch.table(part, "pass")
+    for b in sent:
+        b.destroy()
+    return part
+
+
+def _passes(items: DataFrame, item_col: str, item_text_col: str, item_bytes: int) -> Iterator[tuple[list[Broadcast], bool]]:
+    """For each pass over the documents the broadcast indexes of its items, in blocks of about ``item_bytes``, and whether it is the last.
+
+    Equal items are sent once, so that a block is bounded however often an item is repeated.  A pass's indexes are built when it is
+    asked for; whoever asks for the next has written what the last one found.
+    """
     spark = items.sparkSession
     prepare_python(spark)
     known = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    known = known.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t"))
+    known = known.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).distinct()
+    known = Scratch(spark, "items").table(known, "items")
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // item_bytes))
-    sent = []
-    for block in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # bounded by item_bytes
-        index = build_index([r["i"] for r in rows], [r["t"] for r in rows])
-        if index.levels:
-            sent.append(spark.sparkContext.broadcast(index))
-    return [sent[i : i + PASS_BLOCKS] for i in range(0, len(sent), PASS_BLOCKS)]
+    for start in range(0, blocks, PASS_BLOCKS):
+        sent = []
+        for block in range(start, min(blocks, start + PASS_BLOCKS)):
+            rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # bounded by item_bytes
+            index = build_index([r["i"] for r in rows], [r["t"] for r in rows])
+            if index.levels:
+                sent.append(spark.sparkContext.broadcast(index))
+        if sent:
+            yield sent, start + PASS_BLOCKS >= blocks
 
 
 def _hits(seq: np.ndarray, indexes: list[Index], percent: int) -> Iterator[tuple[int, int, int]]:
@@ -219,10 +236,12 @@ def clean(
 ) -> DataFrame:
     """Rows of ``docs`` that hold no item, columns unchanged; each row is judged by its own text, whatever its id.
 
-    Rows whose text is null or empty stay.  The rows are filtered where they are read; nothing is shuffled.
+    Rows whose text is null or empty stay.  The rows are filtered where they are read; nothing is shuffled.  A benchmark of more than
+    ``PASS_BLOCKS * item_bytes`` takes several passes, between which the rows are written.
     """
     at = docs.columns.index(text_col)
-    for sent in _sent(items, item_col, item_text_col, item_bytes):
+    scratch = Scratch(docs.sparkSession, "clean")
+    for sent, last in _passes(items, item_col, item_text_col, item_bytes):
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             indexes = [b.value for b in sent]
@@ -230,5 +249,6 @@ def clean(
                 found = [next(_hits(seq, indexes, percent), None) is None for seq in shingles.sequences(batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(found, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        kept = docs.mapInArrow(keep, docs.schema)
+        docs = kept if last else _done(scratch, kept, sent)
     return docs

@@ -439,3 +439,22 @@ def test_maintained_totals(spark):
     got = R.maintain(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
     assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want
     assert R.maintain(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).isEmpty()
+
+
+def test_repeated_items_and_several_passes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choices(words, k=40)) for i in range(40)}
+    rows = [*texts.items(), *[(0, texts[0])] * 500, *[(100 + i, texts[1]) for i in range(30)]]
+    items = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+    docs = spark.createDataFrame([(i, f"before {texts[i]} after") for i in range(0, 40, 3)] + [(900, texts[1]), (901, "nothing of it at all here"), (902, None)], "doc_id bigint, text string")
+    want = {(i, i) for i in range(0, 40, 3)} | {(900, 1)} | {(900, 100 + i) for i in range(30)}
+    seen = []
+    build = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda ids, texts: (seen.append(len(ids)), build(ids, texts))[1])
+    for size in (1 << 20, 900):
+        seen.clear()
+        found = decontaminate.find_leaks(docs, items, item_bytes=size)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+        assert sum(seen) == 70 and (size > 900 or max(seen) <= 20)  # equal items are sent once
+        assert sorted(r.doc_id for r in decontaminate.clean(docs, items, item_bytes=size).collect()) == [901, 902]
