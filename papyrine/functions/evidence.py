@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papyrine.functions import evidence_rules as R
+from papyrine.functions import type_tables as T
 from papyrine.functions.result_sentences import chained_results, key_results
 from papyrine.functions.rule_tables import Rules
 from papyrine.functions.text import SENTENCE_END, SPACE, strip
@@ -281,6 +282,39 @@ def best_type(scored: Column) -> Column:
     return F.aggregate(scored, start, step, lambda a: a.withField("alternatives", F.slice(a["alternatives"], 1, 3)))
 
 
+def reason(words: Column, label: Column, rules: T.Tiers, least: int, told: Sequence[str]) -> Column:
+    """Why ``two_tiers`` gave a type: its tier and the first five strong or weak words, of one weak word that alone."""
+
+    def of(place: int) -> Column:
+        known = F.create_map(*[x for rule in rules for x in (F.lit(rule[0]), F.array(*map(F.lit, rule[place])).cast("array<string>"))])
+        return F.filter(F.coalesce(F.try_element_at(known, label), F.array().cast("array<string>")), lambda t: words.contains(F.lower(t)))
+
+    def listed(start: str, found: Column, most: int) -> Column:
+        return F.concat(F.lit(start), F.array_join(F.slice(found, 1, most), ", "))
+
+    strong, weak = of(1), of(2)
+    return F.when(F.size(strong) > 0, listed(told[0], strong, 5)).when(F.size(weak) >= least, listed(told[1], weak, 5)).when(F.size(weak) > 0, listed(told[2], weak, 1)).otherwise(told[3])
+
+
+def key_columns(label: Column, headers: Column, rules: Rules = T.KEY_COLUMNS) -> Column:
+    """Structs (key, columns) of the keys of a table type that some header contains, in any case."""
+    known = F.create_map(*[x for name, keys in rules for x in (F.lit(name), F.array(*map(F.lit, keys)))])
+    keys = F.coalesce(F.try_element_at(known, label), F.array().cast("array<string>"))
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.filter(headers, lambda h: F.contains(F.lower(h), k)).alias("columns")))
+    return F.filter(pairs, lambda p: F.size(p["columns"]) > 0)
+
+
+def subtype(words: Column, label: Column, rules: Sequence[tuple[str, Sequence[tuple[str, str]]]] = T.SUBTYPES) -> Column:
+    """Subtype of a figure type: that of the first word found, else empty."""
+    out: Column = F.lit("")
+    for name, kinds in rules:
+        own: Column = F.lit("")
+        for word, kind in reversed(kinds):
+            own = F.when(words.contains(word), kind).otherwise(own)
+        out = F.when(label == name, own).otherwise(out)
+    return out
+
+
 def _header(h: Column) -> Column:
     return F.regexp_replace(F.lower(h), r"[_\-.]", " ")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import evidence as E
 from papyrine.functions import evidence_rules as R
+from papyrine.functions import type_tables as T
 from papyrine.functions.rule_tables import Rules
 from papyrine.functions.text import SPACE, SPACES
 from papyrine.plans.registry import register
@@ -195,25 +196,36 @@ def cl7(spark, sf):
 
 # Types of tables and figures; their words are a parameter, here those of the driver's tables.
 PART_WORDS = ("widget", "bolt", "economy", "promo", "small", "large", "cold", "red", "ring", "standard", "blue", "brand", "hot", "green", "gear", "pin")
-TABLE_TYPES = ("differential_expression", "gene_expression", "proteomics", "metabolomics", "sample_metadata", "primer_table", "strain_table", "phenotype_table", "bioassay_table", "survival_table", "lc50_table", "statistical_result", "pathway_enrichment", "taxonomy_table", "method_parameter_table", "supplementary_index")
-FIGURE_TYPES = ("microscopy", "western_blot", "gel_image", "survival_curve", "bioassay", "binding_assay", "expression_analysis", "heatmap", "volcano_plot", "phylogeny", "structure_model", "statistical_plot", "workflow_diagram")
 PROSE = ("thatin", "ononst", "inoran", "orantion", "rewh", "orre", "hehely", "anea", "elle", "enre", "tion", "ment", "keit", "pour", "dans", "para", "nicht", "thon", "lich")
 
 
-def _dealt(types: Sequence[str], words: Sequence[str]) -> list[tuple[str, tuple[str, ...], tuple[str, ...]]]:
-    """Rules with a strong pair and four weak words each, dealt in turn."""
+def _dealt(rules: T.Tiers, words: Sequence[str]) -> T.Tiers:
+    """The rules with a strong pair and four weak words of the driver's tables each, dealt in turn."""
     n = len(words)
-    return [(t, (f"{words[i % n]} {words[(i + 3) % n]}", words[(i * 5) % n] + words[(i + 7) % n]), tuple(words[(i + j) % n] for j in range(4))) for i, t in enumerate(types)]
+    return tuple((t, (*high, f"{words[i % n]} {words[(i + 3) % n]}", words[(i * 5) % n] + words[(i + 7) % n]), (*low, *[words[(i + j) % n] for j in range(4)])) for i, (t, high, low) in enumerate(rules))
 
 
-TABLES, FIGURES = _dealt(TABLE_TYPES, PART_WORDS), _dealt(FIGURE_TYPES, PROSE)
+TABLES, FIGURES = _dealt(T.TABLE_TYPES, PART_WORDS), _dealt(T.FIGURE_TYPES, PROSE)
+
+
+def _why_sql(rules: T.Tiers, least: int, told: Sequence[str]) -> str:
+    """Reason of a type in rows with ``words`` and ``label``."""
+
+    def of(place: int) -> str:
+        return "case label " + " ".join(f"when '{r[0]}' then [{', '.join(map(_q, r[place]))}]" for r in rules) + " else [] end"
+
+    high, low = (f"list_filter({of(i)}, lambda t: contains(words, lower(t)))" for i in (1, 2))
+    return f"case when len({high}) > 0 then '{told[0]}' || array_to_string({high}[1:5], ', ') when len({low}) >= {least} then '{told[1]}' || array_to_string({low}[1:5], ', ') when len({low}) > 0 then '{told[2]}' || {low}[1] else '{told[3]}' end"
+
+
+_SUBTYPE_SQL = "case " + " ".join(f"when label = '{name}' then case {' '.join(f'when contains(words, {_q(w)}) then {_q(k)}' for w, k in kinds)} else '' end" for name, kinds in T.SUBTYPES) + " else '' end"
 
 
 def _tier_sql(words: str, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], strong: str, fair: str, weak: float, least: int) -> str:
     """Rows (k, i, label, c) of the types with a word."""
 
     def n(terms: Sequence[str]) -> str:
-        return " + ".join(f"cast(contains({words}, {_q(t)}) as int)" for t in terms)
+        return " + ".join(f"cast(contains({words}, {_q(t.lower())}) as int)" for t in terms)
 
     rows = " union all ".join(f"select k, {i} as i, '{label}' as label, {n(high)} as n, {n(low)} as m from w" for i, (label, high, low) in enumerate(rules))
     return f"select k, i, label, round(case when n > 0 then {strong.format('n')} when m >= {least} then {fair.format('m')} when m > 0 then {weak}e0 end, 6) as c from ({rows}) where n + m > 0"
@@ -224,21 +236,30 @@ b as (select *, row_number() over (partition by k order by c desc, i) as rank, m
 a as (select k, string_agg(label, ',' order by lost) as alternatives from (select k, label, lost, row_number() over (partition by k order by lost) as r from (select k, label, case when top then next_top else i end as lost from b where rank > 1 and c > 0.3)) where r <= 3 group by k)"""
 
 
-@register("cl9_table_type", f"""with w as (select p_partkey as k, regexp_replace(lower('p_name p_type ' || coalesce(p_brand, '') || ' ' || coalesce(p_name, '') || ' ' || coalesce(p_type, '')), '[_.-]', ' ', 'g') as words from part),
-s as ({_tier_sql("words", TABLES, "least(0.70e0 + 0.10e0 * {0}, 0.95e0)", "least(0.50e0 + 0.08e0 * {0}, 0.70e0)", 0.35, 3)}), t as ({_TYPE_SQL} select w.k as p_partkey, coalesce(label, 'unknown') as label, coalesce(c, 0e0) as confidence from w left join b on b.k = w.k and rank = 1""")
+_PART_HEADERS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@register("cl9_table_type", f"""with w as (select p_partkey as k, regexp_replace(lower('{" ".join(_PART_HEADERS)} ' || coalesce(p_brand, '') || ' ' || coalesce(p_name, '') || ' ' || coalesce(p_type, '')), '[_.-]', ' ', 'g') as words from part),
+s as ({_tier_sql("words", TABLES, "least(0.70e0 + 0.10e0 * {0}, 0.95e0)", "least(0.50e0 + 0.08e0 * {0}, 0.70e0)", 0.35, 3)}), t as ({_TYPE_SQL}, z as (select w.k as p_partkey, words, coalesce(label, 'unknown') as label, coalesce(c, 0e0) as confidence from w left join b on b.k = w.k and rank = 1)
+select p_partkey, label, confidence, {_why_sql(TABLES, 3, T.TABLE_REASONS)} as reason, '' as keys from z""")
 def cl9(spark, sf):
-    words = F.regexp_replace(F.lower(F.concat_ws(" ", F.lit("p_name p_type"), F.coalesce("p_brand", F.lit("")), F.coalesce("p_name", F.lit("")), F.coalesce("p_type", F.lit("")))), r"[_.\-]", " ")
-    best = E.best_type(E.two_tiers(F.col("words"), TABLES, (0.70, 0.10, 0.95), (0.50, 0.08, 0.70), 0.35, 3))
-    return read(spark, sf, "part").select("p_partkey", words.alias("words")).select("p_partkey", best.alias("b")).select("p_partkey", "b.label", "b.confidence")
+    """A part is a table of one row; its columns are the headers."""
+    words = F.regexp_replace(F.lower(F.concat_ws(" ", F.lit(" ".join(_PART_HEADERS)), F.coalesce("p_brand", F.lit("")), F.coalesce("p_name", F.lit("")), F.coalesce("p_type", F.lit("")))), r"[_.\-]", " ")
+    typed = read(spark, sf, "part").select("p_partkey", words.alias("words")).withColumn("b", E.best_type(E.two_tiers(F.col("words"), TABLES, *T.TABLE_TIERS)))
+    keys = E.key_columns(F.col("b.label"), F.array(*map(F.lit, _PART_HEADERS)))
+    listed = F.array_join(F.transform(keys, lambda k: F.concat_ws("=", k["key"], F.array_join(k["columns"], "+"))), ",")
+    return typed.select("p_partkey", "b.label", "b.confidence", E.reason(F.col("words"), F.col("b.label"), TABLES, 3, T.TABLE_REASONS).alias("reason"), listed.alias("keys"))
 
 
 @register("cl11_figure_type", f"""with w as (select doc_id as k, regexp_replace(lower(coalesce(text, '')), '[_.-]', ' ', 'g') as words from documents),
-s as ({_tier_sql("words", FIGURES, "least(0.70e0 + 0.15e0 * {0}, 0.98e0)", "least(0.40e0 + 0.10e0 * {0}, 0.65e0)", 0.30, 2)}), t as ({_TYPE_SQL} select w.k as doc_id, coalesce(label, 'unknown') as label, coalesce(c, 0e0) as confidence, coalesce(alternatives, '') as alternatives from w left join b on b.k = w.k and rank = 1 left join a on a.k = w.k""")
+s as ({_tier_sql("words", FIGURES, "least(0.70e0 + 0.15e0 * {0}, 0.98e0)", "least(0.40e0 + 0.10e0 * {0}, 0.65e0)", 0.30, 2)}), t as ({_TYPE_SQL}, z as (select w.k as doc_id, words, coalesce(label, 'unknown') as label, coalesce(c, 0e0) as confidence, coalesce(alternatives, '') as alternatives from w left join b on b.k = w.k and rank = 1 left join a on a.k = w.k)
+select doc_id, label, confidence, alternatives, {_SUBTYPE_SQL} as subtype, {_why_sql(FIGURES, 2, T.FIGURE_REASONS)} as reason from z""")
 def cl11(spark, sf):
+    """A document is a figure's caption."""
     words = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[_.\-]", " ")
-    best = E.best_type(E.two_tiers(F.col("words"), FIGURES, (0.70, 0.15, 0.98), (0.40, 0.10, 0.65), 0.30, 2))
-    typed = read(spark, sf, "documents").select("doc_id", words.alias("words")).select("doc_id", best.alias("b"))
-    return typed.select("doc_id", "b.label", "b.confidence", F.array_join("b.alternatives", ",").alias("alternatives"))
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    typed = docs.select("doc_id", words.alias("words")).withColumn("b", E.best_type(E.two_tiers(F.col("words"), FIGURES, *T.FIGURE_TIERS)))
+    return typed.select("doc_id", "b.label", "b.confidence", F.array_join("b.alternatives", ",").alias("alternatives"), E.subtype(F.col("words"), F.col("b.label")).alias("subtype"), E.reason(F.col("words"), F.col("b.label"), FIGURES, 2, T.FIGURE_REASONS).alias("reason"))
 
 
 _HEADERS = ("'l_quantity'", "case l_returnflag when 'A' then 'FDR' when 'R' then 'p-adj.' else 'l_p_value' end", "'Std_Dev'", "'l_shipdate'")

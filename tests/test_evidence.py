@@ -152,3 +152,43 @@ def test_table_statistics(spark):
     assert [r.c for r in got] == [0.7, 0.4, 0.4, 0.0]
     assert tuple(got[0].p) == (0.0004, 0.5, 2, 1, 1)
     assert [r.p for r in got[1:]] == [None, None, None]
+
+
+def _typed(spark, tiers, rules, reasons, *texts, headers=()):
+    from papyrine.functions import type_tables as T
+
+    words = F.regexp_replace(F.lower(F.concat_ws(" ", F.array(*map(F.lit, headers)), F.col("t"))), r"[_.\-]", " ")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("w", words).withColumn("b", E.best_type(E.two_tiers(F.col("w"), rules, *tiers)))
+    keys = E.key_columns(F.col("b.label"), F.array(*map(F.lit, headers)).cast("array<string>"))
+    kind = E.subtype(F.col("w"), F.col("b.label"))
+    rows = df.select("i", "b.*", E.reason(F.col("w"), F.col("b.label"), rules, tiers[3], reasons).alias("why"), keys.alias("keys"), kind.alias("sub")).orderBy("i").collect()
+    assert T.TABLE_TYPES and len(T.FIGURE_TYPES) == 13
+    return rows
+
+
+def test_table_types_by_the_fixed_words(spark):
+    from papyrine.functions import type_tables as T
+
+    headers = ("Gene_ID", "log2FC", "padj", "Fold.Change", "note")
+    (r,) = _typed(spark, T.TABLE_TIERS, T.TABLE_TYPES, T.TABLE_REASONS, "", headers=headers)
+    assert (r.label, round(r.confidence, 2), r.why) == ("differential_expression", 0.95, "Matched headers: log2fc, padj, fold change")
+    assert [(k.key, k.columns) for k in r.keys] == [("gene", ["Gene_ID"]), ("log2fc", ["log2FC"]), ("padj", ["padj"])]
+    got = _typed(spark, T.TABLE_TIERS, T.TABLE_TYPES, T.TABLE_REASONS, "LC50 of larvae", "counts", "adduct", "spectra pcr mutant", "none of it", None)
+    assert [(r.label, r.why) for r in got[:3]] == [("lc50_table", "Matched headers: lc50, lc50"), ("gene_expression", "Matched headers: counts"), ("metabolomics", "Weak match: adduct")]
+    assert (got[3].label, got[3].confidence, got[3].why) == ("proteomics", 0.35, "Weak match: spectra")
+    assert [(r.label, r.confidence, r.why) for r in got[4:]] == [("unknown", 0.0, "No matching patterns found.")] * 2
+
+
+def test_figure_types_by_the_fixed_words(spark):
+    from papyrine.functions import type_tables as T
+
+    got = _typed(spark, T.FIGURE_TIERS, T.FIGURE_TYPES, T.FIGURE_REASONS, "Confocal microscopy of the midgut", "western_blot_1.png", "SDS-PAGE of a protein, agarose gel", "band of some kDa", "a ladder", "Crystal structure", "x")
+    assert [(r.label, round(r.confidence, 2), r.sub, r.why) for r in got] == [
+        ("microscopy", 0.98, "confocal", "Matched keywords: microscop, confocal"),
+        ("western_blot", 0.85, "", "Matched keywords: western blot"),
+        ("gel_image", 0.98, "agarose gel", "Matched keywords: sds page, agarose gel"),
+        ("western_blot", 0.6, "", "Partial match: band, kda"),
+        ("gel_image", 0.3, "", "Weak match: ladder"),
+        ("structure_model", 0.85, "X-ray crystallography", "Matched keywords: crystal structure"),
+        ("unknown", 0.0, "", ""),
+    ]
