@@ -80,10 +80,13 @@ def field_score(values: Column, query: str) -> Column:
     return F.size(F.array_distinct(F.filter(values, lambda v: F.lower(v).contains(query.lower())))) * F.lit(5.0)
 
 
-def keyword_search(papers: DataFrame, terms: Sequence[str], *, filters: Filters = Filters(), weights: Mapping[str, float], top_k: int) -> DataFrame:
-    """Papers that pass the filters and hold a term, best first: score, then year (null as 0), title, id."""
+def keyword_search(papers: DataFrame, terms: Sequence[str], *, filters: Filters = Filters(), weights: Mapping[str, float], top_k: int, added: float = 0.0) -> DataFrame:
+    """Papers that pass the filters and hold a term, best first: score, then year (null as 0), title, id.
+
+    ``added`` is what filters give that were applied before.
+    """
     scored = passes(papers, filters).withColumn("kw", keyword_score(terms, weights))
-    scored = scored.withColumn("score", F.round(F.col("kw") + filter_score(filters), 4))
+    scored = scored.withColumn("score", F.round(F.col("kw") + filter_score(filters) + F.lit(added), 4))
     # rows without a term score lowest, so they may be dropped from the top k: a filter before it would
     # be pushed to the scan and the scores computed twice
     best = scored.orderBy(F.desc("score"), F.desc(F.coalesce("year", F.lit(0))), "title", "paper_id").limit(top_k).where("kw > 0")

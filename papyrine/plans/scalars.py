@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions import column_rules as C
 from papyrine.functions import repair as M
 from papyrine.functions import text as T
 from papyrine.plans.registry import register
@@ -165,17 +166,16 @@ def fn24(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", d.alias("direction"))
 
 
-COLUMNS = ["gene_id", "log2FC", "p_value", "fold_change", "Description", "sample_1", "LC50", "concentration"]
+#: The families with two beginnings of the driver's words each.
+FAMILIES = tuple((label, (*patterns, f"^{x}", f"^{y}")) for (label, patterns), x, y in zip(C.COLUMN_FAMILIES, ("tha", "ono", "ino", "ora", "rew", "hehe", "ane"), ("ell", "pou", "nic", "dan", "par", "que", "sch"), strict=True))
+_FAMILY_SQL = "case " + " ".join(f"when regexp_matches(n, '{'|'.join(f'(?:{p})' for p in patterns)}') then '{label}'" for label, patterns in FAMILIES) + " else 'unknown' end"
 
 
-@register("fn25_classify_column", "select h, case when regexp_matches(lower(h), '^(gene|protein)') then 'entity' when regexp_matches(lower(h), '(log2)?fc$|^fold') then 'effect' when regexp_matches(lower(h), '^p_?val|^padj') then 'significance' when regexp_matches(lower(h), '^sample') then 'sample' when regexp_matches(lower(h), 'lc50') then 'dose' else 'other' end as family from (select unnest(['gene_id', 'log2FC', 'p_value', 'fold_change', 'Description', 'sample_1', 'LC50', 'concentration']) as h)")
+@register("fn25_classify_column", f"select h, {_FAMILY_SQL} as family from (select h, ltrim(trim(regexp_replace(lower(h), '(?:[_-]|{T.SPACE})+', '_', 'g'), '_'), chr(65279)) as n from (select distinct unnest(string_split(string_split(text, chr(10))[1], ' ')) as h from documents))")
 def fn25(spark, sf):
-    low = F.lower("h")
-    rules = [("^(gene|protein)", "entity"), ("(log2)?fc$|^fold", "effect"), ("^p_?val|^padj", "significance"), ("^sample", "sample"), ("lc50", "dose")]
-    family: Column = F.lit("other")
-    for pattern, name in reversed(rules):
-        family = F.when(low.rlike(pattern), name).otherwise(family)
-    return spark.createDataFrame([(c,) for c in COLUMNS], "h string").select("h", family.alias("family"))
+    """The words of each document's first line are names of columns."""
+    names = read(spark, sf, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("h")).distinct()
+    return names.select("h", C.column_family(F.col("h"), FAMILIES).alias("family"))
 
 
 @register("fn26_normalize_entity", "select p_partkey, regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', ' ', 'g') as entity from part")

@@ -161,7 +161,10 @@ def prj5(spark, sf):
     return papers(spark, sf).select("paper_id", F.concat_ws("\n", *lines).alias("metadata_text"))
 
 
-RK2 = P + f""", s as (select paper_id, title, year, 5.0 * least({_count('lower(title)', 'that')}, 5) + 3.0 * least({_count('lower(abstract)', 'that')}, 5) + 5.0 * least({_count('lower(title)', 'with')}, 5) + 3.0 * least({_count('lower(abstract)', 'with')}, 5) as kw,
+#: Fields of a paper in search: the lines after the first are its summary, language and journal its tags, what else is known its metadata.
+_FIELDS = {"title": "title", "abstract": "abstract", "summary": "coalesce(string_split(abstract, chr(10))[2], '')", "tags": "lang || ' ' || journal", "metadata": "concat_ws(' ', lang, journal, year, doi)"}
+_RK2_SCORE = " + ".join(f"{w} * least({_count(f'lower({_FIELDS[c]})', t)}, 5)" for t in ("that", "with") for c, w in S.FIELD_WEIGHTS.items())
+RK2 = P + f""", s as (select paper_id, title, year, {_RK2_SCORE} as kw,
 abstract, nullif(instr(lower(abstract), 'that'), 0) as a, nullif(instr(lower(abstract), 'with'), 0) as b from papers where contains(lower(lang || ' | ' || journal), 'en'))
 select paper_id, title, year, round(cast(kw + 3.0 as double), 4) as score, substr(abstract, greatest(pos - 160, 1), pos + 260 - greatest(pos - 160, 1)) as excerpt from (select *, coalesce(least(a, b), 1) as pos from s where kw > 0)
 order by score desc, coalesce(year, 0) desc, title, paper_id limit 50"""
@@ -169,7 +172,11 @@ order by score desc, coalesce(year, 0) desc, title, paper_id limit 50"""
 
 @register("rk2_keyword_score", RK2)
 def rk2(spark, sf):
-    return S.keyword_search(papers(spark, sf), ["that", "with"], filters=S.Filters(lists={"tags": ["en"]}), weights={"title": 5.0, "abstract": 3.0}, top_k=50)
+    """All five fields; the list filter reads the tags before they are joined."""
+    p = papers(spark, sf).where(S.list_matches(F.col("tags"), ["en"]))
+    metadata = F.concat_ws(" ", "lang", "journal", F.col("year").cast("string"), "doi")
+    p = p.withColumns({"summary": F.coalesce(F.get(F.split("abstract", "\n"), 1), F.lit("")), "tags": F.concat_ws(" ", "tags"), "metadata": metadata})
+    return S.keyword_search(p, ["that", "with"], weights=S.FIELD_WEIGHTS, top_k=50, added=3.0)
 
 
 @register("rk1_global_order", P + "select paper_id, year, title from papers order by n_chars desc, coalesce(year, 0) desc, title, paper_id limit 30")
@@ -216,10 +223,23 @@ def _asset_sql(w: dict[str, float], query: str) -> str:
     return " + ".join(parts)
 
 
-@register("rk11_cross_asset_keyword", f"select page_id, cast({_asset_sql({'url': 2.0, 'html': 1.0}, 'that with')} as double) as score from pages order by score desc, page_id limit 40")
+#: Fields of an asset in cross-asset search and their weights.
+ASSET_FIELDS = {"title": 2.0, "text": 1.0, "key_finding": 1.5, "table_summary": 1.0, "evidence_type": 0.5, "table_type": 0.5, "node_type": 0.5}
+_ASSETS = """assets as (select 'document' as kind, doc_id as id, string_split(text, chr(10))[1] as title, text, string_split(text, chr(10))[-1] as key_finding, '' as table_summary, lang as evidence_type, '' as table_type, 'paper' as node_type from documents
+union all select 'page', page_id, regexp_extract(html, '<title>([^<]*)</title>', 1), html, '', '', '', '', 'web' from pages union all select 'part', p_partkey, p_name, '', '', p_brand || ' ' || p_type, '', p_type, 'table' from part)"""
+
+
+@register("rk11_cross_asset_keyword", f"with {_ASSETS} select kind, id, cast({_asset_sql(ASSET_FIELDS, 'that with')} as double) as score from assets order by score desc, kind, id limit 40")
 def rk11(spark, sf):
-    p = read(spark, sf, "pages").select("page_id", S.asset_keyword_score("that with", {"url": 2.0, "html": 1.0}).alias("score"))
-    return p.orderBy(F.desc("score"), "page_id").limit(40)
+    """Documents, pages and parts are assets; conversations would be supplementary chunks, which this search passes over."""
+    none = F.lit("")
+    lines = F.split("text", "\n")
+    d = read(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.get(lines, 0).alias("title"), "text", F.element_at(lines, -1).alias("key_finding"), none.alias("table_summary"), F.col("lang").alias("evidence_type"), none.alias("table_type"), F.lit("paper").alias("node_type"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    p = read(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), title.alias("title"), F.col("html").alias("text"), *[none.alias(c) for c in ("key_finding", "table_summary", "evidence_type", "table_type")], F.lit("web").alias("node_type"))
+    t = read(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), none.alias("text"), none.alias("key_finding"), F.concat_ws(" ", "p_brand", "p_type").alias("table_summary"), none.alias("evidence_type"), F.col("p_type").alias("table_type"), F.lit("table").alias("node_type"))
+    scored = d.unionByName(p).unionByName(t).select("kind", "id", S.asset_keyword_score("that with", ASSET_FIELDS).alias("score"))
+    return scored.orderBy(F.desc("score"), "kind", "id").limit(40)
 
 
 @register("rk12_constant_score", "select n_nationkey, n_name, cast(0.7 as double) as score from nation where contains(n_name, 'A')")
