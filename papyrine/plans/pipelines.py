@@ -10,6 +10,7 @@ from papyrine.sources import sinks as K
 from papyrine.sources.tables import read
 from papyrine.sources.workdir import work_folder, written
 from papyrine.streaming import streams as T
+from papyrine.streaming.staging import rocks_state, staged
 
 
 def rows_n():
@@ -212,6 +213,15 @@ def st6(spark, sf):
     return T.drained(s, "complete", "sessions")
 
 
+@register("st6b_staged_uploads")
+def st6b(spark, sf):
+    """A user's events are steps of uploads; outcomes are those of the state machine, which SQL cannot say."""
+    action = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in {"view": "add", "click": "plan", "purchase": "confirm", "error": "create"}.items() for x in kv]), F.col("event_type")), F.lit("create"))
+    e = T.events_stream(spark, sf).select(F.col("user_id").cast("string").alias("session"), action.alias("action"), F.concat(F.lit("f"), F.pmod("event_id", F.lit(7)).cast("string")).alias("name"), F.col("event_id").alias("bytes"), "ts")
+    with rocks_state(spark):
+        return T.drained(staged(e), "append", "uploads")
+
+
 @register("st7_sliding", "select event_type, w as start_ts, count(*) as n from (select event_type, unnest([date_trunc('day', ts) - interval 1 day, date_trunc('day', ts)]) as w from events) group by 1, 2")
 def st7(spark, sf):
     s = T.sliding(T.events_stream(spark, sf), "2 days", "1 day", "event_type").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start_ts"), "n")
