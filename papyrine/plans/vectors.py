@@ -166,6 +166,19 @@ def gr4b(spark, sf):
     return merged_topics(topic_similarity(*_topics(spark, sf))).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+@register("gr4c_source_words", """with k as (select source, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{5,}')))) as w from documents group by source)
+select a.source as a, b.source as b, round(len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) as double), 6) as jaccard from k a join k b on a.source < b.source""")
+def gr4c(spark, sf):
+    from papyrine.functions.text import words
+
+    w = read(spark, sf, "documents").select("source", F.explode(F.array_distinct(words(F.col("text"), 5))).alias("w")).distinct()
+    sizes = w.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    shared = w.toDF("a", "w").join(w.toDF("b", "w"), "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    pairs = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b"))
+    both = pairs.join(shared, ["a", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return both.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
+
+
 @register("rk27_degree_capped_pairs")
 def rk27(spark, sf):
     """Best pairs of all vectors of a label, at most three for each id, taken greedily."""

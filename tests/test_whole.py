@@ -73,12 +73,12 @@ def test_inverted_index_of_all_words(spark, tmp_path):
     assert len(found) == len(want)
 
 
-def test_topic_similarity_of_whole_texts(spark, tmp_path):
+def test_words_of_sources_of_whole_texts(spark, tmp_path):
     topics = defaultdict(set)
     for _, text, _, source, _ in _documents(spark, tmp_path):
         topics[source] |= set(re.findall("[a-z]{5,}", text.lower()))
     want = {(a, b): round(len(topics[a] & topics[b]) / len(topics[a] | topics[b]), 6) for a in topics for b in topics if a < b}
-    assert {(r.a, r.b): r.jaccard for r in queries()["gr4_topic_similarity"](spark, str(tmp_path)).collect()} == want
+    assert {(r.a, r.b): r.jaccard for r in queries()["gr4c_source_words"](spark, str(tmp_path)).collect()} == want
 
 
 def test_table_bodies_of_all_orders(spark, tmp_path):
