@@ -182,4 +182,4 @@ def gr4c(spark, sf):
 @register("rk27_degree_capped_pairs")
 def rk27(spark, sf):
     """Best pairs of all vectors of a label, at most three for each id, taken greedily."""
-    return V.degree_capped(V.similar_pairs(V.as_vectors(read(spark, sf, "embeddings")), 0.15), 3)
+    return V.degree_capped_vectors(V.as_vectors(read(spark, sf, "embeddings")), 0.15, 3)

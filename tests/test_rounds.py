@@ -5,6 +5,7 @@ import random
 import pytest
 
 from papyrine.operators import greedy
+from papyrine.operators import vectors as V
 
 
 def test_overlapping_sets_take_few_rounds(spark, monkeypatch):
@@ -31,3 +32,17 @@ def test_batches_of_any_size_give_the_same(spark, monkeypatch, sets, members):
     monkeypatch.setattr(greedy, "BATCH_SETS", sets)
     monkeypatch.setattr(greedy, "BATCH_MEMBERS", members)
     assert {(r.set, r.member) for r in greedy.disjoint_sets(frame).collect()} == want
+
+
+@pytest.mark.parametrize("listed", [1, 4])
+def test_capped_lists_are_those_of_all_pairs(spark, listed):
+    rng = random.Random(7)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(3)]) for i in range(30)]
+    rows += [(100 + i, 0, rows[0][2]) for i in range(6)] + [(200, None, rows[1][2]), (201, 1, [0.0, 0.0, 0.0])]
+    vectors = V.as_vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"))
+    want = {(r.label, r.a, r.b): r.cosine for r in V.degree_capped(V.similar_pairs(vectors, 0.15), 2).collect()}
+    got = {(r.label, r.a, r.b): r.cosine for r in V.degree_capped_vectors(vectors, 0.15, 2, listed=listed).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    # no more rows than lists have places, whatever the blocks
+    lists = V.best_lists(vectors, -1.0, 3, rows=8).groupBy("end").count().collect()
+    assert {r["count"] for r in lists} == {3}
