@@ -7,7 +7,7 @@ text gives is a few rows.  Labels, quality and other columns are expressions on
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
@@ -59,19 +59,24 @@ def outer_spans(text: str, patterns: Sequence[tuple[str, re.Pattern[str]]]) -> I
             starts, reach = [s for s, _ in seen], list(accumulate((e for _, e in seen), max))
 
 
-def sentence_at(text: str, start: int, end: int) -> str:
-    """The sentence or line around a place, with its end mark."""
-    begin = max(text.rfind(c, 0, start) for c in ".!?\n") + 1
-    stops = [p for c in ".!?\n" if (p := text.find(c, end)) >= 0]
-    return text[begin : min(stops) + 1 if stops else len(text)].strip()
+_MARKS = re.compile(r"[.!?\n]")
+
+
+def sentence_at(text: str, start: int, end: int, marks: Sequence[int] | None = None) -> str:
+    """The sentence or line around a place, with its end mark; ``marks`` are the places of all end marks of the text, if known."""
+    if marks is None:
+        marks = [m.start() for m in _MARKS.finditer(text)]
+    before, behind = bisect_left(marks, start), bisect_left(marks, end)
+    begin = marks[before - 1] + 1 if before else 0
+    return text[begin : marks[behind] + 1 if behind < len(marks) else len(text)].strip()
 
 
 def _number(m: re.Match[str]) -> str:
     return (m.group(1) or "").strip() if m.re.groups else ""
 
 
-def mentions(texts: DataFrame, key: str, text: str, *, rules: R.Patterns = R.MENTIONS, around: int = R.AROUND_MENTION) -> DataFrame:
-    """A row for each mention: key, kind, start, end, found, label, asset_type, subpanel, supplementary, sentence, before, after.
+def mentions(texts: DataFrame, key: str, text: str, *, rules: R.Patterns = R.MENTIONS, around: int = R.AROUND_MENTION, context: bool = True) -> DataFrame:
+    """A row for each mention: key, kind, start, end, found, label, asset_type, subpanel, supplementary, and with ``context`` sentence, before, after.
 
     Patterns go in order, and a match inside an earlier one is left out.  Places are code points, end exclusive; the sentence has 500 characters
     at most, before and after are ``around`` characters, trimmed.  Null and empty texts have no row.
@@ -79,14 +84,19 @@ def mentions(texts: DataFrame, key: str, text: str, *, rules: R.Patterns = R.MEN
     patterns = _compiled(rules)
 
     def find(t: str) -> Iterator[tuple]:
+        marks = [m.start() for m in _MARKS.finditer(t)] if context else []
         for kind, m in outer_spans(t, patterns):
             a, b = m.span()
-            yield kind, a, b, m.group().strip(), sentence_at(t, a, b)[:500], t[max(0, a - around) : a].strip(), t[b : b + around].strip()
+            if not context:
+                yield kind, a, b, m.group().strip()
+                continue
+            yield kind, a, b, m.group().strip(), sentence_at(t, a, b, marks)[:500], t[max(0, a - around) : a].strip(), t[b : b + around].strip()
 
-    fields = {"kind": "string", "start": "int", "end": "int", "found": "string", "sentence": "string", "before": "string", "after": "string"}
+    beside = {"sentence": "string", "before": "string", "after": "string"} if context else {}
+    fields = {"kind": "string", "start": "int", "end": "int", "found": "string", **beside}
     found = _rows(texts, key, text, fields, find)
     told = label_of(F.col("found"))
-    return found.withColumn("told", told).select(key, "kind", "start", "end", "found", "told.*", "sentence", "before", "after")
+    return found.withColumn("told", told).select(key, "kind", "start", "end", "found", "told.*", *beside)
 
 
 def label_of(found: Column) -> Column:

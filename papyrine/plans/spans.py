@@ -38,7 +38,7 @@ p as materialized (select doc_id, i, found, start::int as start, (start + len(fo
 select doc_id, case i {_KINDS} end as kind, start, stop as "end", trim(found) as found from p where not exists (select 1 from p q where q.doc_id = p.doc_id and q.i < p.i and q.start <= p.start and q.stop >= p.stop)""")
 def tx13(spark, sf):
     """Mentions of several patterns with their places; one inside an earlier pattern's is left out."""
-    return S.mentions(_texts(spark, sf), "doc_id", "text", rules=MENTIONS).select("doc_id", "kind", "start", "end", "found")
+    return S.mentions(_texts(spark, sf), "doc_id", "text", rules=MENTIONS, context=False).select("doc_id", "kind", "start", "end", "found")
 
 
 #: RE2 has no look-behind; what stands before the word is then part of the match, which is not compared.
