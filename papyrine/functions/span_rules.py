@@ -66,3 +66,6 @@ BARE_REFERENCES = {
 #: Characters around a mention and a reference, shortest and longest captions and the lengths of their quality.
 AROUND_MENTION, AROUND_REFERENCE = 200, 120
 LEAST_CAPTION, FAIR_CAPTION, GOOD_CAPTION, MOST_CAPTION = 15, 30, 100, 2500
+
+#: Words of which a text must hold one, in any case, before a fixed pattern can match in it.
+NEEDED: dict[str, tuple[str, ...]] = {p: words for (_, p), words in zip((*MENTIONS, *SUPPLEMENTS), (("fig",), ("tab",), ("data",), ("suppl", "appendix", "supporting", "additional"), ("app",), *((w,) for w in ("suppl", "table", "tables", "suppl", "additional", "supporting", "material", "suppl", "suppl"))), strict=True)}

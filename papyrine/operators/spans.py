@@ -42,12 +42,24 @@ def _compiled(rules: R.Patterns) -> list[tuple[str, re.Pattern[str]]]:
     return [(kind, re.compile(p, re.IGNORECASE)) for kind, p in rules]
 
 
+#: Other characters that a pattern regardless of case takes for an ASCII letter.
+_ALIKE = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
+
+
+def possible(text: str, patterns: Sequence[tuple[str, re.Pattern[str]]]) -> list[tuple[str, re.Pattern[str]]]:
+    """Patterns without those whose needed words are all missing from the text."""
+    for other, letter in () if text.isascii() else _ALIKE:
+        text = text.replace(other, letter)
+    low = text.lower()
+    return [(kind, p) for kind, p in patterns if p.pattern not in R.NEEDED or any(w in low for w in R.NEEDED[p.pattern])]
+
+
 def outer_spans(text: str, patterns: Sequence[tuple[str, re.Pattern[str]]]) -> Iterator[Span]:
     """Matches pattern by pattern, without those inside a match of an earlier pattern."""
     seen: list[tuple[int, int]] = []
     starts: list[int] = []
     reach: list[int] = []
-    for kind, pattern in patterns:
+    for kind, pattern in possible(text, patterns):
         own = []
         for m in pattern.finditer(text):
             at = bisect_right(starts, m.start()) - 1
@@ -128,7 +140,7 @@ def supplement_references(texts: DataFrame, key: str, text: str, *, rules: R.Pat
     patterns = _compiled(rules)
 
     def find(t: str) -> Iterator[tuple]:
-        for kind, pattern in patterns:
+        for kind, pattern in possible(t, patterns):
             seen = set()
             for m in pattern.finditer(t):
                 number = _number(m)
