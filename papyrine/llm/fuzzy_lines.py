@@ -9,8 +9,10 @@ sample.  The minima by line come from one aggregation whose map side already hol
 lines meet there.
 
 ``BANDS``, triples with a sample of each lane, are the keys of buckets: a pair at the threshold shares none with
-probability about 0.001.  Only the nodes of buckets that several share move on.  Candidates are verified by
-exact Jaccard similarity of their shingles, links are joined by distributed union-find, and one line per
+probability about 0.001.  Only the nodes of buckets that several share move on.  They carry their samples' lowest
+bytes and the parities of ``WORDS`` x 64 cells, over which their shingles are dealt by hash: two lines differ in
+at least as many shingles as in cells, a sure bound that leaves few pairs below the threshold.  The rest are verified
+by exact Jaccard similarity of their shingles, links are joined by distributed union-find, and one line per
 component stays: the first by (doc_id, line number).
 """
 
@@ -36,6 +38,10 @@ SAMPLES = len(LANES) * len(MASKS)
 BANDS = tuple((i, 8 + (i + a) % 8, 16 + (i + b) % 8) for a, b in ((0, 0), (3, 5)) for i in range(8))
 #: Equal samples below which a candidate is not verified: at 0.75 there are 18 with a standard deviation of 2.1.
 LEAST_EQUAL = 11
+#: Words of 64 cells in which the parities of a line's shingles are held.
+WORDS = 16
+#: Shingles of a line in one row of these parities: with more, generated code grows too long to be compiled well.
+FEW = 4
 #: Characters of a line whose shingles are taken from one slice, so that long lines cost what their length says.
 SLICE = 64
 
@@ -87,6 +93,35 @@ def _shingles(line: Column) -> Column:
     return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), sliced))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """(id, p0..): for every row (id, line), of which cells an odd number of its shingles fall in, repeats counted."""
+    codes = texts.select("id", F.encode("line", "UTF-32").alias("codes"))
+    last = F.greatest(F.floor(F.octet_length("codes") / 4) - WIDTH, F.lit(0)) + 1
+    placed = codes.select("id", "codes", last.cast("int").alias("last"))
+    rows = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(FEW))).alias("at"))
+    at = [F.col("at") + k for k in range(FEW)]
+    hashed = rows.select("id", *[F.when(at[k] <= F.col("last"), F.xxhash64(F.substring("codes", at[k] * 4 - 3, F.lit(4 * WIDTH)))).alias(f"x{k}") for k in range(FEW)])
+    word = [F.col(f"x{k}").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"w{k}") for k in range(FEW)]
+    cell = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(f"x{k}", 16).bitwiseAND(F.lit(63)).cast("int")).alias(f"c{k}") for k in range(FEW)]
+    dealt = hashed.select("id", *word, *cell)
+    none = F.lit(0).cast("bigint")
+    odd = [reduce(Column.bitwiseXOR, [F.when(F.col(f"w{k}") == j, F.col(f"c{k}")).otherwise(none) for k in range(FEW)]) for j in range(WORDS)]
+    return dealt.groupBy("id").agg(*[F.bit_xor(odd[j]).alias(f"p{j}") for j in range(WORDS)])
+
+
+def _packed(samples: list[str]) -> Column:
+    """Lowest bytes of eight samples in one long."""
+    return reduce(add, [F.shiftleft(F.col(m).cast("bigint").bitwiseAND(F.lit(255)), 8 * i) if i else F.col(m).cast("bigint").bitwiseAND(F.lit(255)) for i, m in enumerate(samples)])
+
+
+def _unequal(a: Column, b: Column) -> Column:
+    """Number of bytes in which two longs differ."""
+    found = a.bitwiseXOR(b)
+    for by in (4, 2, 1):
+        found = found.bitwiseOR(F.shiftrightunsigned(found, by))
+    return F.bit_count(found.bitwiseAND(F.lit(0x0101_0101_0101_0101)))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, line_no, keeper_doc, keeper_line, kept) for every line that is not blank.
 
@@ -109,12 +144,19 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = kept_by(lines.select(*where, "line"), near.select("id", *where), where, "inner").select("id", "line")
     texts = texts.dropDuplicates(["id"]).withColumn("n", F.size(F.array_distinct(_shingles(F.col("line")))))
     texts = scratch.table(texts, "texts")
-    nodes = near.select("id", *[f"m{i}" for i in range(SAMPLES)]).join(texts.select("id", "n"), "id")
+    sets = texts.select("id", "n", (F.greatest(F.char_length("line") - WIDTH, F.lit(0)) + 1 - F.col("n")).alias("repeats"))
+    packs = [_packed([f"m{i}" for i in range(at, at + 8)]).alias(f"m{at // 8}") for at in range(0, SAMPLES, 8)]
+    nodes = near.select("id", *packs).join(sets, "id").join(parities(texts), "id")
     nodes = scratch.table(nodes, "nodes")
 
     def close(a: str, b: str) -> Column:
-        equal = reduce(add, [(F.col(f"m{i}{a}") == F.col(f"m{i}{b}")).cast("int") for i in range(SAMPLES)])
-        return (equal >= LEAST_EQUAL) & (F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent)
+        sizes = F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
+        unequal = reduce(add, [_unequal(F.col(f"m{i}{a}"), F.col(f"m{i}{b}")) for i in range(SAMPLES // 8)])
+        cells = reduce(add, [F.bit_count(F.col(f"p{j}{a}").bitwiseXOR(F.col(f"p{j}{b}"))) for j in range(WORDS)])
+        # a repeat may turn one cell, which says nothing of the sets
+        differ = cells - F.col(f"repeats{a}") - F.col(f"repeats{b}")
+        bound = differ * (100 + percent) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - percent)
+        return sizes & bound & (unequal <= SAMPLES - LEAST_EQUAL)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("b", "tb", "nb"), "b").join(texts.toDF("a", "ta", "na"), "a")
