@@ -192,3 +192,15 @@ def test_figure_types_by_the_fixed_words(spark):
         ("structure_model", 0.85, "X-ray crystallography", "Matched keywords: crystal structure"),
         ("unknown", 0.0, "", ""),
     ]
+
+
+def test_two_tiers_plan_does_not_grow_with_the_words(spark):
+    few = (("a", ("alpha",), ("beta",)),)
+    many = tuple((f"t{i}", tuple(f"w{i}x{j}" for j in range(20)), ("beta",)) for i in range(20))
+    df = spark.createDataFrame([("w3x1 w3x2 beta",), (None,)], "t string")
+    sizes = []
+    for rules in (few, many):
+        plan = df.select(E.best_type(E.two_tiers(F.col("t"), rules, (0.7, 0.1, 0.95), (0.5, 0.1, 0.7), 0.3, 2)).alias("b"))
+        sizes.append(plan._jdf.queryExecution().optimizedPlan().toString().count("Contains("))
+    assert sizes[0] == sizes[1] and sizes[1] <= 2
+    assert [(r.b.label, r.b.confidence) for r in plan.collect()] == [("t3", 0.9), ("unknown", 0.0)]
