@@ -204,3 +204,11 @@ def test_two_tiers_plan_does_not_grow_with_the_words(spark):
         sizes.append(plan._jdf.queryExecution().optimizedPlan().toString().count("Contains("))
     assert sizes[0] == sizes[1] and sizes[1] <= 2
     assert [(r.b.label, r.b.confidence) for r in plan.collect()] == [("t3", 0.9), ("unknown", 0.0)]
+
+
+def test_stat_headers_are_put_in_lower_case_once(spark):
+    df = spark.createDataFrame([(["P-Value", "other"], [["0.01", "x"], ["2", "y"]])], "h array<string>, r array<array<string>>")
+    out = df.select(E.stat_fields(F.col("h")).alias("f"), E.p_thresholds(F.col("h"), F.col("r")).alias("p"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+    row = out.collect()[0]
+    assert ["P-Value"] in [f["columns"] for f in row.f] and (row.p.low, row.p.below_05) == (0.01, 1)
