@@ -109,43 +109,54 @@ def match_labels(mentions: DataFrame, assets: DataFrame, notes: DataFrame, *, ty
     owned = assets.select("paper", "asset", F.coalesce("type", F.lit("")).alias("type"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("filename", "original", "notes")], "place")
     owned = owned.withColumn("names", F.array_distinct(F.filter(F.array(F.lower("filename"), F.lower("original")), lambda n: n != "")))
     owned = owned.withColumn("name_tokens", F.transform("names", _tokens)).withColumns({"all_tokens": F.flatten("name_tokens"), "low_notes": F.lower("notes")})
-    pairs = labels.join(titles, ["paper", "label"], "left").join(owned, "paper")
+    # a paper's pairs are many for its few bytes, so parts are not merged by their size
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    titled, owned = labels.join(titles, ["paper", "label"], "left").repartition(parts, "paper"), owned.repartition(parts, "paper")
+    pairs = titled.join(owned, "paper")
     exact = F.col("type") == F.col("target")
     fits = (F.col("target") == "") | exact | ((F.col("target") == "supplementary_pdf") & F.col("type").contains("supplementary"))
 
-    def hit(score: Column, method: int, raw: Column) -> Column:
+    def hit(score: Column, method: Column, raw: Column) -> Column:
         """A step's outcome, larger if better: score, earlier step, uncapped score, earlier asset."""
-        return F.when(score.isNotNull(), F.struct(score.cast("double").alias("score"), F.lit(-method).alias("step"), raw.cast("double").alias("raw"), (-F.col("place")).cast("bigint").alias("place"), F.col("asset").alias("asset")))
+        return F.struct(score.cast("double").alias("score"), (-method).alias("step"), raw.cast("double").alias("raw"), (-F.col("place")).cast("bigint").alias("place"), F.col("asset").alias("asset"))
 
     def share(own: Column, name: Column) -> Column:
         return F.when(F.size(own) > 0, F.size(F.array_intersect(own, name)) / F.size(own)).otherwise(F.lit(0.0))
 
     token = F.when(F.arrays_overlap("any_token", "all_tokens"), F.array_max(F.transform("tokens", lambda v: F.array_max(F.transform("name_tokens", lambda n: share(v, n)))))).otherwise(F.lit(0.0))
     part = F.exists("names", lambda n: n.contains(F.col("core"))) & F.exists("variants", lambda v: F.exists("names", lambda n: n.contains(v)))
-    pairs = pairs.withColumn("part", part).withColumn("token", F.when(fits & ~F.col("part"), token))
     noted = F.when(F.col("line").isNotNull(), F.when(_within(F.col("line"), F.col("filename")) | _within(F.col("line"), F.col("original")), NOTED).when(exact, NOTED_TYPE))
-    named = F.when(fits, F.when(F.col("part"), NAMED).when(F.col("token") >= TOKEN_LEAST, F.least("token", F.lit(TOKEN_CAP))))
     captioned = F.when(((F.col("target") == "") | exact) & (F.col("notes") != "") & F.col("low_notes").contains(F.col("low_label")), CAPTIONED)
     key = ["paper", "label", "kind"]
-    best = F.max(F.greatest(hit(noted, 1, noted), hit(named, 2, F.when(F.col("part"), NAMED).otherwise(F.col("token"))), hit(captioned, 3, captioned)))
-    found = pairs.groupBy(*key).agg(best.alias("best"), F.max(noted.isNotNull()).alias("noted"), F.max(F.when(exact, F.struct((-F.col("place")).cast("bigint").alias("place"), F.col("asset").alias("asset")))).alias("first"))
+    def largest(hits: DataFrame) -> DataFrame:
+        # narrow rows of hits alone, as the maximum of a struct sorts its rows
+        return hits.groupBy(*key).agg(F.max("hit").alias("best"))
+
+    # each step is made once a pair, by name a part before tokens; most pairs hit nothing
+    whole = 2.0
+    raws = {1: noted, 2: F.when(fits, F.when(part, whole).otherwise(token)), 3: captioned}
+    tries = pairs.select(*key, "asset", "place", F.stack(F.lit(len(raws)), *[x for m, raw in raws.items() for x in (F.lit(m), raw.cast("double"))]).alias("method", "raw"))
+    tries = tries.where(F.col("raw") >= F.when(F.col("method") == 2, TOKEN_LEAST).otherwise(0.0))
+    named = F.when(F.col("raw") == whole, NAMED).otherwise(F.least("raw", F.lit(TOKEN_CAP)))
+    score, raw = F.when(F.col("method") == 2, named).otherwise(F.col("raw")), F.when(F.col("raw") == whole, NAMED).otherwise(F.col("raw"))
+    hits = tries.select(*key, hit(score, F.col("method"), raw).alias("hit"))
     if like:
-        spelled = labels.select(*[F.col(c).alias(f"l_{c}") for c in key], "target", "variants")
-        same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in key]
-        # titles like a spelling stand for the first asset of the type
-        open_ = found.where(~F.col("noted") & F.col("first").isNotNull()).select(*key).join(spelled, same).select(*key, "variants")
+        # titles like a spelling stand for the first asset of the type; with a title of its own that asset is a hit already
+        first = owned.groupBy("paper", F.col("type").alias("target")).agg(F.max(F.struct((-F.col("place")).cast("bigint").alias("place"), F.col("asset").alias("asset"))).alias("first"))
+        open_ = titled.where("line is null").select(*key, "target", "variants").join(first, ["paper", "target"])
         told = open_.join(titles.select("paper", F.lower("label").alias("title")).distinct(), "paper").where(could_be_like(F.col("variants"), F.col("title"), NOTE_LEAST))
-        told = told.groupBy(*key).agg(F.max(likeness(F.col("variants"), F.col("title"), NOTE_LEAST)).alias("told")).where(f"told >= {NOTE_LEAST}")
-        told = told.select(*[F.col(c).alias(f"t_{c}") for c in key], F.least(F.col("told"), F.lit(NOTE_CAP)).alias("told"))
-        found = found.join(told, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key], "left")
-        by_note = F.when(F.col("told").isNotNull(), F.struct(F.col("told").alias("score"), F.lit(-1).alias("step"), F.col("told").alias("raw"), F.col("first.place").alias("place"), F.col("first.asset").alias("asset")))
-        found = found.select(*key, F.greatest("best", by_note).alias("best"))
-        weak = found.where(F.col("best").isNull() | (F.col("best.score") < MATCHED)).select(*key).join(spelled, same).select(*key, "target", "variants")
+        told = told.withColumn("told", likeness(F.col("variants"), F.col("title"), NOTE_LEAST)).where(f"told >= {NOTE_LEAST}")
+        by_note = F.struct(F.least(F.col("told"), F.lit(NOTE_CAP)).alias("score"), F.lit(-1).alias("step"), F.least(F.col("told"), F.lit(NOTE_CAP)).alias("raw"), F.col("first.place").alias("place"), F.col("first.asset").alias("asset"))
+        hits = hits.unionByName(told.select(*key, by_note.alias("hit")))
+    found = largest(hits)
+    if like:
+        sure = found.where(F.col("best.score") >= MATCHED).select(*[F.col(c).alias(f"s_{c}") for c in key])
+        weak = titled.select(*key, "target", "variants").join(sure, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in key], "left_anti")
         seen = weak.join(owned, "paper").where(fits)
         texts = seen.select(*key, "asset", "place", "variants", F.explode(F.filter(F.array(F.lower("filename"), F.lower("original"), F.lower("notes")), lambda t: t != "")).alias("text"))
         texts = texts.where(could_be_like(F.col("variants"), F.col("text"), LIKE_LEAST)).withColumn("ratio", likeness(F.col("variants"), F.col("text"), LIKE_LEAST)).where(f"ratio >= {LIKE_LEAST}")
-        close = texts.groupBy(*key).agg(F.max(hit(F.least("ratio", F.lit(LIKE_CAP)), 4, F.col("ratio"))).alias("close")).select(*[F.col(c).alias(f"c_{c}") for c in key], "close")
-        found = found.join(close, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in key], "left").select(*key, F.greatest("best", "close").alias("best"))
+        close = texts.select(*key, hit(F.least("ratio", F.lit(LIKE_CAP)), F.lit(4), F.col("ratio")).alias("hit"))
+        found = largest(found.withColumnRenamed("best", "hit").unionByName(close))
     got = found.where(F.col("best.score") >= LOW).select(*[F.col(c).alias(f"f_{c}") for c in key], "best")
     met = mentions.join(got, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in key], "left")
     steps = F.array(*[F.lit(m) for m in ("notes", "filename", "caption", "fuzzy")])
