@@ -1,7 +1,9 @@
 """Staged upload sessions over a stream of files, with a restart between batches."""
 
+import pandas as pd
+
 from papyrine.sources.workdir import work_folder
-from papyrine.streaming.staging import rocks_state, staged
+from papyrine.streaming.staging import Staging, rocks_state, staged
 
 SCHEMA = "session string, action string, name string, bytes bigint, ts timestamp"
 
@@ -28,3 +30,28 @@ def test_sessions_over_a_restart(spark):
     assert got.count(("a", "refused", 0, 0, 2, "session was confirmed")) == 2
     got = batch(("e", "add", "x", 1, "2024-01-02 10:10:00"), ("f", "jump", None, None, "2024-01-02 10:10:00"))
     assert {(r[0], r[1]) for r in got} >= {("c", "expired"), ("d", "expired")} and ("e", "expired") not in {(r[0], r[1]) for r in got}
+
+
+def test_a_batch_reads_the_state_of_a_session_once():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            calls.append((self.name, call))
+            return lambda *_: {"exists": False}.get(call, [])
+
+    class Handle:
+        getValueState = getMapState = staticmethod(lambda name, *_: State(name))
+        listTimers, registerTimer, deleteTimer = staticmethod(list), staticmethod(lambda _: None), staticmethod(lambda _: None)
+
+    machine = Staging(60)
+    machine.init(Handle())
+    steps = [("create", "", 0), *[("add", f"f{i % 3}", i) for i in range(90)], *[("confirm", "", i) for i in range(60)]]
+    rows = pd.DataFrame([("s", a, n, b, pd.Timestamp(2024, 1, 1) + pd.Timedelta(seconds=i)) for i, (a, n, b) in enumerate(steps)], columns=["session", "action", "name", "bytes", "ts"])
+    (out,) = machine.handleInputRows(("s",), iter([rows[:50], rows[50:]]), None)
+    assert out.columns.tolist() == ["session", "status", "files", "bytes", "planned", "reason"]
+    assert out.values.tolist() == [["s", "refused", 3, 87 + 88 + 89, 0, "no plan"]] * 60
+    assert len(calls) <= 5  # whether there is a state, the new one, and three files
