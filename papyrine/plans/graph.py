@@ -169,11 +169,14 @@ def tm8(spark, sf):
 
 @register("cp1_context", "select p.p_partkey, p.p_name, count(distinct l.l_orderkey) as mentions, count(distinct s.s_nationkey) as nations, count(l.l_orderkey) > 0 as complete from part p left join lineitem l on l.l_partkey = p.p_partkey left join supplier s on s.s_suppkey = l.l_suppkey group by 1, 2")
 def cp1(spark, sf):
-    p = read(spark, sf, "part").select("p_partkey", "p_name")
-    l = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey")
-    s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    j = p.join(l, F.col("l_partkey") == F.col("p_partkey"), "left").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return j.groupBy("p_partkey", "p_name").agg(F.count_distinct("l_orderkey").alias("mentions"), F.count_distinct("s_nationkey").alias("nations"), (F.count("l_orderkey") > 0).alias("complete"))
+    p = read(spark, sf, "part").select("p_partkey", "p_name").distinct()
+    l = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey").where("l_partkey is not null")
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    # one distinct count at a time, by numbers alone: two at once give two rows for each line, which carry the name
+    lines = l.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("mentions"))
+    nations = l.join(s, "l_suppkey").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("s_nationkey").alias("nations"))
+    j = p.join(lines, "p_partkey", "left").join(nations, "p_partkey", "left").fillna(0, ["mentions", "nations"])
+    return j.select("p_partkey", "p_name", "mentions", "nations", (F.col("mentions") > 0).alias("complete"))
 
 
 @register("cp2_table_context", "select o_custkey, count(*) as orders, count(distinct o_orderpriority) as priorities, max(o_totalprice) as best from orders group by o_custkey having count(*) > 5")

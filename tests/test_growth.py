@@ -18,3 +18,7 @@ def test_best_hits_are_sorted_as_narrow_rows(spark):
         found = re.findall(r"partial_max\((hit#|line#|struct\(|[A-Za-z]+)", text)
         assert "hit#" in found and set(found) <= {"hit#", "line#", "struct("}
         assert text.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_context_counts_do_not_multiply_lines(spark):
+    assert "Expand" not in plan(queries()["cp1_context"](spark, SF_DIR))
