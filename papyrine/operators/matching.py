@@ -58,19 +58,24 @@ def could_be_like(variants: Column, text: Column, least: float) -> Column:
 
 def search_variants(label: Column, short: Mapping[str, str] = SHORT_FORMS) -> Column:
     """Spellings under which a label such as ``Figure S1`` may stand in names; the label alone if it has no blank."""
-    head, num = F.regexp_extract(label, r"(?s)^(.*) ([^ ]*)$", 1), F.regexp_extract(label, r"(?s)^(.*) ([^ ]*)$", 2)
+    num = F.substring_index(label, " ", -1)
+    head = F.substr(label, F.lit(1), F.length(label) - F.length(num) - 1)
     brief = head
     for long, form in short.items():
         brief = F.when(head == long, form).otherwise(brief)
-    plain = F.substring(num, 2, 1 << 30)
 
     def joined(word: Column, number: Column, *marks: str) -> list[Column]:
         return [F.concat(word, F.lit(m), number) for m in marks]
 
-    full = [label, *joined(head, num, "_", "-", ""), *joined(F.lower(head), num, "_", "-", ""), *joined(brief, num, "_", "-", "", "._", ".", " "), num]
-    bare = [*joined(head, plain, "_", "-", " "), *joined(brief, plain, "_", "."), plain]
-    spelled = F.when(num.startswith("S"), F.array(*full, *bare)).otherwise(F.array(*full))
-    return F.when(label.contains(" "), spelled).otherwise(F.array(label))
+    def spelled(x: Column) -> Column:
+        label, head, low, brief, num, plain = (x[c] for c in ("label", "head", "low", "brief", "num", "plain"))
+        full = [label, *joined(head, num, "_", "-", ""), *joined(low, num, "_", "-", ""), *joined(brief, num, "_", "-", "", "._", ".", " "), num]
+        bare = [*joined(head, plain, "_", "-", " "), *joined(brief, plain, "_", "."), plain]
+        return F.concat(F.array(*full), F.when(num.startswith("S"), F.array(*bare)).otherwise(F.array().cast("array<string>")))
+
+    # parts are bound in a lambda: made anew for each spelling, generated code grows too long to be compiled
+    parts = F.struct(label.alias("label"), head.alias("head"), F.lower(head).alias("low"), brief.alias("brief"), num.alias("num"), F.substring(num, 2, 1 << 30).alias("plain"))
+    return F.when(label.contains(" "), F.transform(F.array(parts), spelled)[0]).otherwise(F.array(label))
 
 
 def _tokens(text: Column) -> Column:
