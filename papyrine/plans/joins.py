@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import alnum, jaccard, words
 from papyrine.operators import linking as L
 from papyrine.plans.registry import register
-from papyrine.sources.tables import PAPERS_SQL, papers, read
+from papyrine.sources.tables import PAPERS_SQL, papers, read, spread_texts
 
 P = f"with {PAPERS_SQL} "
 FIRST_SENTENCE = "lower(split_part(text, '.', 1))"
@@ -226,7 +226,9 @@ def set1(spark, sf):
 
 @register("set2_first_spelling", "select doc_id, word from (select doc_id, word, row_number() over (partition by doc_id, lower(word) order by pos) as r, pos from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents))) where r = 1")
 def set2(spark, sf):
-    w = read(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
+    # texts are dealt by document once, so that their words need no shuffle
+    d = spread_texts(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    w = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
     return w.groupBy("doc_id", F.lower("word").alias("lw")).agg(F.min_by("word", "pos").alias("word")).select("doc_id", "word")
 
 
