@@ -50,7 +50,11 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line) for every line that is not blank; ``line`` is trimmed and lower-cased."""
     # lower-cased as a whole: that costs half of what it does line by line
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(text_col), "\n", -1)).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", F.btrim("raw", F.lit(" \t\n\r\x0b\x0c")).alias("line")).where("line <> ''")
+    # only a line with such an end is trimmed, which reads every character of it
+    codes, space = F.col("raw").cast("binary"), F.lit(b" ")
+    ends = (F.substring(codes, 1, 1) <= space) | (F.substring(codes, -1, 1) <= space)
+    trimmed = F.when(ends, F.btrim("raw", F.lit(" \t\n\r\x0b\x0c"))).otherwise(F.col("raw"))
+    return lines.select("doc_id", "line_no", trimmed.alias("line")).where("line <> ''")
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -93,20 +97,25 @@ def _shingles(line: Column) -> Column:
     return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), sliced))
 
 
-def parities(texts: DataFrame) -> DataFrame:
-    """(id, p0..): for every row (id, line), of which cells an odd number of its shingles fall in, repeats counted."""
+def parities(texts: DataFrame, name: str = "p", half: bool = False) -> DataFrame:
+    """(id, p0..): for every row (id, line), of which cells an odd number of its shingles fall in, repeats counted.
+
+    With ``half`` only the shingles of one half of each cell are taken; those of the other half follow from both.
+    """
     codes = texts.select("id", F.encode("line", "UTF-32").alias("codes"))
     last = F.greatest(F.floor(F.octet_length("codes") / 4) - WIDTH, F.lit(0)) + 1
     placed = codes.select("id", "codes", last.cast("int").alias("last"))
     rows = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(FEW))).alias("at"))
     at = [F.col("at") + k for k in range(FEW)]
     hashed = rows.select("id", *[F.when(at[k] <= F.col("last"), F.xxhash64(F.substring("codes", at[k] * 4 - 3, F.lit(4 * WIDTH)))).alias(f"x{k}") for k in range(FEW)])
+    if half:
+        hashed = hashed.select("id", *[F.when(F.col(f"x{k}").bitwiseAND(F.lit(1 << 40)) != 0, F.col(f"x{k}")).alias(f"x{k}") for k in range(FEW)])
     word = [F.col(f"x{k}").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"w{k}") for k in range(FEW)]
     cell = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(f"x{k}", 16).bitwiseAND(F.lit(63)).cast("int")).alias(f"c{k}") for k in range(FEW)]
     dealt = hashed.select("id", *word, *cell)
     none = F.lit(0).cast("bigint")
     odd = [reduce(Column.bitwiseXOR, [F.when(F.col(f"w{k}") == j, F.col(f"c{k}")).otherwise(none) for k in range(FEW)]) for j in range(WORDS)]
-    return dealt.groupBy("id").agg(*[F.bit_xor(odd[j]).alias(f"p{j}") for j in range(WORDS)])
+    return dealt.groupBy("id").agg(*[F.bit_xor(odd[j]).alias(f"{name}{j}") for j in range(WORDS)])
 
 
 def _packed(samples: list[str]) -> Column:
@@ -135,7 +144,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # numbered as written: each node has one number from here on
     signed = scratch.table(signatures(lines).withColumn("id", F.monotonically_increasing_id()), "signatures")
     keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in band]) for k, band in enumerate(BANDS)]
-    dealt = deal(signed.select("id", F.explode(F.array(*keys)).alias("key")), scratch)
+    dealt = deal(signed.select("id", F.explode(F.array(*keys)).alias("key")), scratch, twos=True)
     ids = scratch.table(dealt[0].select("id").distinct(), "ids")
     near = scratch.table(kept_by(signed, ids, ["id"]), "near")
     scratch.drop(signed, ids)
@@ -149,10 +158,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     nodes = near.select("id", *packs).join(sets, "id").join(parities(texts), "id")
     nodes = scratch.table(nodes, "nodes")
 
-    def close(a: str, b: str) -> Column:
+    def halved(some: DataFrame) -> DataFrame:
+        both = some.join(parities(texts.join(some.select("id"), "id", "left_semi"), "q", half=True), "id")
+        return both.withColumns({f"p{j}": F.col(f"p{j}").bitwiseXOR(F.col(f"q{j}")) for j in range(WORDS)})
+
+    def close(a: str, b: str, words: str = "p") -> Column:
         sizes = F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
         unequal = reduce(add, [_unequal(F.col(f"m{i}{a}"), F.col(f"m{i}{b}")) for i in range(SAMPLES // 8)])
-        cells = reduce(add, [F.bit_count(F.col(f"p{j}{a}").bitwiseXOR(F.col(f"p{j}{b}"))) for j in range(WORDS)])
+        cells = reduce(add, [F.bit_count(F.col(f"{w}{j}{a}").bitwiseXOR(F.col(f"{w}{j}{b}"))) for w in words for j in range(WORDS)])
         # a repeat may turn one cell, which says nothing of the sets
         differ = cells - F.col(f"repeats{a}") - F.col(f"repeats{b}")
         bound = differ * (100 + percent) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - percent)
@@ -160,10 +173,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("b", "tb", "nb"), "b").join(texts.toDF("a", "ta", "na"), "a")
-        near_enough = similar(_shingles(F.col("ta")), _shingles(F.col("tb")), F.col("na") + F.col("nb"), percent)
-        return scratch.table(both.where(near_enough).select("a", "b"), "links")
+        alike = similar(_shingles(F.col("ta")), _shingles(F.col("tb")), F.col("na") + F.col("nb"), percent)
+        return scratch.table(both.where(alike).select("a", "b"), "links")
 
-    _, label = link(nodes, close, verify, scratch, dealt)
+    _, label = link(nodes, close, verify, scratch, dealt, finer=(halved, lambda a, b: close(a, b, "pq")))
     scratch.drop(nodes)
     same = ["h1", "h2"]
     places = scratch.table(lines.select("doc_id", "line_no", *same), "places")
